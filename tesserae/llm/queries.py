@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.decontaminate import decontaminate
 from tesserae.llm.exact_dedup import exact_dedup
+from tesserae.llm.packing import pack
 from tesserae.llm.token_counts import token_counts
+from tesserae.llm.token_files import read_token_files, write_token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -20,6 +22,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(_read(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir), _read(spark, sf_dir, "benchmark")).drop("hit_spans")
 
@@ -31,6 +41,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op6_token_files": op6_token_files,
+        "op8_pack": op8_pack,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,
     }

@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tesserae.llm import licenses
 from tesserae.llm.decontaminate import decontaminate
 from tesserae.llm.exact_dedup import exact_dedup
+from tesserae.llm.language import fit_language_models, held_out, identify
+from tesserae.llm.licenses import license_scan
+from tesserae.llm.line_dedup import line_dedup
 from tesserae.llm.packing import pack
 from tesserae.llm.token_counts import token_counts
 from tesserae.llm.token_files import read_token_files, write_token_files
@@ -22,6 +27,23 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_read(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(_read(spark, sf_dir))
+    names = F.array_join("licenses", ",").alias("licenses")
+    return out.select("doc_id", F.size("sentence_ids").cast("bigint").alias("n_known"), names, "permissive")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    found = identify(docs, fit_language_models(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_read(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -41,6 +63,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_line_dedup": op3_line_dedup,
+        "op5_license_scan": op5_license_scan,
+        "op7_language_id": op7_language_id,
         "op6_token_files": op6_token_files,
         "op8_pack": op8_pack,
         "op9_decontaminate": op9_decontaminate,
@@ -58,6 +83,41 @@ SELECT doc_id,
 FROM d WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)
 """
 
+OP3_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i AS pos, array_to_string(l[i + 1:i + 3], chr(10)) AS g FROM d, unnest(range(greatest(0, len(l) - 2))) t(i)),
+later AS (SELECT doc_id, pos FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM later, unnest(range(pos, pos + 3)) t(p)),
+lines AS (SELECT doc_id, i, l[i + 1] AS line FROM d, unnest(range(len(l))) t(i)),
+kept AS (SELECT * FROM lines WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = lines.doc_id AND gone.p = lines.i)),
+per AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept_text FROM kept GROUP BY doc_id)
+SELECT d.doc_id, len(l)::BIGINT AS n_lines, (len(l) - coalesce(per.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(per.kept_text, '')) AS kept_sha256
+FROM d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
+
+
+def _op5_sql() -> str:
+    table = "MAP {" + ", ".join(f"'{s}': {k}" for k, s in licenses.SENTENCES.items()) + "}"
+    steps, last = [], "s0"
+    for i, (name, sequence) in enumerate(licenses.RULES, 1):
+        word = "".join(f"<{x}>" for x in sequence)
+        hits = f"CASE WHEN contains(rest, '{word}') AND NOT list_contains(hits, '{name}') THEN list_append(hits, '{name}') ELSE hits END"
+        steps.append(f"s{i} AS (SELECT doc_id, n_known, {hits} AS hits, replace(rest, '{word}', '|') AS rest FROM {last})")
+        last = f"s{i}"
+    allowed = ", ".join(f"'{x}'" for x in licenses.PERMISSIVE)
+    return f"""
+WITH parts AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[.!?;:]+(\s+|$)|
+') AS p FROM documents),
+ids AS (SELECT doc_id, list_filter(list_transform(p, lambda s: ({table})[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda i: i IS NOT NULL) AS ids FROM parts),
+s0 AS (SELECT doc_id, len(ids)::BIGINT AS n_known, []::VARCHAR[] AS hits,
+       coalesce(array_to_string(list_transform(ids, lambda i: '<' || i::VARCHAR || '>'), ''), '') AS rest FROM ids),
+{", ".join(steps)}
+SELECT doc_id, n_known, coalesce(array_to_string(hits, ','), '') AS licenses,
+       len(hits) > 0 AND len(list_filter(hits, lambda x: x NOT IN ({allowed}))) = 0 AS permissive FROM {last}
+"""
+
+
 OP9_SQL = r"""
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -79,4 +139,4 @@ FROM words w LEFT JOIN hit ON hit.id = w.id LEFT JOIN items ON items.id = w.id W
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_license_scan": _op5_sql(), "op9_decontaminate": OP9_SQL}

@@ -16,6 +16,7 @@ from tesserae.llm.language import fit_language_models, held_out, identify
 from tesserae.llm.licenses import license_scan
 from tesserae.llm.line_dedup import line_dedup
 from tesserae.llm.packing import pack
+from tesserae.llm.suffix_dedup import suffix_dedup
 from tesserae.llm.token_counts import token_counts
 from tesserae.llm.token_files import read_token_files, write_token_files
 
@@ -37,6 +38,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_read(spark, sf_dir)).drop("removed")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan(_read(spark, sf_dir))
     names = F.array_join("licenses", ",").alias("licenses")
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jaccard_join": op1_jaccard_join,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_line_dedup": op3_line_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_license_scan": op5_license_scan,
         "op7_language_id": op7_language_id,
         "op6_token_files": op6_token_files,

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.plans import decomposition, measurement
+
+FAMILIES = (decomposition, measurement)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return decomposition.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for family in FAMILIES for name, f in family.Q.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: s for family in FAMILIES for name, s in family.SQL.items()}

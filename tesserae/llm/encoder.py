@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # text encoded together
-CACHE_WORDS = 400_000  # words remembered before the memory of them starts anew
+SLICE_BYTES = 3 << 20  # text encoded together
+LEARN_WORDS = 256  # new words that the library encodes at once
+CACHE_WORDS = 600_000  # words remembered before the memory of them starts anew
 
 
 def words_stand_alone(spec: dict) -> bool:
@@ -35,8 +38,10 @@ class Encoder:
     """Encodes Arrow string arrays to flat ids and offsets."""
 
     def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back to the machine between slices
         self.lib = Tokenizer.from_file(model)
         self.lib.no_truncation()
         self.lib.no_padding()
@@ -45,19 +50,23 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.starts = np.zeros(0, dtype=np.int64)
         self.sizes = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        ids = [x.ids for x in self.lib.encode_batch(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        base = len(self.flat)
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.starts = np.concatenate((self.starts, base + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum()))))
+        """Encode new words, many in one text; a token belongs to the word in which its characters start."""
+        flat, sizes = [self.flat], [self.sizes]
+        for a in range(0, len(words), LEARN_WORDS):
+            some = words[a : a + LEARN_WORDS]
+            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+            got = self.lib.encode(" ".join(some), add_special_tokens=False)
+            starts = np.fromiter((o[0] for o in got.offsets), dtype=np.int64)
+            sizes.append(np.diff(np.searchsorted(starts, begins)))
+            flat.append(np.array(got.ids, dtype=np.uint32))
+        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, joined, and the offsets at which each text's ids start."""
@@ -69,14 +78,20 @@ class Encoder:
         lists = pc.ascii_split_whitespace(texts)
         bounds = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.place) > CACHE_WORDS:
-            self._forget()
-        if new := [w for w in words if w not in self.place]:
-            self._learn(new)
-        place = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
-        if not len(place):
+        words = coded.dictionary
+        if not len(words):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts) + 1, dtype=np.int64)
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
+        found = pc.index_in(words, value_set=self.known)
+        new = found.is_null()
+        fresh = new.to_numpy(zero_copy_only=False)
+        place = found.fill_null(0).to_numpy().astype(np.int64)
+        if found.null_count:
+            place[fresh] = len(self.known) + np.arange(found.null_count)
+            added = words.filter(new)
+            self._learn(added.to_pylist())
+            self.known = pa.concat_arrays([self.known, added])
         word = place[coded.indices.to_numpy()]
         sizes = self.sizes[word]
         upto = np.concatenate(([0], np.cumsum(sizes)))
@@ -93,3 +108,17 @@ class Encoder:
             ids, offsets = self.encode(texts.slice(a, z - a))
             yield a, min(z, len(texts)), ids, offsets
             a = z
+
+
+@functools.lru_cache(1)
+def _kept(model: str) -> Encoder:
+    return Encoder(model)
+
+
+def worker_encoder(model: str) -> Encoder:
+    """The worker's encoder. Where the package can be imported it keeps its words from task to task."""
+    try:
+        from tesserae.llm import encoder
+    except ImportError:
+        return Encoder(model)
+    return encoder._kept(model)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, id_and_text, shuffle_width
-from tesserae.llm.encoder import Encoder
+from tesserae.llm.encoder import worker_encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -117,7 +117,7 @@ def _cutter(model: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None
         for batch in batches:
-            enc = enc or Encoder(model)
+            enc = enc or worker_encoder(model)
             row, piece, start, length, crc = [], [], [], [], []
             for a, _, ids, offsets in enc.slices(batch["text"]):
                 flat = np.insert(ids, offsets[1:], end_id).astype("<u4")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, fresh_dir, id_and_text, shuffle_width
-from tesserae.llm.encoder import Encoder
+from tesserae.llm.encoder import worker_encoder
 
 END_ID = 1
 READ_DOCS = 4096
@@ -43,7 +43,7 @@ def _writer(model: str, folder: str, end_id: int):
         if first is None:
             return
         fs.create_dir(root, recursive=True)
-        enc = Encoder(model)
+        enc = worker_encoder(model)
         width = 2 if max(enc.lib.get_vocab_size(with_added_tokens=True), end_id) < 1 << 16 else 4
         sizes, docs, nulls = [], [], []
 

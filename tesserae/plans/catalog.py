@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import decomposition, measurement
+from tesserae.plans import decomposition, measurement, scoring
 
-FAMILIES = (decomposition, measurement)
+FAMILIES = (decomposition, measurement, scoring)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

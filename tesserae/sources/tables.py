@@ -20,7 +20,7 @@ def _region_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str, gene: str = "p_type") -> DataFrame:
-    """context, perturbation, gene, value, price, cell, batch: one row for each measured value.
+    """context, perturbation, gene, flag, value, price, cell, batch: one row for each measured value.
 
     Context is the supplier's region, perturbation the part's brand, gene a part or line attribute, value the quantity.
     """
@@ -36,6 +36,7 @@ def observations(spark: SparkSession, sf_dir: str, gene: str = "p_type") -> Data
             "context",
             F.col("p_brand").alias("perturbation"),
             F.col(gene).alias("gene"),
+            F.col("l_returnflag").alias("flag"),
             F.col("l_quantity").alias("value"),
             F.col("l_extendedprice").alias("price"),
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("cell"),

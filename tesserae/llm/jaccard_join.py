@@ -247,7 +247,7 @@ def jaccard_join(
     routed = base.select(F.explode("keys").alias("key"), F.col("d1").alias("node"))
     center = F.min("node").over(Window.partitionBy("key")).alias("center")
     edges = routed.select("node", center).filter("node != center").distinct()
-    members = cut(edges.union(edges.select(F.col("center").alias("node"), "center")).distinct())
+    members = edges.union(edges.select(F.col("center").alias("node"), "center")).distinct()
     members = cut(
         members.join(classes.filter("rep is not null"), F.col("node") == F.col("d1")).select(
             "center", (F.col("node") == F.col("center")).alias("is_center"), "rep", "d1", "d2", "n_shingles"
@@ -260,9 +260,9 @@ def jaccard_join(
     first = placed.withColumn("lo", F.explode(spread)).select("center", "lo", F.col("lo").alias("hi"), "rep", "d1", "d2", F.col("rep").alias("label"))
     links = cut(_join_tiles(rows, first, parts, width, percent))
     found = components(links)
-    large = cut(placed.filter("tiles > 1"))
-    if not large.isEmpty():
-        second = _tile_pairs(large, cut(found))
+    large = placed.filter("tiles > 1")
+    if not tiles.filter("tiles > 1").isEmpty():
+        second = _tile_pairs(large, found)
         links = cut(links.union(_join_tiles(rows, second, parts, width, percent)))
         found = components(links)
     home = classes.join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import decomposition, measurement, scoring
+from tesserae.plans import assembly, decomposition, measurement, modelling, scoring
 
-FAMILIES = (decomposition, measurement, scoring)
+FAMILIES = (decomposition, measurement, scoring, assembly, modelling)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ def check(rows: DataFrame, name: str, bad: Column) -> DataFrame:
 
 def unique(rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """One row: whether keys are unique, and how many repeat."""
-    return check(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")), name, F.col("k") > 1)
+    return check(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_copies")), name, F.col("n_copies") > 1)
 
 
 def require(checks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, id_and_text, shuffle_width
@@ -17,6 +17,7 @@ LENGTH = 200
 GRAM = 40  # bytes of an anchor
 CHUNK = 1_000_000  # bytes in which anchors are sought together; below 2**20
 SHARD_BYTES = 1 << 20  # bytes of a suffix array
+STRIDE = 256  # suffixes after which a common prefix is compared anew
 SPLIT_ROWS = 2048  # different surroundings of one anchor that a shard takes
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -31,14 +32,16 @@ UP, DOWN = _powers(1 << 20), _inverse_powers(1 << 20)
 
 
 def find_anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors of texts data[begins[i]:ends[i]]: text, position, anchor hash, hash of its surroundings, their start and end.
+    """Anchors of texts data[begins[i]:ends[i]]: text, position, anchor hash, hash of its surroundings, their start and end,
+    and 32-bit hashes of the nearer surroundings on the left and on the right (-1 where the text ends before).
 
-    Of each string of `length` bytes the anchor is the GRAM-byte piece with the least hash, the last of several: equal strings
-    have equal anchors at equal places. The surroundings are what any such string that holds the anchor can reach.
+    Any string of `length` bytes around an anchor holds all of its nearer surroundings on one side or the other. Of each string of `length` bytes the anchor is the GRAM-byte piece with the least hash, the last of several: equal strings
+    have equal anchors at equal places. The surroundings are what the strings that pick the anchor cover; those strings start
+    side by side.
     """
     n, reach = len(data), length - GRAM + 1
     if n < length:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
     eight = np.ndarray(shape=(n,), dtype="<u8", buffer=padded, strides=(1,))
     grams = n - GRAM + 1
@@ -56,12 +59,20 @@ def find_anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length:
     low = np.minimum(low[:starts], low[reach - span : reach - span + starts])
     text = np.searchsorted(begins, np.arange(starts), side="right") - 1
     inside = np.arange(starts) + length <= ends[text]
-    at = np.unique((place - (low[inside] & place)).astype(np.int64))
+    window = np.flatnonzero(inside)
+    at, head = np.unique((place - (low[window] & place)).astype(np.int64), return_index=True)
     who = np.searchsorted(begins, at, side="right") - 1
-    lo, hi = np.maximum(begins[who], at + GRAM - length), np.minimum(ends[who], at + length)
+    lo, hi = window[head], window[np.append(head[1:], len(window)) - 1] + length
     upto = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(BYTE[data] * UP[:n], dtype=np.uint64)))
     around = mix((upto[hi] - upto[lo]) * DOWN[lo] + mix(((at - lo) << 20 | (hi - at)).astype(np.uint64), 43))
-    return who, at, h[at], around, lo, hi
+    near = (length - GRAM) // 2
+    has_left, has_right = at - near >= lo, at + GRAM + near <= hi
+    left, right = np.maximum(at - near, 0), np.minimum(at + GRAM, n)
+    sides = []
+    for has, a, z in ((has_left, left, at), (has_right, right, np.minimum(right + near, n))):
+        side = mix((upto[z] - upto[a]) * DOWN[np.minimum(a, n - 1)], 44)
+        sides.append(np.where(has, (side >> np.uint64(33)).astype(np.int64), -1))
+    return who, at, h[at], around, lo, hi, *sides
 
 
 def _anchor_rows(length: int):
@@ -88,12 +99,14 @@ def _anchor_rows(length: int):
                     ends = np.cumsum(sizes)
                     begins = ends - sizes
                     joined = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in group])
-                    who, _, ah, sh, lo, hi = find_anchors(joined, begins, ends, length)
-                    parts = [(who, ah, sh, lo - begins[who], hi - begins[who])]
-                for who, ah, sh, lo, hi in parts:
+                    who, at, ah, sh, lo, hi, left, right = find_anchors(joined, begins, ends, length)
+                    parts = [(who, at - lo, ah, sh, lo - begins[who], hi - begins[who], left, right)]
+                for who, mid, ah, sh, lo, hi, left, right in parts:
                     owner = [group[w] for w in who.tolist()]
-                    cols = [ah.view(np.int64), sh.view(np.int64), [names[o][0] for o in owner], [names[o][1] for o in owner], lo, hi, [weight[o] for o in owner]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["ah", "sh", "t1", "t2", "lo", "hi", "weight"])
+                    cols = [ah.view(np.int64), sh.view(np.int64), [names[o][0] for o in owner], [names[o][1] for o in owner], lo, hi, mid, [weight[o] for o in owner]]
+                    sides = [pa.array(x, pa.int32(), mask=x < 0) for x in (left, right)]
+                    names_ = ["ah", "sh", "t1", "t2", "lo", "hi", "mid", "weight", "left", "right"]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *sides], names=names_)
 
             for i in weight:
                 size = int(offsets[i + 1] - offsets[i])
@@ -115,13 +128,13 @@ def _long_text(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]
     last, step = -1, CHUNK - 4 * length
     for c in range(0, len(data), step):
         a, z = max(0, c - 2 * length), min(len(data), c + step + 2 * length)
-        # Ends that are not the text's own must not cut surroundings: anchors near them are left to the next chunk.
-        who, at, ah, sh, lo, hi = find_anchors(data[a:z], np.array([0]), np.array([z - a]), length)
-        at, lo, hi = at + a, lo + a, hi + a
-        sound = ((lo > a) | (a == 0)) & ((hi < z) | (z == len(data))) & (at > last)
+        # Anchors near an end of the chunk that is not the text's own may miss strings: the next chunk has them whole.
+        who, at, ah, sh, lo, hi, left, right = find_anchors(data[a:z], np.array([0]), np.array([z - a]), length)
+        mid, at, lo, hi = at - lo, at + a, lo + a, hi + a
+        sound = ((at - length >= a) | (a == 0)) & ((at + length <= z) | (z == len(data))) & (at > last)
         if sound.any():
             last = int(at[sound][-1])
-        yield tuple(x[sound] for x in (who, ah, sh, lo, hi))
+        yield tuple(x[sound] for x in (who, mid, ah, sh, lo, hi, left, right))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -135,7 +148,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, dtype=np.uint64)
     for j in range(7):
         key |= wide[j : j + n] << np.uint64(9 * (6 - j))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     new = np.ones(n, dtype=bool)
     new[1:] = ranked[1:] != ranked[:-1]
@@ -149,7 +162,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             break
         these = order[places]
         then = rank[np.minimum(these + step, n)]
-        by = np.lexsort((then, rank[these]))
+        both = (rank[these] << 31 | then) if n < 1 << 31 else None
+        by = np.argsort(both) if both is not None else np.lexsort((then, rank[these]))
         these, then = these[by], then[by]
         order[places] = these
         head = rank[these]
@@ -162,29 +176,34 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in the order, cut off at `limit`.
+    """Common prefix of each suffix with the one before it in the order, exact up to `limit`.
 
     Kasai's relation: where a suffix and its predecessor are preceded by the same symbol, the prefix is one shorter than that of
-    the suffix before; only the others are compared, eight symbols at a time.
+    the suffix before. Only the others, and one in STRIDE, are compared, four symbols at a time.
     """
     n = len(text)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     i = np.arange(n)
     known = np.zeros(n, dtype=bool)
-    inner = (i > 0) & (before > 0)
-    known[inner] = text[i[inner] - 1] == text[before[inner] - 1]
-    known[1:] &= before[1:] == before[:-1] + 1
+    known[1:] = (before[1:] > 0) & (before[1:] == before[:-1] + 1)
+    known[known] = text[i[known] - 1] == text[before[known] - 1]
+    known[::STRIDE] = False
     ask = np.flatnonzero(~known & (before >= 0))
-    wide = np.concatenate((text, np.zeros(limit + 8, dtype=text.dtype)))
+    most = limit + STRIDE
+    wide = np.concatenate((text.astype("<u2"), np.zeros(most + 8, dtype="<u2")))
+    four = np.ndarray(shape=(n + most,), dtype="<u8", buffer=wide, strides=(2,))
     got = np.zeros(n, dtype=np.int64)
-    a, b = ask, before[ask]
-    for j in range(limit):
-        same = (wide[a + j] == wide[b + j]) & (np.maximum(a, b) + j < n)
+    a, b, at = ask, before[ask], 0
+    while len(a) and at < most:
+        same = four[a + at] == four[b + at]
         a, b = a[same], b[same]
-        if not len(a):
-            break
-        got[a] += 1
+        at += 4
+        got[a] = at
+    own, other = got[ask], before[ask]
+    for _ in range(3):
+        own += (wide[ask + own] == wide[other + own]) & (own < most)
+    got[ask] = np.minimum(own, n - np.maximum(ask, other))
     base = np.maximum.accumulate(np.where(~known, i, 0))
     got = np.where(before >= 0, np.maximum(got[base] - (i - base), 0), 0)
     return got[order]
@@ -201,7 +220,7 @@ def repeated_starts(pieces: list[bytes], text_of: np.ndarray, at: np.ndarray, se
     ends = np.cumsum(sizes) - 1
     text[ends] = 0
     order = suffix_array(text, length)
-    prefix = common_prefixes(text, order, length + max(map(len, pieces)))
+    prefix = common_prefixes(text, order, length)
     piece = np.searchsorted(ends, order, side="left")
     begin = ends + 1 - sizes
     fits = order + length <= ends[piece]
@@ -219,46 +238,104 @@ def repeated_starts(pieces: list[bytes], text_of: np.ndarray, at: np.ndarray, se
     return piece, offset, number, many[number]
 
 
+def shared_reach(groups: np.ndarray, sides: list[bytes]) -> np.ndarray:
+    """How many leading bytes each side has in common with some other side of its group."""
+    if not sides:
+        return np.zeros(0, dtype=np.int64)
+    sizes = np.fromiter(map(len, sides), dtype=np.int64, count=len(sides))
+    wide = max(1, int(sizes.max()))
+    order = np.array(sorted(range(len(sides)), key=lambda i: (groups[i], sides[i])))
+    rows = np.frombuffer(b"".join(sides[i].ljust(wide, b"\0") for i in order.tolist()), dtype=np.uint8).reshape(-1, wide)
+    differ = rows[1:] != rows[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
+    common = np.minimum(common, np.minimum(sizes[order][1:], sizes[order][:-1]))
+    common[groups[order][1:] != groups[order][:-1]] = 0
+    out = np.zeros(len(sides), dtype=np.int64)
+    out[order] = np.maximum(np.append(common, 0), np.append(0, common))
+    return out
+
+
+def string_digests(pieces: list[bytes], piece: np.ndarray, offset: np.ndarray, length: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of the strings of `length` bytes at these offsets of these pieces."""
+    need, row = np.unique(piece, return_inverse=True)
+    wide = max(len(pieces[p]) for p in need.tolist())
+    rows = np.frombuffer(b"".join(pieces[p].ljust(wide, b"\0") for p in need.tolist()), dtype=np.uint8).reshape(len(need), wide)
+    out = []
+    for salt in (45, 46):
+        upto = np.zeros((len(need), wide + 1), dtype=np.uint64)
+        np.cumsum(mix(BYTE, salt)[rows] * UP[:wide], axis=1, dtype=np.uint64, out=upto[:, 1:])
+        out.append(mix((upto[row, offset + length] - upto[row, offset]) * DOWN[offset], salt).view(np.int64))
+    return out
+
+
+SPAN = ["t1", "t2", "start", "stop", "d1", "d2", "known"]
+
+
 def _shard(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held, current = 0, None
 
         def finish() -> pa.RecordBatch:
-            texts: dict[tuple[int, int], int] = {}
-            names = [(r[0], r[1]) for r in rows]
-            text_of = np.array([texts.setdefault(x, len(texts)) for x in names], dtype=np.int64)
-            at = np.array([r[2] for r in rows], dtype=np.int64)
-            several, spread = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-            pieces = [r[5] for r in rows]
-            out: list[list] = [[], [], [], [], [], []]
-            if rows:
-                piece, offset, _, repeats = repeated_starts(pieces, text_of, at, several, length)
-                mine = repeats & ~several[piece]
+            group = np.array([r[0] for r in rows], dtype=np.int64)
+            pieces = [r[7] for r in rows]
+            mid = [r[6] for r in rows]
+            spread = np.array([r[5] for r in rows], dtype=bool)
+            # What no other piece of the group reaches is cut off; pieces whose rivals are in other shards stay whole.
+            left = shared_reach(group, [p[:m][::-1] for p, m in zip(pieces, mid, strict=True)])
+            right = shared_reach(group, [p[m + GRAM :] for p, m in zip(pieces, mid, strict=True)])
+            same: dict[tuple, list[int]] = {}
+            for i, (g, p, m) in enumerate(zip(group.tolist(), pieces, mid, strict=True)):
+                a, z = (0, len(p)) if spread[i] else (m - int(left[i]), m + GRAM + int(right[i]))
+                if z - a >= length:
+                    same.setdefault((g, m - a, p[a:z], bool(spread[i])), []).append(i)
+            spans: list[tuple] = []
+            kept, first, several = [], [], []
+            for (_, before, p, _), own in same.items():
+                several.append(len(own) > 1 or rows[own[0]][4])
+                kept.append(p)
+                first.append((own[0], mid[own[0]] - before))
+                if several[-1]:  # equal pieces repeat as a whole
+                    spans += [(*rows[i][1:3], rows[i][3] + mid[i] - before, rows[i][3] + mid[i] - before + len(p)) for i in own if not rows[i][4]]
+            found: list[list] = [list(x) for x in zip(*spans, strict=True)] or [[], [], [], []]
+            extra: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * 6 + [np.zeros(0, dtype=bool)]
+            if kept:
+                texts: dict[tuple[int, int], int] = {}
+                text_of = np.array([texts.setdefault(rows[i][1:3], len(texts)) for i, _ in first], dtype=np.int64)
+                at = np.array([rows[i][3] + a for i, a in first], dtype=np.int64)
+                many = np.array(several, dtype=bool)
+                piece, offset, number, repeats = repeated_starts(kept, text_of, at, many, length)
+                mine = repeats & ~many[piece]
                 code = np.unique(text_of[piece[mine]] << 40 | (at[piece[mine]] + offset[mine]))
                 owner, start = code >> 40, code & ((1 << 40) - 1)
-                head = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))[: len(code)])
+                cut_ = np.flatnonzero((owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)) + 1
                 back = list(texts)
-                for a, z in zip(head.tolist(), [*head[1:].tolist(), len(code)] if len(head) else [], strict=True):
-                    for c, v in enumerate((*back[int(owner[a])], int(start[a]), int(start[z - 1]) + length, None, None)):
-                        out[c].append(v)
-                # Of anchors that several shards share, every string goes on, to be looked for in the others.
-                for p, o, r in zip(piece[spread[piece]].tolist(), offset[spread[piece]].tolist(), repeats[spread[piece]].tolist(), strict=True):
-                    digest = hashlib.blake2b(pieces[p][o : o + length], digest_size=16).digest()
-                    value = (*names[p], int(at[p]) + o, int(at[p]) + o + length, digest, bool(r))
-                    for c, v in enumerate(value):
-                        out[c].append(v)
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["t1", "t2", "start", "stop", "digest", "known"])
+                for a, z in zip([0, *cut_.tolist()], [*cut_.tolist(), len(code)], strict=True) if len(code) else ():
+                    for c, v in enumerate((*back[int(owner[a])], int(start[a]), int(start[z - 1]) + length)):
+                        found[c].append(v)
+                # Of anchors that several shards share, one of each different string goes on, to be looked for in the others.
+                far = np.array([rows[i][5] for i, _ in first], dtype=bool)[piece]
+                if far.any():
+                    w = np.flatnonzero(far)
+                    w = w[np.unique(number[w], return_index=True)[1]]
+                    names = np.array(back, dtype=np.int64).reshape(-1, 2)[text_of[piece[w]]]
+                    begin = at[piece[w]] + offset[w]
+                    extra = [names[:, 0], names[:, 1], begin, begin + length, *string_digests(kept, piece[w], offset[w], length), repeats[w]]
+            local = len(found[0])
+            cols = [pa.array(np.concatenate((np.array(c, dtype=np.int64), e))) for c, e in zip(found, extra[:4], strict=True)]
+            none = np.concatenate((np.ones(local, dtype=bool), np.zeros(len(extra[0]), dtype=bool)))
+            cols += [pa.array(np.concatenate((np.zeros(local, dtype=np.int64), e)), pa.int64(), mask=none) for e in extra[4:6]]
+            cols.append(pa.array(np.concatenate((np.zeros(local, dtype=bool), extra[6])), pa.bool_(), mask=none))
+            return pa.RecordBatch.from_arrays(cols, names=SPAN)
 
         for batch in batches:
-            cols = [batch[c].to_pylist() for c in ("ah", "part", "t1", "t2", "lo", "several", "spread", "piece")]
+            cols = [batch[c].to_pylist() for c in ("ah", "part", "t1", "t2", "lo", "several", "spread", "mid", "piece")]
             for ah, part, *row in zip(*cols, strict=True):
                 if (ah, part) != current and held >= SHARD_BYTES:
                     yield finish()
                     rows, held = [], 0
                 current = (ah, part)
-                rows.append(tuple(row))
+                rows.append((ah, *row))
                 held += len(row[-1])
         yield finish()
 
@@ -266,30 +343,30 @@ def _shard(length: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of several shards, sorted by digest: equal ones are found by binary search for each distinct digest."""
-    names = ["t1", "t2", "start", "stop", "digest", "known"]
+    """Strings of several shards in the order of their digests: where equal ones begin and end is found by binary search."""
     rest: pa.Table | None = None
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        digest = np.array(table["digest"].to_pylist() or [b""], dtype="S16")[: len(table)]
-        codes: dict[tuple, int] = {}
-        place = [codes.setdefault(x, len(codes)) for x in zip(*(table[c].to_pylist() for c in ("t1", "t2", "start")), strict=True)]
-        heads = np.searchsorted(digest, np.unique(digest), side="left")
-        take = np.zeros(0, dtype=bool)
-        if len(heads):
+        one, two = table["d1"].to_numpy(), table["d2"].to_numpy()
+        take = np.zeros(len(one), dtype=bool)
+        if len(one):
+            heads = np.searchsorted(one, np.unique(one), side="left")
+            heads = np.union1d(heads, np.flatnonzero(two[1:] != two[:-1]) + 1)
+            codes: dict[tuple, int] = {}
+            place = [codes.setdefault(x, len(codes)) for x in zip(*(table[c].to_pylist() for c in ("t1", "t2", "start")), strict=True)]
             many = np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads)
-            many |= np.logical_or.reduceat(table["known"].to_numpy(zero_copy_only=False).astype(bool), heads)
-            take = np.repeat(many, np.diff(np.append(heads, len(digest))))
+            many |= np.logical_or.reduceat(table["known"].to_numpy().astype(bool), heads)
+            take = np.repeat(many, np.diff(np.append(heads, len(one))))
         kept = table.filter(pa.array(take, pa.bool_()))
-        return pa.RecordBatch.from_arrays([pa.array(kept[c].to_pylist(), pa.int64()) for c in names[:4]], names=names[:4])
+        return pa.RecordBatch.from_arrays([pa.array(kept[c].to_numpy(), pa.int64()) for c in SPAN[:4]], names=SPAN[:4])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([rest, table]) if rest is not None else table
-        last = table["digest"][len(table) - 1].as_py() if len(table) else None
-        first = np.searchsorted(np.array(table["digest"].to_pylist() or [b""], dtype="S16")[: len(table)], last) if len(table) else 0
-        yield settle(table.slice(0, int(first)))
-        rest = table.slice(int(first))
+        digest = table["d1"].to_numpy()
+        ready = int(np.searchsorted(digest, digest[-1], side="left")) if len(digest) else 0
+        yield settle(table.slice(0, ready))
+        rest = table.slice(ready)
     if rest is not None:
         yield settle(rest)
 
@@ -319,7 +396,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the places that texts are asked for."""
-    keep = ["ah", "part", "t1", "t2", "lo", "several", "spread"]
+    keep = ["ah", "part", "t1", "t2", "lo", "several", "spread", "mid"]
     for batch in batches:
         pieces: list[bytes] = []
         owner: list[int] = []
@@ -332,7 +409,7 @@ def _slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owner.append(i)
         index = pa.array(owner, pa.int64())
         cols = {"t1": batch["t1"].take(index), "t2": batch["t2"].take(index), "piece": pa.array(pieces, pa.binary())}
-        for c, k in (("ah", pa.int64()), ("part", pa.int64()), ("lo", pa.int64()), ("several", pa.bool_()), ("spread", pa.bool_())):
+        for c, k in (("ah", pa.int64()), ("part", pa.int64()), ("lo", pa.int64()), ("mid", pa.int64()), ("several", pa.bool_()), ("spread", pa.bool_())):
             cols[c] = pa.array([w[c] for w in asked], k)
         yield pa.RecordBatch.from_pydict({c: cols[c] for c in [*keep, "piece"]})
 
@@ -347,8 +424,9 @@ def suffix_dedup(
 
     1. Anchors: every string of `length` bytes has a piece that its content alone picks. Anchors and hashes of all that
        strings around them can reach are rows of a few numbers; copies within a batch are rows with a weight.
-    2. An anchor that is alone is done. Surroundings that occur twice repeat as a whole.
-    3. The different surroundings of an anchor, one of each, go to a shard: a suffix array by Larsson and Sadakane's refinement
+    2. An anchor that is alone is done. Surroundings that occur twice repeat as a whole. Surroundings that share neither of
+       their nearer sides with different ones can hold no string that those have.
+    3. The other different surroundings of an anchor, one of each, go to a shard: a suffix array by Larsson and Sadakane's refinement
        and common prefixes by Kasai's relation tell which strings repeat. Anchors with very many surroundings are dealt over
        several shards, whose strings are merged afterwards, sorted by digest and found by binary search.
     4. Spans meet per text and cut it.
@@ -359,31 +437,38 @@ def suffix_dedup(
     parts = shuffle_width(docs)
     texts = id_and_text(docs, id_col, text_col).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     anchors = texts.select("t1", "t2", "text").mapInArrow(
-        _anchor_rows(length), "ah bigint, sh bigint, t1 bigint, t2 bigint, lo bigint, hi bigint, weight bigint"
+        _anchor_rows(length), "ah bigint, sh bigint, t1 bigint, t2 bigint, lo bigint, hi bigint, mid bigint, weight bigint, left int, right int"
     )
     same, near = Window.partitionBy("ah"), Window.partitionBy("ah", "sh")
+
+    def alike(side: str) -> Column:
+        return F.when(F.col(side).isNotNull(), F.sum("weight").over(Window.partitionBy("ah", side)))
+
     seen = (
-        anchors.withColumns({"all": F.sum("weight").over(same), "equal": F.sum("weight").over(near)})
+        anchors.withColumns({"all": F.sum("weight").over(same)})
         .filter("all > 1")
-        .withColumn("nth", F.dense_rank().over(same.orderBy("sh")))
-        .withColumns({"kinds": F.max("nth").over(same), "first": F.row_number().over(near.orderBy("t1", "t2", "lo")) == 1})
+        .withColumns({"equal": F.sum("weight").over(near), "on_left": alike("left"), "on_right": alike("right")})
+        .withColumn("open", F.coalesce(F.col("on_left") > F.col("equal"), F.lit(False)) | F.coalesce(F.col("on_right") > F.col("equal"), F.lit(False)))
+        .filter("equal > 1 or open")
+        .withColumn("nth", F.dense_rank().over(same.orderBy(F.desc("open"), "sh")))
+        .withColumns({"kinds": F.max(F.when(F.col("open"), F.col("nth"))).over(same), "first": F.row_number().over(near.orderBy("t1", "t2", "lo")) == 1})
     )
-    seen = cut(seen.filter("equal > 1 or kinds > 1").select("ah", "t1", "t2", "lo", "hi", "equal", "nth", "kinds", "first"))
+    seen = cut(seen.select("ah", "t1", "t2", "lo", "hi", "mid", "equal", "open", "nth", "kinds", "first"))
     whole = seen.filter("equal > 1").select("t1", "t2", F.col("lo").alias("start"), F.col("hi").alias("stop"))
     spread = F.col("kinds") > split_rows
     part = F.when(spread, F.floor(F.col("nth") / split_rows)).otherwise(0).alias("part")
-    asked = seen.filter("first and kinds > 1").select(
-        "t1", "t2", F.struct("ah", part, "lo", "hi", (F.col("equal") > 1).alias("several"), spread.alias("spread")).alias("w")
+    asked = seen.filter("first and open").select(
+        "t1", "t2", F.struct("ah", part, "lo", "hi", "mid", (F.col("equal") > 1).alias("several"), spread.alias("spread")).alias("w")
     )
     want = asked.groupBy("t1", "t2").agg(F.collect_list("w").alias("want"))
     one = texts.withColumn("nth", F.row_number().over(Window.partitionBy("t1", "t2").orderBy(F.octet_length("text")))).filter("nth = 1")
     pieces = one.join(want, ["t1", "t2"]).select("t1", "t2", "text", "want").mapInArrow(
-        _slice_texts, "ah bigint, part bigint, t1 bigint, t2 bigint, lo bigint, several boolean, spread boolean, piece binary"
+        _slice_texts, "ah bigint, part bigint, t1 bigint, t2 bigint, lo bigint, several boolean, spread boolean, mid bigint, piece binary"
     )
     dealt = pieces.repartition(parts, "ah", "part").sortWithinPartitions("ah", "part", "t1", "t2", "lo")
-    found = cut(dealt.mapInArrow(_shard(length), "t1 bigint, t2 bigint, start bigint, stop bigint, digest binary, known boolean"))
-    local = found.filter("digest is null").select("t1", "t2", "start", "stop")
-    across = found.filter("digest is not null").repartitionByRange(parts, "digest").sortWithinPartitions("digest")
+    found = cut(dealt.mapInArrow(_shard(length), "t1 bigint, t2 bigint, start bigint, stop bigint, d1 bigint, d2 bigint, known boolean"))
+    local = found.filter("d1 is null").select("t1", "t2", "start", "stop")
+    across = found.filter("d1 is not null").repartitionByRange(parts, "d1").sortWithinPartitions("d1", "d2")
     spans = whole.union(local).union(across.mapInArrow(_merge, "t1 bigint, t2 bigint, start bigint, stop bigint"))
     by_text = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     kind = texts.schema["doc_id"].dataType.simpleString()

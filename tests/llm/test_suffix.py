@@ -78,7 +78,7 @@ def test_long_text_and_odd_input(spark, monkeypatch):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 4), min_size=1, max_size=400), st.integers(1, 300))
+@given(st.one_of(st.lists(st.integers(1, 4), min_size=1, max_size=400), st.lists(st.just(3), max_size=900, min_size=1)), st.integers(1, 300))
 def test_suffix_array_and_prefixes(symbols, depth):
     text = np.array(symbols, dtype=np.uint16)
     order = s.suffix_array(text, depth)

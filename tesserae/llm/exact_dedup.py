@@ -36,15 +36,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     share = max(1, docs.count() // (4 * width))
     hot = [r[0] for r in rows.groupBy("print").count().filter(F.col("count") > share).select("print").collect()]
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")
-    salt = F.when(F.col("print").isin(hot), spread).otherwise(F.lit(-1)) if hot else F.lit(-1)
-    dealt = rows.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("salt", salt).repartitionByRange(
-        width, "head", "print", "salt"
-    )
-    same = Window.partitionBy("head", "print", "salt", "norm")
+    dealt = rows.withColumn("head", F.substring("norm", 1, HEAD))
+    keys = ["head", "print"]
+    if hot:  # a constant would keep the windows from using the ranges as they are
+        dealt, keys = dealt.withColumn("salt", F.when(F.col("print").isin(hot), spread).otherwise(F.lit(-1))), [*keys, "salt"]
+    dealt = dealt.repartitionByRange(width, *keys)
+    same = Window.partitionBy(*keys, "norm")
     first = same.orderBy(F.desc("n_cp"), F.asc_nulls_last("doc_id"))
     out = dealt.select(
         "doc_id",
-        "salt",
+        *(["salt"] if hot else []),
         F.first("doc_id").over(first).alias("keep_id"),
         F.first("n_cp").over(first).alias("top_cp"),
         F.count(F.lit(1)).over(same).alias("group_size"),

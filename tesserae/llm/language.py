@@ -18,7 +18,8 @@ CHARS_PER_LANG = 2_000_000  # expected characters of labelled text that a model
 CALIBRATION_PER_LANG = 500_000  # and that its rejection is calibrated on
 MAX_LANGS = 256
 SLICE_BYTES = 2 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+LEARN_WORDS = 4096  # new words scored together
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BLANK = np.uint64(0x20)
@@ -156,33 +157,40 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.total = np.zeros((0, len(self.models.langs)))
         self.size = np.zeros(0, dtype=np.int64)
 
     def _learn(self, raw: list[str]) -> None:
-        parts = [self.letters.findall(w.lower()) for w in raw]
-        words = [w for p in parts for w in p]
-        owner = np.repeat(np.arange(len(raw)), list(map(len, parts)))
-        total, size = np.zeros((len(raw), len(self.models.langs))), np.zeros(len(raw), dtype=np.int64)
-        if words:
-            bits, n = self.models.bits(words)
-            np.add.at(total, owner, bits)
-            np.add.at(size, owner, n)
-        self.place.update(zip(raw, range(len(self.place), len(self.place) + len(raw)), strict=True))
-        self.total, self.size = np.concatenate((self.total, total)), np.concatenate((self.size, size))
+        totals, sizes = [self.total], [self.size]
+        for a in range(0, len(raw), LEARN_WORDS):
+            parts = [self.letters.findall(w.lower()) for w in raw[a : a + LEARN_WORDS]]
+            words = [w for p in parts for w in p]
+            total, size = np.zeros((len(parts), len(self.models.langs))), np.zeros(len(parts), dtype=np.int64)
+            if words:
+                owner = np.repeat(np.arange(len(parts)), list(map(len, parts)))
+                bits, n = self.models.bits(words)
+                np.add.at(total, owner, bits)
+                np.add.at(size, owner, n)
+            totals.append(total)
+            sizes.append(size)
+        self.total, self.size = np.concatenate(totals), np.concatenate(sizes)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits by text and language, and characters by text."""
         lists = pc.ascii_split_whitespace(texts)
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.place) > CACHE_WORDS:
+        words = coded.dictionary
+        if len(self.known) > CACHE_WORDS:
             self._forget()
-        if new := [w for w in words if w not in self.place]:
-            self._learn(new)
-        place = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        found = pc.index_in(words, value_set=self.known)
+        place = found.fill_null(0).to_numpy().astype(np.int64)
+        if found.null_count:
+            place[found.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(found.null_count)
+            added = words.filter(found.is_null())
+            self._learn(added.to_pylist())
+            self.known = pa.concat_arrays([self.known, added])
         word = place[coded.indices.to_numpy()] if len(place) else place
         size = np.concatenate(([0], np.cumsum(self.size[word])))
         upto = np.concatenate((np.zeros((1, self.total.shape[1])), np.cumsum(self.total[word], axis=0)))

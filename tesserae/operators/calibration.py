@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.anova import loo_scale
@@ -113,3 +115,72 @@ def expression_error(rows: DataFrame) -> DataFrame:
     num = (F.col("err") - F.col("rho") * F.col("credit") - F.col("cr")) / F.col("g")
     den = (F.col("eff") - F.col("cr") - F.col("cc")) / F.col("g")
     return x.agg((F.sum(num) / F.sum(den)).alias("error"), F.first("rho").alias("rho"))
+
+
+RELATIVE = (0.01, 0.1, 1.0, 10.0, 100.0)
+
+
+def solve_toward(x: np.ndarray, y: np.ndarray, prior: float, lam: float) -> tuple[float, np.ndarray]:
+    """Intercept and weights of least squares with a penalty on the distance of every weight from `prior`."""
+    mx, my = x.mean(axis=0), y.mean()
+    xc = x - mx
+    w = prior + np.linalg.solve(xc.T @ xc + lam * np.eye(x.shape[1]), xc.T @ (y - my - xc @ np.full(x.shape[1], prior)))
+    return float(my - mx @ w), w
+
+
+def gene_ridge(x: np.ndarray, y: np.ndarray, prior: float, few: int = 5) -> tuple[float, np.ndarray]:
+    """The same with the penalty chosen by leave-one-out among RELATIVE times the mean of the centred Gram diagonal; the largest
+    one where there are fewer than `few` rows."""
+    unit = float(((x - x.mean(axis=0)) ** 2).sum(axis=0).mean()) or 1.0
+    best = RELATIVE[-1]
+    if len(y) >= few:
+        keep = ~np.eye(len(y), dtype=bool)
+
+        def loss(rel: float) -> float:
+            out = 0.0
+            for i in range(len(y)):
+                b, w = solve_toward(x[keep[i]], y[keep[i]], prior, rel * unit)
+                out += (y[i] - b - x[i] @ w) ** 2
+            return out
+
+        best = min(RELATIVE, key=loss)
+    return solve_toward(x, y, prior, best * unit)
+
+
+def per_gene_ridge(rows: DataFrame) -> DataFrame:
+    """perturbation, gene, e3 from rows gene, perturbation, sources ARRAY, y, is_anchor, s: each gene's ridge on its anchors.
+
+    A group is one gene's perturbation axis; genes spread over the tasks.
+    """
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(g["sources"].tolist(), dtype=float)
+        k = g["is_anchor"].to_numpy(dtype=bool)
+        out = g[["perturbation", "gene"]].copy()
+        if not k.any():
+            return out.assign(e3=x.mean(axis=1))
+        b, w = gene_ridge(x[k], g["y"].to_numpy(dtype=float)[k], float(g["s"].iloc[0]) / x.shape[1])
+        return out.assign(e3=b + x @ w)
+
+    return rows.groupBy("gene").applyInPandas(fit, "perturbation string, gene string, e3 double")
+
+
+def simulate_null(spark: SparkSession, draws: int, contexts: int, genes: int, tau2: float, sigma2: float, seed: int) -> DataFrame:
+    """draw, agreement, error: worlds in which contexts are exchangeable around one mean with variance tau2 and noise sigma2.
+
+    agreement is the mean pairwise correlation of the first contexts - 1 noisy responses, error the squared distance of their mean
+    from the last context's, per gene. Draws are rows; each has its own seed.
+    """
+
+    def world(batches):
+        for b in batches:
+            out = []
+            for d in b["id"].tolist():
+                rng = np.random.default_rng([seed, d])
+                m = rng.normal(size=genes)
+                y = m + rng.normal(scale=tau2**0.5, size=(contexts, genes)) + rng.normal(scale=sigma2**0.5, size=(contexts, genes))
+                r = np.corrcoef(y[:-1])[np.triu_indices(contexts - 1, 1)]
+                out.append((d, float(r.mean()), float(((y[:-1].mean(axis=0) - y[-1]) ** 2).mean())))
+            yield pd.DataFrame(out, columns=["draw", "agreement", "error"])
+
+    return spark.range(draws).mapInPandas(world, "draw long, agreement double, error double")

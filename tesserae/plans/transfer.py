@@ -239,3 +239,27 @@ def basal_similarity_weights(spark, sf_dir):
     w = F.greatest("sim", F.lit(0.0))
     nearest = F.row_number().over(own.orderBy(F.desc("sim"), "source")) == 1
     return p.select("target", "source", r6("sim").alias("sim"), r6(w / F.sum(w).over(own)).alias("weight"), nearest.alias("nearest"))
+
+
+def source_vectors(spark, sf_dir):
+    """gene, perturbation, sources ARRAY (other contexts by name), y, is_anchor, s."""
+    r = responses(spark, sf_dir)
+    gene = Window.partitionBy("context", "gene")
+    c = r.filter("context != 'ASIA'").withColumn("x", F.col("delta") - F.avg("delta").over(gene))
+    packed = c.groupBy("perturbation", "gene").agg(F.array_sort(F.collect_list(F.struct("context", "x"))).alias("p"))
+    e = estimates(spark, sf_dir).select("perturbation", "gene", "y", "is_anchor", "s")
+    return packed.select("perturbation", "gene", F.col("p.x").alias("sources")).join(e, ["perturbation", "gene"])
+
+
+@query()
+def per_gene_ridge(spark, sf_dir):
+    """Ridge by gene on anchors; tested against direct solves."""
+    return B.per_gene_ridge(source_vectors(spark, sf_dir)).withColumn("e3", r6("e3"))
+
+
+@query()
+def simulated_null(spark, sf_dir):
+    """Agreement and error in exchangeable worlds with the variances that the responses show."""
+    t = B.exchangeable(responses(spark, sf_dir).withColumn("sigma2", F.lit(200.0) / F.col("n_cells")), "sigma2").agg(F.avg("tau2").alias("tau2")).first()
+    s = responses(spark, sf_dir).agg(F.avg(F.lit(200.0) / F.col("n_cells")).alias("s")).first()
+    return B.simulate_null(spark, 200, 5, 150, float(t.tau2), float(s.s), 67)

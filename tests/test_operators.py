@@ -296,3 +296,42 @@ def test_stream_equals_batch(spark, tmp_path, rng):
     q.processAllAvailable()
     q.stop()
     assert {"window", "k", "n", "mean", "variance"} <= set(spark.table("w").columns)
+
+
+def test_ridge_toward_a_prior(spark, rng):
+    from tesserae.operators import calibration as B
+
+    x, y = rng.normal(size=(12, 3)), rng.normal(size=12)
+    b, w = B.solve_toward(x, y, 0.25, 2.0)
+    cost = lambda b, w: ((y - b - x @ w) ** 2).sum() + 2.0 * ((w - 0.25) ** 2).sum()
+    assert all(cost(b + e, w) >= cost(b, w) for e in (-1e-3, 1e-3))
+    assert all(cost(b, w + e * np.eye(3)[i]) >= cost(b, w) for e in (-1e-3, 1e-3) for i in range(3))
+    far, flat = B.solve_toward(x, y, 0.25, 1e12)
+    assert np.allclose(flat, 0.25)
+    rows = [("g", f"p{i}", [float(v) for v in x[i]], float(y[i]), i < 4, 0.75) for i in range(12)]
+    df = spark.createDataFrame(rows, "gene string, perturbation string, sources array<double>, y double, is_anchor boolean, s double")
+    got = {r.perturbation: r.e3 for r in B.per_gene_ridge(df).collect()}
+    unit = ((x[:4] - x[:4].mean(axis=0)) ** 2).sum(axis=0).mean()
+    b, w = B.solve_toward(x[:4], y[:4], 0.25, 100 * unit)
+    assert all(math.isclose(got[f"p{i}"], b + x[i] @ w) for i in range(12))
+    # Target values that are no anchors must not matter.
+    changed = df.withColumn("y", F.when(F.col("is_anchor"), F.col("y")).otherwise(1e6))
+    assert {r.perturbation: r.e3 for r in B.per_gene_ridge(changed).collect()} == got
+
+
+def test_null_worlds_repeat(spark):
+    from tesserae.operators import calibration as B
+
+    one, two = (sorted(map(tuple, B.simulate_null(spark, 40, 5, 200, t, 0.5, 3).collect())) for t in (0.0, 0.0))
+    assert one == two
+    assert abs(np.mean([r[1] for r in one]) - 1 / 1.5) < 0.03
+
+
+def test_estimators_see_no_target_values_off_anchors(spark, rng):
+    from tesserae.operators import calibration as B
+
+    df = spark.createDataFrame(grid(rng), RESP)
+    anchors = spark.createDataFrame([("p0",), ("p1",), ("p2",)], "perturbation string")
+    hidden = df.withColumn("delta", F.when((F.col("context") == "c0") & ~F.col("perturbation").isin("p0", "p1", "p2"), 1e6).otherwise(F.col("delta")))
+    a, b = (sorted(tuple(r) for r in B.anchored(B.source_view(d, "c0"), anchors).select("perturbation", "gene", "e0", "e0s", "e1", "e2").collect()) for d in (df, hidden))
+    assert a == b

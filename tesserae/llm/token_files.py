@@ -75,7 +75,7 @@ def write_token_files(
     """Write the ids of every text, each followed by end_id, in ascending document order (null ids first).
 
     Returns the manifest: part, path, n_docs, n_tokens, doc_base, token_base; bases are prefix sums over the parts, so the
-    parts read one after another are one array. `folder` is a URI that all workers can write to; unset, a new one below the
+    parts read one after another are one array. `folder` is a URI that all workers can write to and pyarrow can open; unset, a new one below the
     shared folder. Ids take two bytes if the vocabulary allows it, else four. Parts are ranges of document ids; a task that
     runs again replaces its files as a whole.
 

@@ -15,7 +15,7 @@ from tesserae.llm.common import id_and_text
 WINDOW = 10
 BLOCK_BYTES = 16 << 20  # benchmark text whose tables are sent to the tasks at once
 LANE = 4096  # bytes of text that one scanning lane covers
-CHUNK = 4 << 20  # bytes of text scanned together
+CHUNK = 1 << 20  # bytes of text scanned together
 
 # A word is a run of bytes outside 00-2F, 3A-60 and 7B-7F after A-Z became a-z.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -156,7 +156,9 @@ def _chunks(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def _scan(searcher: Searcher):
+def _scan(searcher: Searcher, last: bool):
+    """Hits of one block of items, added to those of the blocks before; after the last block the result columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch["text"].cast(pa.large_binary())
@@ -175,42 +177,36 @@ def _scan(searcher: Searcher):
                     first = int(gaps[at] - gaps[starts[doc]])
                     spans[a + doc] = [*(spans[a + doc] or []), first, first + pattern.count(b" ") - 1]
                     items[a + doc] = sorted({*(items[a + doc] or []), *searcher.items_of[pattern]})
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    batch["text"],
-                    pa.array(words),
-                    pa.array([x or [] for x in spans], pa.list_(pa.int64())),
-                    pa.array([x or [] for x in items], pa.list_(pa.string())),
-                ],
-                names=["doc_id", "text", "n_words", "spans", "items"],
-            )
+            if last:
+                yield _result(batch["doc_id"], words, spans, items)
+                continue
+            found = [pa.array([x or [] for x in spans], pa.list_(pa.int64())), pa.array([x or [] for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], *found], names=["doc_id", "text", "spans", "items"])
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none = hashlib.sha256(b"").hexdigest()
-    for batch in batches:
-        hit, n_items, sha, merged = [], [], [], []
-        for flat, items in zip(batch["spans"].to_pylist(), batch["items"].to_pylist(), strict=True):
-            runs: list[list[int]] = []
-            for a, z in sorted(zip(flat[::2], flat[1::2], strict=True)):
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], z)
-                else:
-                    runs.append([a, z])
-            hit.append(sum(z - a for a, z in runs))
-            n_items.append(len(items))
-            sha.append(hashlib.sha256(",".join(items).encode()).hexdigest() if items else none)
-            merged.append([x for r in runs for x in r])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch["doc_id"], batch["n_words"], pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()),
-                pa.array([h > 0 for h in hit], pa.bool_()), pa.array(merged, pa.list_(pa.int64())),
-            ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
-        )
+def _result(doc_id: pa.Array, words: np.ndarray, spans: list, items: list) -> pa.RecordBatch:
+    hit, n_items, sha, merged = [], [], [], []
+    for flat, names in zip(spans, items, strict=True):
+        flat, names = flat or [], names or []
+        runs: list[list[int]] = []
+        for a, z in sorted(zip(flat[::2], flat[1::2], strict=True)):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], z)
+            else:
+                runs.append([a, z])
+        hit.append(sum(z - a for a, z in runs))
+        n_items.append(len(names))
+        sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
+        merged.append([x for r in runs for x in r])
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_id, pa.array(words), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()),
+            pa.array([h > 0 for h in hit], pa.bool_()), pa.array(merged, pa.list_(pa.int64())),
+        ],
+        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
+    )
 
 
 def decontaminate(
@@ -241,12 +237,10 @@ def decontaminate(
     spans, names = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<string>")
     out = id_and_text(docs, id_col, text_col).withColumns({"spans": spans, "items": names})
     kind = out.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text string, n_words bigint, spans array<bigint>, items array<string>"
+    between = f"doc_id {kind}, text string, spans array<bigint>, items array<string>"
+    result = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<bigint>"
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
-        searcher = Searcher([tuple(r) for r in part.collect()], width)
-        out = out.select("doc_id", "text", "spans", "items").mapInArrow(_scan(searcher), schema)
-    return out.drop("text").mapInArrow(
-        _digest,
-        f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<bigint>",
-    )
+        searcher, last = Searcher([tuple(r) for r in part.collect()], width), k == blocks - 1
+        out = out.mapInArrow(_scan(searcher, last), result if last else between)
+    return out

@@ -17,6 +17,7 @@ ORDER = 4
 CHARS_PER_LANG = 2_000_000  # expected characters of labelled text that a model is fitted on
 CALIBRATION_PER_LANG = 500_000  # and that its rejection is calibrated on
 MAX_LANGS = 256
+TOTAL_CHARS = 16_000_000  # expected characters over all languages together
 SLICE_BYTES = 2 << 20
 CACHE_WORDS = 300_000
 LEARN_WORDS = 4096  # new words scored together
@@ -244,7 +245,8 @@ def fit_language_models(
     """Models from labelled rows that are not held out; None if there are no such rows with a letter.
 
     Bounded sample: of each language, rows by a hash of the id so that about chars_per_lang characters are expected (all rows,
-    if there are fewer); the max_langs languages with most text. Rejection and scores are calibrated on other rows of about
+    if there are fewer), less where there are so many languages that all together would exceed TOTAL_CHARS; the max_langs
+    languages with most text. Rejection and scores are calibrated on other rows of about
     calibration_per_lang characters, or on the same ones where a language has no others.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -253,6 +255,8 @@ def fit_language_models(
     totals = {r.lang: r.n for r in sizes.collect() if r.n}
     if not totals:
         return None
+    chars_per_lang = min(chars_per_lang, TOTAL_CHARS // len(totals))
+    calibration_per_lang = min(calibration_per_lang, TOTAL_CHARS // 4 // len(totals))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) / 1e6
 
     def share(start: int, size: int) -> Column:

@@ -18,6 +18,7 @@ PERCENT = 80
 TILE_DOCS = 1024
 TILE_SHINGLES = 2_000_000
 FANOUT = 8
+SEEN_SETS = 100_000  # sets whose keys a task remembers to have sent
 
 
 class Classes:
@@ -167,10 +168,19 @@ def join_tile(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> np.nd
 
 def _router(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for a, z, hashes, bounds in batches_of_sets(batch["text"], width):
                 one, two = digests(hashes, bounds)
                 keys, owner = routing_keys(hashes, bounds, percent)
+                # Equal sets have equal keys: a task sends those of a set once, as long as it remembers it.
+                if len(seen) > SEEN_SETS:
+                    seen.clear()
+                fresh = np.zeros(z - a, dtype=bool)
+                for i, name in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+                    fresh[i] = name not in seen
+                    seen.add(name)
+                keys, owner = keys[fresh[owner]], owner[fresh[owner]]
                 order = np.argsort(owner, kind="stable")
                 offsets = np.searchsorted(owner[order], np.arange(z - a + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

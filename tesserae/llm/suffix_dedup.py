@@ -75,6 +75,28 @@ def find_anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length:
     return who, at, h[at], around, lo, hi, *sides
 
 
+ANCHOR = ["ah", "sh", "t1", "t2", "lo", "hi", "mid", "weight", "left", "right", "done"]
+
+
+def combine(who: np.ndarray, ah: np.ndarray, sh: np.ndarray, lo: np.ndarray, hi: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One row of each anchor with its surroundings, how often it occurs here, and what repeats here: text, start and end of runs.
+
+    Surroundings that occur twice are settled where they are read, so that a line or passage that fills the corpus goes on as one
+    row for each chunk of text.
+    """
+    _, first, same = np.unique(mix(ah, 47) ^ sh, return_index=True, return_inverse=True)
+    total = np.bincount(same, weights=times, minlength=len(first)).astype(np.int64)
+    many = np.flatnonzero(total[same] > 1)
+    many = many[np.lexsort((lo[many], who[many]))]
+    w, a, z = who[many], lo[many], hi[many]
+    if not len(many):
+        return first, total, w, a, z
+    reach = np.maximum.accumulate(w * (1 << 40) + z)
+    head = np.append(True, (w[1:] * (1 << 40) + a[1:] > reach[:-1]))
+    at = np.flatnonzero(head)
+    return first, total, w[at], a[at], reach[np.append(at[1:], len(many)) - 1] - w[at] * (1 << 40)
+
+
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,11 +124,19 @@ def _anchor_rows(length: int):
                     who, at, ah, sh, lo, hi, left, right = find_anchors(joined, begins, ends, length)
                     parts = [(who, at - lo, ah, sh, lo - begins[who], hi - begins[who], left, right)]
                 for who, mid, ah, sh, lo, hi, left, right in parts:
-                    owner = [group[w] for w in who.tolist()]
-                    cols = [ah.view(np.int64), sh.view(np.int64), [names[o][0] for o in owner], [names[o][1] for o in owner], lo, hi, mid, [weight[o] for o in owner]]
-                    sides = [pa.array(x, pa.int32(), mask=x < 0) for x in (left, right)]
-                    names_ = ["ah", "sh", "t1", "t2", "lo", "hi", "mid", "weight", "left", "right"]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *sides], names=names_)
+                    times = np.array([weight[g] for g in group])[who]
+                    first, total, who_, lo_, hi_ = combine(who, ah, sh, lo, hi, times)
+                    t1, t2 = (np.array([names[g][k] for g in group], dtype=np.int64) for k in (0, 1))
+                    done = np.append(np.zeros(len(first), dtype=bool), np.ones(len(who_), dtype=bool))
+                    nothing = np.zeros(len(who_), dtype=np.int64)
+                    cols = [
+                        (ah[first].view(np.int64), t1[who_]), (sh[first].view(np.int64), nothing), (t1[who[first]], t1[who_]), (t2[who[first]], t2[who_]),
+                        (lo[first], lo_), (hi[first], hi_), (mid[first], nothing), (total, nothing),
+                    ]
+                    sides = [np.append(x[first], nothing - 1) for x in (left, right)]
+                    arrays = [pa.array(np.concatenate(c), pa.int64()) for c in cols]
+                    arrays += [pa.array(x, pa.int32(), mask=x < 0) for x in sides]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(done)], names=ANCHOR)
 
             for i in weight:
                 size = int(offsets[i + 1] - offsets[i])
@@ -422,8 +452,8 @@ def suffix_dedup(
     Every byte covered by a string of `length` bytes that also starts anywhere else goes; strings are judged on the input.
     `removed` holds the maximal removed runs as [start, end, start, end, ...].
 
-    1. Anchors: every string of `length` bytes has a piece that its content alone picks. Anchors and hashes of all that
-       strings around them can reach are rows of a few numbers; copies within a batch are rows with a weight.
+    1. Anchors: every string of `length` bytes has a piece that its content alone picks. Anchors and hashes of what the strings
+       that pick them cover are rows of a few numbers; what repeats within a chunk of text is settled there and goes on once.
     2. An anchor that is alone is done. Surroundings that occur twice repeat as a whole. Surroundings that share neither of
        their nearer sides with different ones can hold no string that those have.
     3. The other different surroundings of an anchor, one of each, go to a shard: a suffix array by Larsson and Sadakane's refinement
@@ -437,7 +467,7 @@ def suffix_dedup(
     parts = shuffle_width(docs)
     texts = id_and_text(docs, id_col, text_col).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     anchors = texts.select("t1", "t2", "text").mapInArrow(
-        _anchor_rows(length), "ah bigint, sh bigint, t1 bigint, t2 bigint, lo bigint, hi bigint, mid bigint, weight bigint, left int, right int"
+        _anchor_rows(length), "ah bigint, sh bigint, t1 bigint, t2 bigint, lo bigint, hi bigint, mid bigint, weight bigint, left int, right int, done boolean"
     )
     same, near = Window.partitionBy("ah"), Window.partitionBy("ah", "sh")
 
@@ -446,15 +476,15 @@ def suffix_dedup(
 
     seen = (
         anchors.withColumns({"all": F.sum("weight").over(same)})
-        .filter("all > 1")
+        .filter("all > 1 or done")
         .withColumns({"equal": F.sum("weight").over(near), "on_left": alike("left"), "on_right": alike("right")})
         .withColumn("open", F.coalesce(F.col("on_left") > F.col("equal"), F.lit(False)) | F.coalesce(F.col("on_right") > F.col("equal"), F.lit(False)))
-        .filter("equal > 1 or open")
+        .filter("equal > 1 or open or done")
         .withColumn("nth", F.dense_rank().over(same.orderBy(F.desc("open"), "sh")))
         .withColumns({"kinds": F.max(F.when(F.col("open"), F.col("nth"))).over(same), "first": F.row_number().over(near.orderBy("t1", "t2", "lo")) == 1})
     )
-    seen = cut(seen.select("ah", "t1", "t2", "lo", "hi", "mid", "equal", "open", "nth", "kinds", "first"))
-    whole = seen.filter("equal > 1").select("t1", "t2", F.col("lo").alias("start"), F.col("hi").alias("stop"))
+    seen = cut(seen.select("ah", "t1", "t2", "lo", "hi", "mid", "equal", "open", "nth", "kinds", "first", "done"))
+    whole = seen.filter("equal > 1 or done").select("t1", "t2", F.col("lo").alias("start"), F.col("hi").alias("stop"))
     spread = F.col("kinds") > split_rows
     part = F.when(spread, F.floor(F.col("nth") / split_rows)).otherwise(0).alias("part")
     asked = seen.filter("first and open").select(

@@ -264,15 +264,16 @@ def jaccard_join(
         )
     )
     need = F.ceil(F.greatest(F.count(F.lit(1)) / tile_docs, F.sum("n_shingles") / tile_shingles)).cast("int")
-    tiles = members.groupBy("center").agg(need.alias("tiles"))
-    placed = members.join(tiles, "center").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    # Only centres that fill several tiles are joined back, as rows of their own, so that Spark can split the join at one of them.
+    several = cut(members.groupBy("center").agg(need.alias("tiles")).filter("tiles > 1"))
+    placed = members.join(several, "center", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     spread = F.when(F.col("is_center"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
     first = placed.withColumn("lo", F.explode(spread)).select("center", "lo", F.col("lo").alias("hi"), "rep", "d1", "d2", F.col("rep").alias("label"))
     links = cut(_join_tiles(rows, first, parts, width, percent))
     found = components(links)
-    large = placed.filter("tiles > 1")
-    if not tiles.filter("tiles > 1").isEmpty():
-        second = _tile_pairs(large, found)
+    if not several.isEmpty():
+        second = _tile_pairs(placed.filter("tiles > 1"), found)
         links = cut(links.union(_join_tiles(rows, second, parts, width, percent)))
         found = components(links)
     home = classes.join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))

@@ -1,8 +1,8 @@
 """The corpus pipeline: language, exact copies, near copies, benchmark passages, packed sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept and returns a DataFrame; all but the last
-return the columns of documents. Rows are matched to an operator's result by position-free keys: an id that several rows share
-is decided for each of its texts.
+return the columns of documents. Decisions are by row, so ids may repeat or be null: where an operator looks at one text at a
+time the row itself goes through it, and where it compares rows each gets a number of its own.
 """
 
 from __future__ import annotations
@@ -21,32 +21,59 @@ from tesserae.llm.packing import pack
 ORACLE_SQL = None  # language models and tokens have no SQL; the stages are tested against brute force
 
 
-def keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Documents whose id is among the chosen ones; columns as they were."""
-    ids = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi")
+def carried(docs: DataFrame) -> DataFrame:
+    """Each row as one value `row`, next to its text; an operator that decides by text alone passes it on as the id."""
+    return docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), "text")
+
+
+def unpacked(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The carried rows, columns as they were."""
+    return found.select(*[F.col(f"doc_id.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with `row`, a number of its own for each row, and `rank`, which orders rows by id (null last) and content.
+
+    Written out, so that every read of it, also one after a lost task, finds the same numbers. Rows that differ in nothing may
+    swap numbers from run to run.
+    """
+    out = fresh_dir(spark, "rows")
+    digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns])
+    docs.withColumns({"row": F.monotonically_increasing_id(), "digest": digest}).write.option("compression", "zstd").parquet(out)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "row")
+    return spark.read.parquet(out).withColumn("rank", rank).drop("digest")
+
+
+def keep(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The numbered rows that are chosen; columns as they were."""
+    return rows.join(chosen.select("row"), "row", "left_semi").drop("row", "rank")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no language model rejects; models learn from the labelled documents of the table itself."""
-    found = identify(docs, fit_language_models(docs))
-    return keep(docs, found.filter(~F.col("rejected")))
+    found = identify(carried(docs), fit_language_models(docs), id_col="row")
+    return unpacked(found.filter(~F.col("rejected")), docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one that the operator keeps."""
-    return keep(docs, exact_dedup(docs).filter("kept"))
+    rows = numbered(spark, docs)
+    return keep(rows, exact_dedup(rows, id_col="rank").filter("kept").select("doc_id.row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five words, 0.8): the one with the smallest id."""
-    return keep(docs, jaccard_join(docs, width=5, percent=80).filter("doc_id <=> component_id"))
+    """One document of each component of near copies (five words, 0.8): the one with the smallest id, null last."""
+    rows = numbered(spark, docs)
+    found = jaccard_join(rows, id_col="row", width=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    first = found.join(rows.select("row", "rank"), "row").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    return keep(rows, first.select("rank.row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return keep(docs, decontaminate(docs, benchmark).filter(~F.col("contaminated")))
+    found = decontaminate(carried(docs), benchmark, id_col="row")
+    return unpacked(found.filter(~F.col("contaminated")), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,54 @@ def test_run_chains_the_stages(spark):
             assert offset == at
             at += length
         assert at <= 4096
+
+
+def lorem(seed):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
+
+
+@pytest.fixture
+def odd(spark, docs):
+    """Rows of (doc_id, text) with two files' worth of partitions, in the columns of documents."""
+    return lambda rows: spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)], docs.schema).repartition(3)
+
+
+def got(name, spark, table):
+    out = stage(name)(spark, table, SF)
+    assert out.columns == COLUMNS
+    return sorted(texts(out), key=str)
+
+
+def test_repeated_shared_and_null_ids_in_the_exact_stage(spark, odd):
+    a, b, c, d = map(lorem, "abcd")
+    rows = [(1, a)] * 3 + [(2, a), (None, a), (3, b), (3, c), (None, c), (None, d), (None, d), (4, None), (4, "")]
+    out = got("exact dedup", spark, odd(rows))
+    assert [x for x in out if x[1]] == sorted([(1, a), (3, b), (3, c), (None, d)], key=str)
+    assert len(out) == 5
+
+
+def test_repeated_shared_and_null_ids_in_the_near_stage(spark, odd):
+    a, b, c, d = map(lorem, "abcd")
+    rows = [(1, a)] * 3 + [(0, a + " more"), (3, b), (3, c), (3, c + " more"), (None, d), (None, d + " more"), (None, d), (None, b), (5, None), (5, None)]
+    out = got("near dedup", spark, odd(rows))
+    first = [x for x in out if x[0] in (0, 1)]
+    assert first == [(0, a + " more")]
+    assert sum(x == (3, b) for x in out) == 1 and sum(x[0] == 3 and x[1].startswith(c) for x in out) == 1
+    assert sum(x[0] is None for x in out) == 1 and next(x[1] for x in out if x[0] is None).startswith(d)
+    assert sum(x == (5, None) for x in out) == 2 and len(out) == 6
+
+
+def test_shared_and_null_ids_are_decided_by_row_in_the_decontamination_stage(spark, odd):
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    clean, bad = lorem("x"), f"{lorem('y')} {passage} {lorem('z')}"
+    out = got("decontamination", spark, odd([(1, clean), (1, bad), (None, clean), (None, bad), (2, bad), (3, clean), (3, clean)]))
+    assert out == sorted([(1, clean), (None, clean), (3, clean), (3, clean)], key=str)
+
+
+def test_shared_and_null_ids_are_decided_by_row_in_the_language_stage(spark, docs):
+    good = docs.filter("n_chars > 500").limit(1).select("text").first().text
+    junk = [(7001, good), (7001, "12345"), (None, good), (None, "!!")]
+    extra = spark.createDataFrame([(i, t, None, "s", 0) for i, t in junk], docs.schema)
+    out = stage("language ID")(spark, docs.union(extra), SF)
+    assert sorted(texts(out.filter("doc_id = 7001 or doc_id is null")), key=str) == sorted([(7001, good), (None, good)], key=str)

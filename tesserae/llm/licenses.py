@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +63,26 @@ RULES = [
     ("LicenseRef-all-rights-reserved", (24,)),
 ]
 
-# Every known sentence holds one of these, so that other sentences need no lookup.
+GPL = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+GRANT = "distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+
+# Sentences of published notices that go on after a known one or hold several, and the identifiers they stand for.
+PUBLISHED = {
+    SENTENCES[7] + " the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+    "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions": (7,),
+    SENTENCES[9] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": (9,),
+    GPL + SENTENCES[13]: (12, 13),
+    GPL + SENTENCES[25]: (12, 25),
+    "permission to use copy modify and or " + GRANT: (26,),
+    "permission to use copy modify and " + GRANT: (26,),
+}
+
+# Every known sentence holds one of these.
 MARKS = "licen|permission|warranty|copyright|rights reserved|public domain|redistribut|free software"
-BREAK = r"[.!?;:]+(\s+|$)|\n"
+BREAK = r"[.!?;:]+(\s+|$)|\n"  # how the SQL cuts, which knows no wrapped lines
+END = r"(?<![.!?;:])(?:[!?;:]|(?<!\bv)\.|\.(?![^a-z0-9]+[0-9]))[.!?;:]*+(?:\s+|$)"  # ends a sentence; 'v. 2.0' does not
+STOP = "\x01"
 PERMISSIVE = ("Apache-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause", "CC-BY-4.0", "Unlicense", "ISC")
 
 
@@ -76,8 +95,9 @@ def license_scan(
 ) -> DataFrame:
     """One row per document: doc_id, sentence_ids, licenses, permissive.
 
-    Texts are cut at line ends and after . ! ? ; : before white space; a sentence that is known after normalisation becomes
-    its identifier, others drop out. Rules are tried in order on what is left of the identifier sequence: a rule whose
+    Sentences end after . ! ? ; : before white space. A known sentence counts where it fills whole lines, one or several wrapped
+    ones, between sentence ends, line ends and blank lines; it becomes its identifiers, the longest first, and what lies between
+    drops out. Comment marks at the ends of lines do not matter. Rules are tried in order on what is left of the identifier sequence: a rule whose
     identifiers stand there side by side adds its licence and takes all such places. `licenses` has distinct names in rule
     order; `permissive` is true if there are some and all are permissive. All of it is one projection of the scan.
 
@@ -85,11 +105,15 @@ def license_scan(
     """
     known = SENTENCES if sentences is None else sentences
     ordered = RULES if rules is None else rules
-    table = F.create_map(*[F.lit(x) for k, s in known.items() for x in (s, k)])
-    marked = F.filter(F.split(F.lower("text"), BREAK, -1), lambda s: s.rlike(MARKS) if sentences is None else F.lit(True))
-    ids = F.filter(
-        F.transform(marked, lambda s: table[F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))]), lambda i: i.isNotNull()
-    )
+    spelled = {s: (k,) for k, s in known.items()} | (PUBLISHED if sentences is None else {})
+    table = F.create_map(*[x for s, ids in spelled.items() for x in (F.lit(s), F.array(*map(F.lit, ids)))])
+    longest = sorted(spelled, key=len, reverse=True)
+    pattern = "|".join(r"[ \n]".join(map(re.escape, s.split(" "))) for s in longest)
+    plain = F.regexp_replace(F.translate(F.lower("text"), STOP, " "), END, STOP)
+    plain = F.regexp_replace(F.concat(F.lit(STOP), plain, F.lit(STOP)), rf"[^a-z0-9\n{STOP}]+", " ")
+    plain = F.regexp_replace(plain, rf" ?([\n{STOP}]) ?", "$1")
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<=[\n{STOP}])(?:{pattern})(?=[\n{STOP}])"), F.lit(0))
+    ids = F.flatten(F.transform(found, lambda s: table[F.translate(s, "\n", " ")]))
     out = id_and_text(docs, id_col, text_col).select("doc_id", ids.alias("sentence_ids"))
     rest = F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))))
     out = out.withColumns({"rest": rest, "hits": F.array().cast("array<string>")})

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -73,6 +74,72 @@ def test_license_scan(spark):
     assert got[9] == (["Apache-2.0"], True)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software is distributed on an "AS IS" BASIS."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+@pytest.mark.parametrize("width", [40, 72, 79, 10_000])
+def test_license_scan_of_wrapped_notices(spark, width):
+    notices = [
+        ("MIT", MIT, [7, 8, 9]), ("BSD-3-Clause", BSD, [18, 19, 20, 21]), ("GPL-3.0-or-later", GPL, [11, 12, 13]), ("Apache-2.0", APACHE, [2, 3, 4]),
+        ("ISC", ISC, [26]), ("MPL-2.0", MPL, [22]), ("GPL-2.0-or-later", GPL.replace("version 3", "version 2"), [11, 12, 25]),
+    ]
+    styles = [("", "\n"), (" * ", "\n"), ("# ", "\r\n")]
+    docs, want = [], {}
+    for name, text, ids in notices:
+        for mark, end in styles:
+            blocks = [textwrap.wrap(" ".join(b.split()), width) for b in text.split("\n\n")]
+            lines = [x for b in blocks for x in [*b, ""]]
+            want[len(docs)] = ([name], ids)
+            docs.append((len(docs), end.join(mark + x for x in ["A title", "Copyright (c) 2020 Somebody", "", *lines, "some code"])))
+    got = license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licenses, r.sentence_ids) for r in got} == want
+
+
+def test_license_scan_does_not_join_over_blank_lines_or_within_sentences(spark):
+    docs = [
+        (1, "released under\n\nthe mit license"), (2, "it is not\nreleased under the mit license or so"), (3, "all\nrights\nreserved"),
+        (4, "x\x01released under the mit license"), (5, "all rights reserved\nreleased under the\nmit license\nmore"), (6, "." * 50_000 + "x"),
+    ]
+    got = {r.doc_id: r.sentence_ids for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [24], 4: [], 5: [24, 5], 6: []}
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     models = fit_language_models(docs)

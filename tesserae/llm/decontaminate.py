@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_and_text
+from tesserae.llm.common import cut, id_and_text
+from tesserae.llm.shingles import BYTE, mix
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20  # benchmark text whose tables are sent to the tasks at once
-LANE = 4096  # bytes of text that one scanning lane covers
+BLOCK_BYTES = 4 << 20  # item text that is searched for at once
+PIECE_WORDS = 4096  # words of an item that stay together
+LANE = 512  # bytes of text that one scanning lane covers
 CHUNK = 1 << 20  # bytes of text scanned together
 
 # A word is a run of bytes outside 00-2F, 3A-60 and 7B-7F after A-Z became a-z.
@@ -23,6 +25,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[0x00:0x30] = IS_WORD[0x3A:0x61] = IS_WORD[0x7B:0x80] = False
 GAP = np.uint8(0x20)
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words in text that was not lower-cased
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def spell(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,99 +55,194 @@ def spell(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, upto[ends] + order
 
 
-def item_windows(words: list[bytes], width: int) -> list[bytes]:
-    """Windows of an item as spelled patterns with a gap on either side."""
-    if not words:
-        return []
-    return [b" " + b" ".join(words[i : i + width]) + b" " for i in range(max(1, len(words) - width + 1))]
-
-
 def split_words(text: str) -> list[bytes]:
     low = LOWER[np.frombuffer(text.encode(), dtype=np.uint8)]
     return np.where(IS_WORD[low], low, GAP).tobytes().split()
 
 
+def _pieces(width: int, piece_words: int):
+    """Words of items in pieces of bounded length that overlap, so that every window is whole in one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                words = split_words(text or "")
+                step = max(1, piece_words - width + 1)
+                parts = [b" ".join(words[i : i + step + width - 1]) for i in range(0, max(1, len(words) - width + 1), step)] if words else []
+                cols = [pa.array([str(item)] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["item", "nth", "words"])
+
+    return run
+
+
+def _eight(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; places beyond the end read as zeros."""
+    padded = np.concatenate((text, np.zeros(8, dtype=np.uint8)))
+    return np.ndarray(shape=(len(text),), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def window_digest(store: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128 bits that tell the strings store[start:stop] apart."""
+    up = np.full(len(store) + 1, SPREAD, dtype=np.uint64)
+    up[:1] = 1
+    down = np.full(len(store) + 1, pow(int(SPREAD), -1, 1 << 64), dtype=np.uint64)
+    down[:1] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    out = np.zeros(len(start), dtype="u8,u8")
+    for c, salt in (("f0", 51), ("f1", 52)):
+        upto = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(BYTE, salt)[store] * up[:-1], dtype=np.uint64)))
+        out[c] = mix((upto[stop] - upto[start]) * down[start] + mix((stop - start).astype(np.uint64), salt))
+    return out
+
+
 class WuManber:
-    """Shift, suffix-hash and pattern tables for patterns of one length class.
+    """Shift table and suffix-hash buckets for patterns of one length class, in plain arrays that can be sent to tasks.
 
-    Every pattern is judged on its first m bytes, m the shortest length. shift[h] tells how far the window may move when its
-    last block of `block` bytes hashes to h; patterns whose first m bytes end in a block of that hash are in its bucket.
+    Patterns are places in a store of spelled words: start and size. Every pattern is judged on its first m bytes, m the
+    shortest size. shift[h] tells how far the window may move when its last block of `block` bytes hashes to h, in a table whose
+    size follows the number of blocks. bucket holds, sorted, the hash of each pattern's last such block and below it a hash of its first
+    m bytes, so that one binary search picks the test strings that are worth a comparison.
     """
 
-    def __init__(self, patterns: list[bytes]):
-        self.patterns = patterns
-        self.m = min(map(len, patterns))
+    def __init__(self, start: np.ndarray, size: np.ndarray, eight: np.ndarray):
+        self.m = int(size.min())
         self.block = min(8, max(1, self.m // 2))
-        self.bits = 18
-        heads = np.frombuffer(b"".join(p[: self.m] for p in patterns), dtype=np.uint8).reshape(len(patterns), self.m)
-        self.shift = np.full(1 << self.bits, self.m - self.block + 1, dtype=np.int32)
-        for end in range(self.block, self.m + 1):
-            h = self._hash(self._pack(heads[:, end - self.block : end]))
-            np.minimum.at(self.shift, h, self.m - end)
-        tail = self._hash(self._pack(heads[:, self.m - self.block :]))
-        self.order = np.argsort(tail, kind="stable")
-        self.tails = tail[self.order]
-
-    def _pack(self, blocks: np.ndarray) -> np.ndarray:
-        value = np.zeros(len(blocks), dtype=np.uint64)
-        for i in range(self.block):
-            value |= blocks[:, i].astype(np.uint64) << np.uint64(8 * i)
-        return value
+        self.mask = np.uint64((1 << (8 * self.block)) - 1)
+        blocks = self.m - self.block + 1
+        self.bits = max(12, (4 * min(len(start) * blocks, len(eight))).bit_length())
+        self.shift = np.full(1 << self.bits, min(255, blocks), dtype=np.uint8)
+        for k in range(blocks):  # shorter shifts come later and replace longer ones
+            self.shift[self._hash(eight[start + k] & self.mask)] = min(255, blocks - 1 - k)
+        bucket = self._bucket(eight, start)
+        order = np.argsort(bucket, kind="stable")
+        self.bucket, self.order = bucket[order], order.astype(np.int32)
 
     def _hash(self, value: np.ndarray) -> np.ndarray:
-        return ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all occurrences in text and the pattern found there."""
-        n, m, b = len(text), self.m, self.block
-        none = np.zeros(0, dtype=np.int64)
-        if n < m:
-            return none, none
-        padded = np.concatenate((text, np.zeros(8, dtype=np.uint8)))
-        eight = np.ndarray(shape=(n,), dtype="<u8", buffer=padded, strides=(1,))
-        mask = np.uint64((1 << (8 * b)) - 1)
+        return ((value * SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _bucket(self, eight: np.ndarray, at: np.ndarray) -> np.ndarray:
+        front = np.zeros(len(at), dtype=np.uint64)
+        for j in range(0, self.m - 7, 8):
+            front = (front ^ eight[at + j]) * SPREAD
+            front ^= front >> np.uint64(29)
+        tail = self._hash(eight[at + self.m - self.block] & self.mask).astype(np.uint64)
+        return tail << np.uint64(64 - self.bits) | front >> np.uint64(self.bits)
+
+    def candidates(self, eight: np.ndarray) -> np.ndarray:
+        """Places where the shift table lets a pattern begin."""
+        n, m, b = len(eight), self.m, self.block
         # Lanes move on their own, each by its own shift; a lane owns the window starts [k * LANE, (k + 1) * LANE).
         pos = np.arange(0, n - m + 1, LANE, dtype=np.int64)
         stop = np.minimum(pos + LANE, n - m + 1)
-        found = []
+        found = [np.zeros(0, dtype=np.int64)]
         while len(pos):
-            h = self._hash(eight[pos + m - b] & mask)
-            step = self.shift[h]
-            hit = step == 0
-            if hit.any():
-                found.append((pos[hit], h[hit]))
+            step = self.shift[self._hash(eight[pos + m - b] & self.mask)]
+            found.append(pos[step == 0])
             pos = pos + np.maximum(step, 1)
             live = pos < stop
-            pos, stop = pos[live], stop[live]
-        if not found:
-            return none, none
-        at, h = (np.concatenate(x) for x in zip(*found, strict=True))
-        lo, hi = np.searchsorted(self.tails, h), np.searchsorted(self.tails, h, side="right")
-        starts, which = [], []
-        raw = text.tobytes()
-        for p, a, z in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            for k in self.order[a:z].tolist():
-                if raw.startswith(self.patterns[k], p):
-                    starts.append(p)
-                    which.append(k)
-        return np.array(starts, dtype=np.int64), np.array(which, dtype=np.int64)
+            if not live.all():
+                pos, stop = pos[live], stop[live]
+        return np.concatenate(found)
+
+    def find(self, eight: np.ndarray, pattern: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all occurrences in a text and the pattern found there; `eight` and `pattern` spell text and store."""
+        at = self.candidates(eight)
+        key = self._bucket(eight, at)
+        lo = np.searchsorted(self.bucket, key)
+        some = self.bucket[np.minimum(lo, len(self.bucket) - 1)] == key
+        at, lo, key = at[some], lo[some], key[some]
+        many = np.searchsorted(self.bucket, key, side="right") - lo
+        place = np.repeat(at, many)
+        which = self.order[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(place))].astype(np.int64)
+        inside = place + size[which] <= len(eight)
+        place, which = place[inside], which[inside]
+        # The direct comparison: block after block, the last one where the pattern ends.
+        tail = size[which] - self.block
+        for j in range(0, int(size.max()), self.block):
+            k = np.minimum(tail, j)
+            same = ((eight[place + k] ^ pattern[start[which] + k]) & self.mask) == 0
+            if not same.all():
+                place, which, tail = place[same], which[same], tail[same]
+            if not len(place) or j >= tail.max():
+                break
+        return place, which
 
 
 class Searcher:
-    """Wu-Manber tables by length class over the distinct windows of some items."""
-
-    def __init__(self, items: list[tuple[object, str | None]], width: int):
-        self.items_of: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for w in item_windows(split_words(text or ""), width):
-                self.items_of.setdefault(w, set()).add(str(item))
-        classes: dict[int, list[bytes]] = {}
-        for p in sorted(self.items_of):
-            classes.setdefault(min(6, len(p).bit_length()), []).append(p)
-        self.tables = [WuManber(p) for _, p in sorted(classes.items())]
+    """Wu-Manber tables by length class over the distinct windows of some pieces of items."""
+
+    def __init__(self, pieces: list[tuple[str, bytes]], width: int):
+        self.names = sorted({item for item, _ in pieces})
+        number = {item: i for i, item in enumerate(self.names)}
+        self.store = np.frombuffer(b"".join(b" " + text + b" " for _, text in pieces), dtype=np.uint8)
+        self.eight = _eight(self.store)
+        ends = np.cumsum([len(text) + 2 for _, text in pieces], dtype=np.int64)
+        gaps = np.flatnonzero(self.store == GAP)
+        upto = np.searchsorted(gaps, ends).tolist()
+        start, stop, words, item = ([np.zeros(0, dtype=np.int64)] for _ in range(4))
+        for (name, _), lo, hi in zip(pieces, [0, *upto], upto, strict=False):
+            k = min(width, hi - lo - 1)
+            start.append(gaps[lo : hi - k])
+            stop.append(gaps[lo + k : hi] + 1)
+            words.append(np.full(len(start[-1]), k))
+            item.append(np.full(len(start[-1]), number[name]))
+        start, stop, words, item = (np.concatenate(x) for x in (start, stop, words, item))
+        name = window_digest(self.store, start, stop)
+        _, first, pattern = np.unique(name, return_index=True, return_inverse=True)
+        self.start, self.size, self.words = start[first], (stop - start)[first], words[first]
+        both = np.unique(pattern.astype(np.int64) << 32 | item)
+        self.item = both & 0xFFFFFFFF
+        self.item_from = np.searchsorted(both >> 32, np.arange(len(first) + 1))
+        kind = np.minimum(6, np.frexp(self.size)[1])
+        members = [np.flatnonzero(kind == c) for c in range(7)]
+        self.tables = [(own, WuManber(self.start[own], self.size[own], self.eight)) for own in members if len(own)]
 
-    def find(self, text: np.ndarray) -> list[tuple[int, bytes]]:
-        return [(s, t.patterns[k]) for t in self.tables for s, k in zip(*(x.tolist() for x in t.find(text)), strict=True)]
+    def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all occurrences in spelled text and the pattern found there."""
+        at, which = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        eight = _eight(text)
+        for own, table in self.tables:
+            if table.m <= len(text):
+                place, k = table.find(eight, self.eight, self.start[own], self.size[own])
+                at.append(place)
+                which.append(own[k])
+        return np.concatenate(at), np.concatenate(which)
+
+    def texts(self, text: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
+        """Of each text: its number of words, hit word ranges as [start, end, ...] and the items found."""
+        text = text.cast(pa.large_binary())
+        offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
+        words = np.zeros(len(text), dtype=np.int64)
+        spans: list[list[int]] = [[] for _ in range(len(text))]
+        items: list[list[str]] = [[] for _ in range(len(text))]
+        for a, z in _chunks(np.diff(offsets), CHUNK):
+            base = offsets[a]
+            spelled, ends = spell(data[base : offsets[z]], offsets[a + 1 : z + 1] - base)
+            gaps = np.concatenate(([0], np.cumsum(spelled == GAP)))
+            starts = np.concatenate(([0], ends[:-1]))
+            words[a:z] = gaps[ends] - gaps[starts] - 1
+            at, which = self.find(spelled)
+            doc = np.searchsorted(ends, at, side="right")
+            first = gaps[at] - gaps[starts[doc]]
+            order = np.lexsort((first, doc))
+            doc, first, which = doc[order], first[order], which[order]
+            bounds = [*np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))[: len(doc)].tolist(), len(doc)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                i = a + int(doc[lo])
+                spans[i] = _merge(first[lo:hi], first[lo:hi] + self.words[which[lo:hi]])
+                found = {n for p in set(which[lo:hi].tolist()) for n in self.item[self.item_from[p] : self.item_from[p + 1]].tolist()}
+                items[i] = [self.names[n] for n in sorted(found)]
+        return words, spans, items
+
+
+def _merge(start: np.ndarray, stop: np.ndarray) -> list[int]:
+    """The union of half-open ranges, sorted by start, as [start, end, start, end, ...]."""
+    reach = np.maximum.accumulate(stop)
+    new = np.append(True, start[1:] > reach[:-1])
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(start)) - 1
+    return np.column_stack((start[heads], reach[tails])).ravel().tolist()
 
 
 def _chunks(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -156,59 +255,74 @@ def _chunks(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def _scan(searcher: Searcher, last: bool):
-    """Hits of one block of items, added to those of the blocks before; after the last block the result columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch["text"].cast(pa.large_binary())
-            offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
-            words = np.zeros(len(text), dtype=np.int64)
-            spans, items = batch["spans"].to_pylist(), batch["items"].to_pylist()
-            for a, z in _chunks(np.diff(offsets), CHUNK):
-                base = offsets[a]
-                spelled, ends = spell(data[base : offsets[z]], offsets[a + 1 : z + 1] - base)
-                gaps = np.concatenate(([0], np.cumsum(spelled == GAP)))
-                starts = np.concatenate(([0], ends[:-1]))
-                words[a:z] = gaps[ends] - gaps[starts] - 1
-                for at, pattern in searcher.find(spelled):
-                    doc = int(np.searchsorted(ends, at, side="right"))
-                    first = int(gaps[at] - gaps[starts[doc]])
-                    spans[a + doc] = [*(spans[a + doc] or []), first, first + pattern.count(b" ") - 1]
-                    items[a + doc] = sorted({*(items[a + doc] or []), *searcher.items_of[pattern]})
-            if last:
-                yield _result(batch["doc_id"], words, spans, items)
-                continue
-            found = [pa.array([x or [] for x in spans], pa.list_(pa.int64())), pa.array([x or [] for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], *found], names=["doc_id", "text", "spans", "items"])
-
-    return run
+RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<bigint>"
 
 
-def _result(doc_id: pa.Array, words: np.ndarray, spans: list, items: list) -> pa.RecordBatch:
-    hit, n_items, sha, merged = [], [], [], []
-    for flat, names in zip(spans, items, strict=True):
-        flat, names = flat or [], names or []
-        runs: list[list[int]] = []
-        for a, z in sorted(zip(flat[::2], flat[1::2], strict=True)):
-            if runs and a <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], z)
-            else:
-                runs.append([a, z])
-        hit.append(sum(z - a for a, z in runs))
-        n_items.append(len(names))
-        sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        merged.append([x for r in runs for x in r])
+def _result(doc_id: pa.Array, words: pa.Array, spans: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+    hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+    sha = [hashlib.sha256(",".join(names).encode()).hexdigest() for names in items]
     return pa.RecordBatch.from_arrays(
         [
-            doc_id, pa.array(words), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()),
-            pa.array([h > 0 for h in hit], pa.bool_()), pa.array(merged, pa.list_(pa.int64())),
+            doc_id, words, pa.array(hit, pa.int64()), pa.array([len(n) for n in items], pa.int64()), pa.array(sha, pa.string()),
+            pa.array([h > 0 for h in hit], pa.bool_()), pa.array(spans, pa.list_(pa.int64())),
         ],
         names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
     )
 
 
+def _arrays(searcher: Searcher) -> dict:
+    """The searcher as plain values: what is broadcast names no class of this package."""
+    tables = [(own, vars(table)) for own, table in searcher.tables]
+    return {k: v for k, v in vars(searcher).items() if k != "eight"} | {"tables": tables}
+
+
+def _searcher(arrays: dict) -> Searcher:
+    def filled(kind, values):
+        out = kind.__new__(kind)
+        vars(out).update(values)
+        return out
+
+    return filled(Searcher, arrays | {"eight": _eight(arrays["store"]), "tables": [(own, filled(WuManber, t)) for own, t in arrays["tables"]]})
+
+
+def _scan_all(sent):
+    """Result columns where one block holds all items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = _searcher(sent.value)
+        for batch in batches:
+            words, spans, items = searcher.texts(batch["text"])
+            yield _result(batch["doc_id"], pa.array(words), spans, items)
+
+    return run
+
+
+def _scan_block(sent):
+    """Of texts with hits of this block: digest, spans, items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = _searcher(sent.value)
+        for batch in batches:
+            _, spans, items = searcher.texts(batch["text"])
+            some = pa.array([i for i, s in enumerate(spans) if s], pa.int64())
+            cols = [batch["t1"].take(some), batch["t2"].take(some)]
+            cols += [pa.array(spans, pa.list_(pa.int64())).take(some), pa.array(items, pa.list_(pa.string())).take(some)]
+            yield pa.RecordBatch.from_arrays(cols, names=["t1", "t2", "spans", "items"])
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Result columns from what all blocks found."""
+    for batch in batches:
+        spans, items = [], []
+        for lists, names in zip(batch["spans"].to_pylist(), batch["items"].to_pylist(), strict=True):
+            both = sorted((a, z) for one in lists or [] for a, z in zip(one[::2], one[1::2], strict=True))
+            spans.append(_merge(*(np.array(x, dtype=np.int64) for x in zip(*both, strict=True))) if both else [])
+            items.append(sorted({n for one in names or [] for n in one}))
+        yield _result(batch["doc_id"], batch["n_words"], spans, items)
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -218,29 +332,45 @@ def decontaminate(
     item_text_col: str = "text",
     width: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    piece_words: int = PIECE_WORDS,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans.
 
     A window is `width` consecutive words of an item, or a shorter item as a whole. hit_spans holds merged, half-open word
     ranges as [start, end, start, end, ...]; n_hit counts the words in them.
 
-    Texts are scanned where they are read, with no shuffle. The search tables hold at most about block_bytes of benchmark
-    text at once: a larger benchmark is cut into blocks by a hash of its ids and the documents pass all blocks in turn, so
-    what a task holds never grows with the benchmark; an item over block_bytes is a block of its own.
+    Texts are scanned where they are read. Items are cut into overlapping pieces of at most `piece_words` words and the pieces dealt over
+    blocks of about block_bytes of text. With one block, the scan gives the result and nothing is shuffled. With more, the
+    texts are scanned once for each block; hits of a block are written to the shared folder before the next one begins, so that
+    driver and tasks hold the tables of one block at a time, and meet by a 128-bit digest of their text.
 
     Null or wordless texts have no words and no hits; null or wordless items have no windows. A null item id counts as the
-    string None. Repeated items count once by id. Repeated documents each get a row. Empty tables are allowed.
+    string None. Repeated items count once by id. Repeated documents and null ids each get a row; other columns of either table
+    are ignored. Empty tables are allowed.
     """
+    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = cut(items.mapInArrow(_pieces(width, piece_words), "item string, nth bigint, words binary"))
+    size = pieces.agg(F.sum(F.octet_length("words") + 2)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    spans, names = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<string>")
-    out = id_and_text(docs, id_col, text_col).withColumns({"spans": spans, "items": names})
-    kind = out.schema["doc_id"].dataType.simpleString()
-    between = f"doc_id {kind}, text string, spans array<bigint>, items array<string>"
-    result = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<bigint>"
+    block = F.pmod(F.xxhash64("item", "nth"), F.lit(blocks))
+
+    def send(k: int):
+        own = pieces.filter(block == k).select("item", "words").orderBy("item", "nth").collect()
+        return spark.sparkContext.broadcast(_arrays(Searcher([(r.item, bytes(r.words)) for r in own], width)))
+
+    rows = id_and_text(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    if blocks == 1:
+        return rows.mapInArrow(_scan_all(send(0)), f"doc_id {kind}, {RESULT}")
+    rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    found = None
     for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
-        searcher, last = Searcher([tuple(r) for r in part.collect()], width), k == blocks - 1
-        out = out.mapInArrow(_scan(searcher, last), result if last else between)
-    return out
+        sent = send(k)
+        hits = cut(rows.select("t1", "t2", "text").mapInArrow(_scan_block(sent), "t1 bigint, t2 bigint, spans array<bigint>, items array<string>"))
+        sent.destroy()
+        found = hits if found is None else found.union(hits)
+    by_text = found.groupBy("t1", "t2").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
+    counted = rows.select("doc_id", "t1", "t2", F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words"))
+    met = counted.join(by_text, ["t1", "t2"], "left").select("doc_id", "n_words", "spans", "items")
+    return met.mapInArrow(_gather, f"doc_id {kind}, {RESULT}")

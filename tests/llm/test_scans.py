@@ -51,6 +51,50 @@ def test_decontaminate(spark, block_bytes):
     assert decontaminate(d, b.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontaminate_with_repeats_null_ids_and_cut_items(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(50)}" for _ in range(900)]
+    items = [("a", " ".join(words)), ("b", " ".join(words[300:340])), (None, " ".join(words[5:20])), ("a", " ".join(words[880:]))]
+    texts = [" ".join(words[i : i + 9 + i % 17] + ["x"]) for i in range(0, 880, 40)] + ["clean words only", None]
+    docs = [(i, t, "s") for i, t in enumerate(texts)]
+    d = spark.createDataFrame([*docs, *docs, (None, texts[0], "s"), (None, None, "s")], "doc_id long, text string, spans string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    want = brute(docs_of(d), items, 10)
+    for more in ({}, {"piece_words": 40}, {"piece_words": 40, "block_bytes": 900}):
+        got = decontaminate(d, b, **more).collect()
+        assert len(got) == d.count() and {tuple(r)[:6] for r in got} == want
+        flat = [list(zip(r.hit_spans[::2], r.hit_spans[1::2])) for r in got]
+        assert all(sum(z - a for a, z in f) == r.n_hit and all(x[1] < y[0] for x, y in zip(f, f[1:])) for f, r in zip(flat, got))
+
+
+def docs_of(d):
+    return [(r.doc_id, r.text) for r in d.collect()]
+
+
+def test_a_large_benchmark_goes_block_by_block(spark):
+    rng = random.Random(9)
+    vocabulary = [f"{rng.randrange(16**5):x}" for _ in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=400))) for i in range(2000)]  # 4.6 MB
+    docs = [(i, " ".join(rng.choices(vocabulary, k=300))) for i in range(300)]
+    docs += [(1000 + i, docs[i][1] + " " + " ".join(t.split()[50 : 50 + 9 + i % 3])) for i, t in items[:60]]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    windows = {}
+    for i, t in items:
+        w = t.split()
+        for k in range(len(w) - 9):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+    want = {}
+    for i, t in docs:
+        w = t.split()
+        at = [k for k in range(len(w) - 9) if tuple(w[k : k + 10]) in windows]
+        found = {n for k in at for n in windows[tuple(w[k : k + 10])]}
+        want[i] = (len({p for k in at for p in range(k, k + 10)}), ",".join(sorted(found)))
+    out = decontaminate(d, b, block_bytes=1 << 20)
+    assert {r.doc_id: (r.n_hit, r.items_sha256) for r in out.collect()} == {i: (n, hashlib.sha256(x.encode()).hexdigest()) for i, (n, x) in want.items()}
+    assert sum(n > 0 for n, _ in want.values()) == 40
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_every_known_sentence_has_a_mark_and_is_normal():
     for s in licenses.SENTENCES.values():
         assert re.search(licenses.MARKS, s) and re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", s)

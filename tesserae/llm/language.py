@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_and_text
+from tesserae.llm.common import cut, id_and_text
 
 ORDER = 4
-CHARS_PER_LANG = 2_000_000  # expected characters of labelled text that a model is fitted on
-CALIBRATION_PER_LANG = 500_000  # and that its rejection is calibrated on
-MAX_LANGS = 256
-TOTAL_CHARS = 16_000_000  # expected characters over all languages together
+CHARS_PER_LANG = 2_000_000  # expected bytes of labelled text that a model is fitted on
+TOTAL_CHARS = 16_000_000  # and of all languages together
+CALIBRATION_DOCS = 200  # expected documents of a language that its rejection is calibrated on
+TOTAL_DOCS = 20_000  # and of all languages together
+BROADCAST_LANGS = 100_000  # labels whose shares, two numbers each, are broadcast
+FEW_DOCS = 8  # a language with fewer takes what the others need
 SLICE_BYTES = 2 << 20
-CACHE_WORDS = 300_000
-LEARN_WORDS = 4096  # new words scored together
+CELLS = 1 << 22  # numbers (words by languages) that are held at once
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BLANK = np.uint64(0x20)
@@ -50,52 +50,85 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return np.repeat(np.arange(len(words)), sizes), place, hashes
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+class Sparse:
+    """For sorted hashes the languages that have a value, and these values."""
+
+    def __init__(self, keys: list[np.ndarray], values: list[np.ndarray]):
+        name, lang = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.int32), [len(x) for x in keys])
+        order = np.lexsort((lang, name))
+        name = name[order]
+        head = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
+        self.name, self.at = name[head], np.append(head, len(name))
+        self.lang, self.value = lang[order], np.concatenate(values)[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys have values, of which language, and the values."""
+        if not len(self.name):
+            return np.zeros(0, dtype=np.int64), self.lang, self.value
+        at = np.minimum(np.searchsorted(self.name, keys), len(self.name) - 1)
+        row = np.flatnonzero(self.name[at] == keys)
+        at = at[row]
+        many = self.at[at + 1] - self.at[at]
+        entry = np.repeat(self.at[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        return np.repeat(row, many), self.lang[entry], self.value[entry]
 
 
-@dataclass
 class LanguageModels:
     """Models of several languages in sorted hash arrays.
 
-    grams[k] are sorted hashes of (k + 1)-grams, mass[k][gram, lang] their discounted probabilities; contexts[k] and
-    weight[k][context, lang] the share that a context leaves to the shorter model. Rejection: a document of n characters that is
-    nearest to language l is foreign if its bits a character exceed both centre[l] + width * sqrt(spread[l] + noise[l] / n),
-    what that language's own documents need, and foreign[l], what documents of other languages need in the median.
+    grams[k] has the discounted probabilities of (k + 1)-grams by language, contexts[k] the share that a context leaves to the
+    shorter model; where a language does not know a context that share is 1. Grams stay within a word and the blanks around it.
+    Rejection: a document of n characters that is nearest to language l is foreign if its bits a character exceed
+    centre[l] + width * sqrt(spread[l] + noise[l] / n), what that language's own documents need.
     """
 
-    langs: list[str]
-    floor: np.ndarray
-    grams: list[np.ndarray] = field(default_factory=list)
-    mass: list[np.ndarray] = field(default_factory=list)
-    contexts: list[np.ndarray] = field(default_factory=list)
-    weight: list[np.ndarray] = field(default_factory=list)
-    centre: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    noise: np.ndarray | None = None
-    foreign: np.ndarray | None = None
-    width: float = 8.0
-    sharpness: float = 1.0
+    width = 14.0
+
+    def __init__(self, langs: list[str]):
+        self.langs = langs
+        self.floor = np.zeros(len(langs))
+        self.grams: list[Sparse] = []
+        self.contexts: list[Sparse] = []
+        self.centre = self.spread = self.noise = np.zeros(len(langs))
+        self.sharpness = 1.0
 
     def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits that each language's model needs for each word, and the characters predicted."""
         owner, place, hashes = _grams(words)
-        at, there = _find(self.grams[0], hashes[0])
-        p = np.where(there[:, None], self.mass[0][at], 0) + self.floor
+        p = np.tile(self.floor, (len(owner), 1))
+        row, lang, value = self.grams[0].find(hashes[0])
+        p[row, lang] += value
         for k in range(1, ORDER):
             use = np.flatnonzero(place >= k)
-            at, there = _find(self.contexts[k], hashes[k - 1][use - 1])
-            p[use[there]] *= self.weight[k][at[there]]
-            at, there = _find(self.grams[k], hashes[k][use])
-            p[use[there]] += self.mass[k][at[there]]
+            row, lang, value = self.contexts[k].find(hashes[k - 1][use - 1])
+            p[use[row], lang] *= value
+            row, lang, value = self.grams[k].find(hashes[k][use])
+            p[use[row], lang] += value
         p[place == 0] = 1
-        upto = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(-np.log2(p), axis=0)))
-        ends = np.cumsum(np.bincount(owner, minlength=len(words)))
-        total = np.diff(upto[np.concatenate(([0], ends))], axis=0)
-        return total, np.diff(np.concatenate(([0], ends))) - 1
+        heads = np.flatnonzero(place == 0)
+        total = np.add.reduceat(-np.log2(p), heads, axis=0) if len(heads) else np.zeros((0, len(self.langs)))
+        return total, np.diff(np.append(heads, len(owner))) - 1
+
+    def limit(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Bits a character beyond which documents of n characters that are nearest to these languages are foreign."""
+        return self.centre[best] + self.width * np.sqrt(self.spread[best] + self.noise[best] / np.maximum(n, 1))
+
+
+def plain(models: LanguageModels) -> dict:
+    """The models as plain values: what is broadcast names no class of this package."""
+    return vars(models) | {x: [vars(t) for t in getattr(models, x)] for x in ("grams", "contexts")}
+
+
+def filled(values: dict) -> LanguageModels:
+    def tables(rows: list[dict]) -> list[Sparse]:
+        out = [Sparse.__new__(Sparse) for _ in rows]
+        for t, r in zip(out, rows, strict=True):
+            vars(t).update(r)
+        return out
+
+    models = LanguageModels.__new__(LanguageModels)
+    vars(models).update(values | {x: tables(values[x]) for x in ("grams", "contexts")})
+    return models
 
 
 def _counts(words: list[str], times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -126,25 +159,23 @@ def fit_models(words: dict[str, tuple[list[str], np.ndarray]]) -> LanguageModels
     """Models from each language's distinct words and how often they occur."""
     langs = sorted(words)
     by_lang = [_counts(*words[x]) for x in langs]
-    models = LanguageModels(langs, np.zeros(len(langs)))
+    models = LanguageModels(langs)
     alphabet = 1 + len(np.unique(np.concatenate([c[0][0] for c in by_lang])))
     for k in range(ORDER):
-        grams = np.unique(np.concatenate([c[k][0] for c in by_lang]))
-        contexts = np.unique(np.concatenate([c[k][1] for c in by_lang]))
-        mass, weight = np.zeros((len(grams), len(langs))), np.ones((len(contexts), len(langs)))
-        for i, c in enumerate(by_lang):
-            gram, context, count = c[k]
+        mass, known, weight = [], [], []
+        for c in by_lang:
+            _, context, count = c[k]
             ones, twos = (count == 1).sum(), (count == 2).sum()
             discount = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
             own, where, kinds = np.unique(context, return_inverse=True, return_counts=True)
             total = np.bincount(where, weights=count)
-            mass[np.searchsorted(grams, gram), i] = (count - discount) / total[where]
-            weight[np.searchsorted(contexts, own), i] = discount * kinds / total
-        models.grams.append(grams)
-        models.mass.append(mass)
-        models.contexts.append(contexts)
-        models.weight.append(weight)
-    models.floor = models.weight[0][0] / alphabet
+            mass.append((count - discount) / total[where])
+            known.append(own)
+            weight.append(discount * kinds / total)
+        models.grams.append(Sparse([c[k][0] for c in by_lang], mass))
+        models.contexts.append(Sparse(known, weight))
+        if not k:
+            models.floor = np.array([w[0] for w in weight]) / alphabet
     return models
 
 
@@ -163,9 +194,9 @@ class Scorer:
         self.size = np.zeros(0, dtype=np.int64)
 
     def _learn(self, raw: list[str]) -> None:
-        totals, sizes = [self.total], [self.size]
-        for a in range(0, len(raw), LEARN_WORDS):
-            parts = [self.letters.findall(w.lower()) for w in raw[a : a + LEARN_WORDS]]
+        totals, sizes, step = [self.total], [self.size], max(64, CELLS // 64 // len(self.models.langs))
+        for a in range(0, len(raw), step):
+            parts = [self.letters.findall(w.lower()) for w in raw[a : a + step]]
             words = [w for p in parts for w in p]
             total, size = np.zeros((len(parts), len(self.models.langs))), np.zeros(len(parts), dtype=np.int64)
             if words:
@@ -179,11 +210,21 @@ class Scorer:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits by text and language, and characters by text."""
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        bits, sizes, a = [np.zeros((0, len(self.models.langs)))], [np.zeros(0, dtype=np.int64)], 0
+        while a < len(texts):
+            z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SLICE_BYTES, side="right")))
+            for out, part in zip((bits, sizes), self._slice(texts.slice(a, z - a)), strict=True):
+                out.append(part)
+            a = z
+        return np.concatenate(bits), np.concatenate(sizes)
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
-        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        counts = np.diff(lists.offsets.to_numpy())
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) * len(self.models.langs) > CELLS:
             self._forget()
         found = pc.index_in(words, value_set=self.known)
         place = found.fill_null(0).to_numpy().astype(np.int64)
@@ -193,39 +234,66 @@ class Scorer:
             self._learn(added.to_pylist())
             self.known = pa.concat_arrays([self.known, added])
         word = place[coded.indices.to_numpy()] if len(place) else place
-        size = np.concatenate(([0], np.cumsum(self.size[word])))
-        upto = np.concatenate((np.zeros((1, self.total.shape[1])), np.cumsum(self.total[word], axis=0)))
-        return np.diff(upto[bounds], axis=0), np.diff(size[bounds])
+        owner = np.repeat(np.arange(len(texts)), counts)
+        size = np.bincount(owner, weights=self.size[word], minlength=len(texts)).astype(np.int64)
+        bits, step = np.zeros((len(texts), len(self.models.langs))), max(1, CELLS // len(self.models.langs))
+        for a in range(0, len(word), step):
+            own = owner[a : a + step]
+            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            bits[own[heads]] += np.add.reduceat(self.total[word[a : a + step]], heads, axis=0)
+        return bits, size
 
 
-def _predict(models):
+def _predict(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
-            scorer = scorer or Scorer(models.value)
-            m, text = scorer.models, batch["text"]
-            upto = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
-            lang, score, rate, foreign = [], [], [], []
-            a = 0
-            while a < len(text):
-                z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SLICE_BYTES, side="right")))
-                bits, n = scorer.texts(text.slice(a, z - a))
-                a = z
-                per = bits / np.maximum(n, 1)[:, None]
-                best = per.argmin(axis=1)
-                low = per[np.arange(len(per)), best]
-                some = n > 0
-                lang += [m.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-                score.append(np.where(some, 1 / np.exp2(-m.sharpness * (per - low[:, None])).sum(axis=1), 0))
-                rate.append(low)
-                limit = m.centre[best] + m.width * np.sqrt(m.spread[best] + m.noise[best] / np.maximum(n, 1))
-                foreign.append(~some | (low > np.maximum(limit, m.foreign[best])))
-            arrays = [pa.array(lang, pa.string()), *(pa.array(np.concatenate(x or [[]])) for x in (score, rate)), pa.array(np.concatenate(foreign or [[]]).astype(bool))]
+            scorer = scorer or Scorer(filled(sent.value))
+            m = scorer.models
+            bits, n = scorer.texts(batch["text"])
+            per = bits / np.maximum(n, 1)[:, None]
+            best, some = per.argmin(axis=1), n > 0
+            low = per[np.arange(len(per)), best]
+            lang = [m.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
+            score = np.where(some, 1 / np.exp2(-m.sharpness * (per - low[:, None])).sum(axis=1), 0)
+            arrays = [pa.array(lang, pa.string()), pa.array(score), pa.array(low), pa.array(~some | (low > m.limit(best, n)))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], names=["doc_id", "lang_pred", "score", "bits_per_char", "rejected"])
 
     return run
 
 
+SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+
+
+def _rates(sent):
+    """Of labelled texts with letters: label, whether it is new to the model, characters, bits a character under the label's
+    model, and the loss of the score for each sharpness."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = None
+        for batch in batches:
+            scorer = scorer or Scorer(filled(sent.value))
+            number = {x: i for i, x in enumerate(scorer.models.langs)}
+            own = np.array([number.get(x, -1) for x in batch["lang"].to_pylist()], dtype=np.int64)
+            bits, n = scorer.texts(batch["text"])
+            some = np.flatnonzero((n > 0) & (own >= 0))
+            per, own = bits[some] / n[some][:, None], own[some]
+            row = np.arange(len(some))
+            loss = []
+            for s in SHARPNESS:
+                p = np.exp2(-s * (per - per.min(axis=1, keepdims=True)))
+                loss.append(-np.log(np.maximum(p[row, own] / p.sum(axis=1), 1e-9)))
+            flat = np.array(loss).T.ravel()
+            losses = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(SHARPNESS)), pa.array(flat))
+            take = pa.array(some)
+            yield pa.RecordBatch.from_arrays(
+                [batch["lang"].take(take), batch["fresh"].take(take), pa.array(n[some]), pa.array(per[row, own]), losses],
+                names=["lang", "fresh", "n", "rate", "loss"],
+            )
+
+    return run
+
+
 def _word_counts(rows: DataFrame) -> dict[str, tuple[list[str], np.ndarray]]:
     """Distinct words and counts by language; the rows are a bounded sample."""
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))
@@ -239,86 +307,79 @@ def fit_language_models(
     text_col: str = "text",
     lang_col: str = "lang",
     chars_per_lang: int = CHARS_PER_LANG,
-    calibration_per_lang: int = CALIBRATION_PER_LANG,
-    max_langs: int = MAX_LANGS,
+    total_chars: int = TOTAL_CHARS,
+    calibration_docs: int = CALIBRATION_DOCS,
 ) -> LanguageModels | None:
     """Models from labelled rows that are not held out; None if there are no such rows with a letter.
 
-    Bounded sample: of each language, rows by a hash of the id so that about chars_per_lang characters are expected (all rows,
-    if there are fewer), less where there are so many languages that all together would exceed TOTAL_CHARS; the max_langs
-    languages with most text. Rejection and scores are calibrated on other rows of about
-    calibration_per_lang characters, or on the same ones where a language has no others.
+    Every label is learned. Bounded sample: of each language, rows by a hash of the id so that about chars_per_lang bytes are
+    expected, less where all languages together would exceed total_chars; always at least one row, and not more than four fifths
+    of a language that has five or more. Rejection and scores are calibrated on other rows, about calibration_docs a language and
+    TOTAL_DOCS in all; they are scored where they are, and a few numbers for each of them come back. A language with fewer than
+    FEW_DOCS of them takes the limits of the others, with a wide margin.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    totals = {r.lang: r.n for r in sizes.collect() if r.n}
-    if not totals:
-        return None
-    chars_per_lang = min(chars_per_lang, TOTAL_CHARS // len(totals))
-    calibration_per_lang = min(calibration_per_lang, TOTAL_CHARS // 4 // len(totals))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTERS) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) / 1e6
-
-    def share(start: int, size: int) -> Column:
-        out = F.lit(False)
-        for lang, n in totals.items():
-            out = out | ((F.col("lang") == lang) & (draw >= start / n) & (draw < (start + size) / n))
-        return out
-
-    words = _word_counts(rows.filter(share(0, chars_per_lang)))
-    if not words:
+    rows = rows.withColumn("draw", draw)
+    sizes = cut(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("docs"), F.min("draw").alias("least")))
+    langs = sizes.count()
+    if not langs:
         return None
-    models = fit_models(words)
-    _calibrate(models, rows.filter(share(chars_per_lang, calibration_per_lang)), rows.filter(share(0, calibration_per_lang)))
+    take = F.least(F.lit(min(chars_per_lang, max(1, total_chars // langs))) / F.col("bytes"), F.when(F.col("docs") < 5, 1.0).otherwise(0.8))
+    check = F.lit(max(FEW_DOCS, min(calibration_docs, TOTAL_DOCS // langs))) / F.col("docs")
+    shares = sizes.select("lang", F.greatest("least", take).alias("take"), check.alias("check"))
+    drawn = rows.join(F.broadcast(shares) if langs <= BROADCAST_LANGS else shares, "lang")
+    models = fit_models(_word_counts(drawn.filter("draw <= take")))
+    sent = docs.sparkSession.sparkContext.broadcast(plain(models))
+    seen, fresh = F.col("draw") <= F.least("take", F.col("check") / 4), (F.col("draw") > F.col("take")) & (F.col("draw") <= F.col("take") + F.col("check"))
+    asked = drawn.filter(seen | fresh).select("lang", "text", (F.col("draw") > F.col("take")).alias("fresh"))
+    found = asked.mapInArrow(_rates(sent), "lang string, fresh boolean, n bigint, rate double, loss array<double>").collect()
+    _calibrate(models, [tuple(r) for r in found])
     return models
 
 
-def _calibrate(models: LanguageModels, fresh: DataFrame, seen: DataFrame) -> None:
-    """Centre and spread of the bits a character of known documents, and the sharpness of scores that fits best."""
-    scorer = Scorer(models)
-    k = len(models.langs)
-    models.centre, models.spread, models.noise, models.foreign = np.full(k, np.inf), np.ones(k), np.ones(k), np.zeros(k)
-    tables = [x.select("lang", "text").toPandas() for x in (fresh, seen)]
-    logits, truth = [], []
-    for i, lang in enumerate(models.langs):
-        own = next((t for t in (x[x["lang"] == lang] for x in tables) if len(t) >= 5), None)
-        if own is None:
-            continue
-        bits, n = scorer.texts(pa.array(own["text"].tolist(), pa.string()))
-        per, n = (bits / np.maximum(n, 1)[:, None])[n > 0], n[n > 0]
-        if len(n) < 5:
+def _calibrate(models: LanguageModels, found: list[tuple]) -> None:
+    """Centre and spread of the bits a character of known documents, and the sharpness of scores that fits best.
+
+    found: label, whether the row is new to the model, characters, bits a character, losses.
+    """
+    rates: dict[tuple[str, bool], list[tuple[int, float]]] = {}
+    for lang, fresh, n, rate, _ in found:
+        rates.setdefault((lang, fresh), []).append((n, rate))
+
+    def measure(rows: list[tuple[int, float]]) -> tuple[float, float, float]:
+        n, rate = np.array(rows, dtype=float).T
+        off = (rate - np.median(rate)) ** 2
+        return float(np.median(rate)), max(0.0025, float(np.median(off)) * 2.2), max(2.0, float(np.median(off * n)) * 2.2)
+
+    own = {x: measure(rates[x, True]) for x in models.langs if len(rates.get((x, True), ())) >= FEW_DOCS}
+    everyone = [r for (_, fresh), rows in rates.items() if fresh or not own for r in rows]
+    others = tuple(np.median(list(own.values()), axis=0)) if own else measure(everyone)
+    limits = []
+    for x in models.langs:
+        if x in own:
+            limits.append(own[x])
             continue
-        rate = per[:, i]
-        models.centre[i] = np.median(rate)
-        off = (rate - models.centre[i]) ** 2
-        models.spread[i] = max(0.0025, np.median(off) * 2.2)
-        models.noise[i] = max(2.0, np.median(off * n) * 2.2)
-        logits.append(per)
-        truth += [i] * len(per)
-    if logits:
-        per, right = np.concatenate(logits), np.array(truth)
-        for i in range(k):
-            if (right != i).any():
-                models.foreign[i] = np.median(per[right != i, i])
-
-        def loss(s: float) -> float:
-            p = np.exp2(-s * (per - per.min(axis=1, keepdims=True)))
-            return float(-np.log(np.maximum(p[np.arange(len(p)), right] / p.sum(axis=1), 1e-9)).mean())
-
-        models.sharpness = min((1.0, 2.0, 4.0, 8.0, 16.0, 32.0), key=loss)
+        seen = [rate for _, rate in rates.get((x, False), [])]
+        limits.append((max([others[0], *seen]) + 0.5, 4 * others[1], 4 * others[2]))
+    models.centre, models.spread, models.noise = (np.array(c) for c in zip(*limits, strict=True))
+    losses = np.array([r[4] for r in found if r[1]] or [r[4] for r in found])
+    models.sharpness = SHARPNESS[int(losses.mean(axis=0).argmin())]
 
 
 def identify(docs: DataFrame, models: LanguageModels | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score, bits_per_char, rejected.
 
-    lang_pred has the lowest cross-entropy in bits a character over the whole text; `und` if the text is null or has no letter,
-    or if there are no models. score is between 0 and 1, from the differences to the other languages. `rejected` marks `und`
-    and texts whose cross-entropy is far above what the language's own documents of that length have. Only the text is read.
+    lang_pred has the lowest cross-entropy in bits a character over the words of the whole text; `und` if the text is null or has no letter,
+    or if there are no models. score is between 0 and 1, from the differences to the other languages. `rejected` marks texts without a letter
+    and texts whose cross-entropy is far above what the language's own documents of that length have; without models
+    nothing but texts without a letter can be told apart. Only the text is read, other columns are ignored.
     Rows are scored where they are, with no shuffle; repeated rows each get a row; empty tables stay empty.
     """
     rows = id_and_text(docs, id_col, text_col)
     if models is None:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_char"), F.lit(True).alias("rejected"))
+        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_char"), (~F.col("text").rlike(LETTERS)).alias("rejected"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    sent = docs.sparkSession.sparkContext.broadcast(plain(models))
     return rows.mapInArrow(_predict(sent), f"doc_id {kind}, lang_pred string, score double, bits_per_char double, rejected boolean")

@@ -1,13 +1,17 @@
 import hashlib
+import math
+import pickle
 import random
 import re
 import textwrap
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import licenses
 from tesserae.llm.decontaminate import decontaminate
-from tesserae.llm.language import fit_language_models, identify
+from tesserae.llm.language import fit_language_models, fit_models, held_out, identify, plain
 from tesserae.llm.licenses import license_scan
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -184,19 +188,107 @@ def test_license_scan_does_not_join_over_blank_lines_or_within_sentences(spark):
     assert got == {1: [], 2: [], 3: [24], 4: [], 5: [24, 5], 6: []}
 
 
-def test_language(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    models = fit_language_models(docs)
+def kneser_ney(words, text):
+    """Bits of a word by interpolated Kneser-Ney with one discount an order, from dictionaries of strings."""
+    order = 4
+    counts = [{} for _ in range(order)]
+    before = [{} for _ in range(order)]
+    for w, times in words:
+        w = f" {w} "
+        for i in range(1, len(w)):
+            for k in range(order):
+                if i < max(k, 1):
+                    continue
+                g = w[i - k : i + 1]
+                if k == order - 1 or (k and i == k):
+                    counts[k][g] = counts[k].get(g, 0) + times
+                if k < order - 1 and i > k:
+                    before[k].setdefault(g, set()).add(w[i - k - 1])
+    for k in range(order - 1):
+        for g, x in before[k].items():
+            counts[k][g] = counts[k].get(g, 0) + len(x)
+    out = 0.0
+    text = f" {text} "
+    for i in range(1, len(text)):
+        p = None
+        for k in range(min(order - 1, i) + 1):
+            c, values = counts[k], list(counts[k].values())
+            ones, twos = values.count(1), values.count(2)
+            d = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
+            context = text[i - k : i]
+            own = [v for g, v in c.items() if g[:-1] == context]
+            if own:
+                low = d * len(own) / sum(own) * (p if k else 1 / ALPHABET)
+                g = context + text[i]
+                p = low + ((c[g] - d) / sum(own) if g in c else 0)
+        out -= math.log2(p)
+    return out
+
+
+ALPHABET = 1 + len(set("aàbcdeghilmnoprstuv "))
+
+
+def test_bits_equal_a_direct_kneser_ney():
+    words = {
+        "x": [("the", 5), ("then", 2), ("other", 1), ("bathe", 1), ("a", 7), ("cat", 1), ("hat", 2)],
+        "y": [("alla", 3), ("palla", 1), ("della", 4), ("àgli", 1), ("uva", 2), ("mese", 1), ("rosa", 1)],
+    }
+    models = fit_models({x: ([w for w, _ in t], np.array([n for _, n in t], dtype=float)) for x, t in words.items()})
+    assert set("".join(w for t in words.values() for w, _ in t) + " ") == set("aàbcdeghilmnoprstuv ")
+    asked = ["the", "th", "heat", "alla", "q", "zzz", "àà", "rosathe"]
+    bits, n = models.bits(asked)
+    assert n.tolist() == [len(w) + 1 for w in asked]
+    for w, row in zip(asked, bits):
+        assert row == pytest.approx([kneser_ney(words[x], w) for x in models.langs], rel=1e-9)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def models(labelled):
+    return fit_language_models(labelled)
+
+
+def test_language_of_held_out_documents(labelled, models):
+    held = labelled.filter(held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    got = identify(held, models).join(held.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) >= 0.99 * len(got)
+    assert sum(r.rejected for r in got) <= 0.005 * len(got)
+
+
+def test_language_odd_input(spark, labelled, models):
     extra = spark.createDataFrame(
         [(None, None), (5001, ""), (5002, "123 !!"), (5003, "Zażółć gęślą jaźń wszystkie dzieci śpią kołdrą żyrafy i źrebięta" * 20), (5004, "qxzj vkpw " * 200), (5005, "the and of " * 20000)],
         "doc_id long, text string",
     )
-    got = identify(docs.select("doc_id", "text").union(extra), models).alias("g").join(docs, "doc_id", "left").collect()
-    held = [r for r in got if r.lang]
-    assert sum(r.lang == r.lang_pred for r in held) >= 0.99 * len(held) and sum(r.rejected for r in held) <= 2
     by = {r.doc_id: r for r in identify(extra, models).collect()}
     assert all(by[i].lang_pred == "und" and by[i].rejected and by[i].score == 0 for i in (None, 5001, 5002))
     assert by[5003].rejected and by[5004].rejected and not by[5005].rejected
     assert all(0 <= r.score <= 1 for r in by.values())
-    assert fit_language_models(docs.limit(0)) is None
-    assert identify(docs.limit(0), models).count() == 0 and identify(extra, None).filter("lang_pred = 'und'").count() == 6
+    assert fit_language_models(labelled.limit(0)) is None
+    assert identify(labelled.limit(0), models).count() == 0
+    assert {r.doc_id: (r.lang_pred, r.rejected) for r in identify(extra, None).collect()} == {i: ("und", i in (None, 5001, 5002)) for i in by}
+    twice = extra.union(extra).selectExpr("doc_id", "text", "'x' lang_pred", "1 rejected")
+    assert sorted(map(str, identify(twice, models).collect())) == sorted(str(r) for r in by.values() for _ in (0, 1))
+    assert b"tesserae" not in pickle.dumps(plain(models))
+
+
+def test_whole_languages_and_scripts_left_out_are_rejected(spark, labelled):
+    some = labelled.filter("length(text) > 400")
+    models = fit_language_models(some.filter("lang != 'de'"))
+    out = identify(some.filter("lang = 'de'"), models).select("rejected").collect()
+    assert sum(r.rejected for r in out) >= 0.95 * len(out)
+    greek = spark.createDataFrame([(1, "Πρόκειται για κείμενο σε άλλη γραφή που κανείς δεν έμαθε. " * 6)], "doc_id long, text string")
+    assert identify(greek, models).first().rejected
+
+
+def test_rare_labels_are_learned_and_reject_unseen_scripts(spark, labelled):
+    rare = [(9000 + i, f"kuva talo {'järvi sauna ' * 3} mies nainen lapsi koira kissa {i}", "fi") for i in range(3)] + [(9100, "só um texto", "pt")]
+    models = fit_language_models(labelled.select("doc_id", "text", "lang").union(spark.createDataFrame(rare, "doc_id long, text string, lang string")))
+    assert {"fi", "de", "en"} <= set(models.langs) and np.isfinite(models.centre).all()
+    asked = [(1, "järvi sauna talo mies nainen lapsi"), (2, "Πρόκειται για κείμενο σε άλλη γραφή που κανείς δεν έμαθε. " * 6)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(asked, "doc_id long, text string"), models).collect()}
+    assert got[1].lang_pred == "fi" and not got[1].rejected and got[2].rejected

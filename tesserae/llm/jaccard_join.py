@@ -3,29 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, id_and_text, shuffle_width
+from tesserae.llm.common import cut, id_and_text, shuffle_width, stored
 from tesserae.llm.components import components
 from tesserae.llm.shingles import batches_of_sets, digests, mix
 
 WIDTH = 5
 PERCENT = 80
-TILE_DOCS = 1024
+TILE_DOCS = 256
 TILE_SHINGLES = 2_000_000
 FANOUT = 8
 SEEN_SETS = 100_000  # sets whose keys a task remembers to have sent
 
 
 class Classes:
-    """Size classes of sets and, for each, into how many segments it cuts the hash range.
+    """Size classes of sets and, for each, how pairs are found whose larger set is in it.
 
     Sets of sizes a and b with Jaccard of percent / 100 or more differ in at most d = (a + b)(100 - percent) / (100 + percent)
-    elements. So of any d + 1 segments of the hash range they agree on one, and sets that agree on a segment get the same key.
+    elements. So of any d + 1 segments of the hash range they agree on one, and sets that agree on a segment get the same key;
+    `cuts` is the number of segments. They also have at least `common(n)` hashes in common, n the larger size, so the set of n loses n - common(n)
+    at most, and the `together` least of the common hashes are among the first n - common(n) + together of each set.
     """
 
     def __init__(self, percent: int, largest: int):
@@ -35,17 +38,25 @@ class Classes:
         self.low = np.array(lows, dtype=np.int64)
         top = self.low[1:] - 1
         self.cuts = (self.apart(top, top) + 1) * 13 // 10 + 1
+        lost = top - self.common(top)
+        self.small = lost <= 3
+        self.together = np.minimum(np.array([8, 8, 4, 3, 2])[np.minimum(lost, 4)], self.common(self.low[:-1]))
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
+    def common(self, n: np.ndarray) -> np.ndarray:
+        return -(-n * self.percent // 100)
+
 
 def routing_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys such that any two different sets that link share one; and the set that each key belongs to.
 
     For every class that the larger set of a pair may be in, a set emits its first d + 1 segments that hold two hashes or more:
-    of a pair, the set whose segments end first finds an agreement among its own. A set without so many emits all it has,
-    those with one hash or none too. A set that only equal ones could match emits nothing.
+    of a pair, the set whose segments end first finds an agreement among its own. A set without so many is poor: it emits all such segments that
+    it has, which serves for partners that are not poor, and for those that are the keys that small sets have: all choices of
+    `together` among its least hashes. Segments with fewer hashes, which unrelated sets share, are no keys. A set that only
+    equal ones could match emits nothing.
     """
     n = np.diff(bounds)
     if not len(hashes):
@@ -62,7 +73,8 @@ def routing_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[
         use = (n > 0) & (d > 0) & (home + step < len(plan.cuts)) & ((step == 0) | (plan.low[level] <= most))
         if step and not use.any():
             break
-        mine = use[doc]
+        poor = use & plan.small[level]
+        mine = (use & ~poor)[doc]
         h, owner = hashes[mine], doc[mine]
         if len(h):
             segment = ((h >> np.uint64(32)) * plan.cuts[level].astype(np.uint64)[owner]) >> np.uint64(32)
@@ -78,19 +90,35 @@ def routing_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[
             begin = np.searchsorted(who, who, side="left")
             nth = upto[1:] - upto[begin]
             have = np.bincount(who, weights=full, minlength=len(n)).astype(np.int64)
-            poor = use & (have < d + 1)
-            take = (full & (nth <= d[who] + 1)) | poor[who]
+            few = use & ~poor & (have < d + 1)
+            take = full & ((nth <= d[who] + 1) | few[who])
             keys.append(key[take])
             owners.append(who[take])
-            for i in np.flatnonzero(poor).tolist():  # rare: segments that hold nothing
-                there = segment[first[who == i]].astype(np.int64)
-                empty = np.setdiff1d(np.arange(plan.cuts[level[i]]), there).astype(np.uint64)
-                keys.append(mix(mix(np.uint64(level[i]) << np.uint64(32) | empty, 31), 33))
-                owners.append(np.full(len(empty), i))
+            poor = poor | few
+        if poor.any():
+            for k, o in _choices(hashes, bounds, np.flatnonzero(poor), level, plan):
+                keys.append(k)
+                owners.append(o)
         step += 1
     return np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(owners or [np.zeros(0, np.int64)]).astype(np.int64)
 
 
+def _choices(hashes: np.ndarray, bounds: np.ndarray, sets: np.ndarray, level: np.ndarray, plan: Classes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For sets at a level: a key for every choice of `together` among the least hashes, and the sets these belong to."""
+    n, at = np.diff(bounds)[sets], level[sets]
+    together = plan.together[at]
+    upto = n - plan.common(np.maximum(n, plan.low[at])) + together
+    for length, k in np.unique(np.column_stack((upto, together)), axis=0).tolist():
+        own = np.flatnonzero((upto == length) & (together == k))
+        least = mix(hashes[bounds[:-1][sets[own]][:, None] + np.arange(length)], 34)
+        pick = np.array(list(combinations(range(length), k)), dtype=np.int64)
+        name = mix(at[own].astype(np.uint64), 35)[:, None]
+        total = np.tile(name, (1, len(pick)))
+        for c in pick.T:
+            total += least[:, c]
+        yield mix(total, 36).ravel(), np.repeat(sets[own], len(pick))
+
+
 class SignatureTree:
     """Levels of nodes over sets; a node has the OR of its sets' token bitmaps, their range of sizes and the most tokens that
     any of them has beyond its distinct bits."""
@@ -152,10 +180,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def join_tile(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> np.ndarray:
     """Labels after linking: sets with equal labels are linked directly or through others of the tile or before."""
     labels = labels.copy()
-    if len(sets) > FANOUT:
-        u, v = SignatureTree(sets).candidates(percent)
-    else:
-        u, v = np.triu_indices(len(sets), 1)
+    u, v = SignatureTree(sets).candidates(percent)
     while len(u):
         apart = labels[u] != labels[v]
         u, v = u[apart], v[apart]
@@ -255,8 +280,10 @@ def jaccard_join(
     base = cut(rows.mapInArrow(_router(width, percent), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"))
     classes = base.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     routed = base.select(F.explode("keys").alias("key"), F.col("d1").alias("node"))
-    center = F.min("node").over(Window.partitionBy("key")).alias("center")
-    edges = routed.select("node", center).filter("node != center").distinct()
+    # Least classes come from an aggregation that combines before it shuffles; those of keys that several classes share are few
+    # and written, so that Spark knows their size when it joins them back, and can split the join at a key with very many rows.
+    shared = stored(routed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center != last").drop("last"))
+    edges = routed.join(shared, "key").filter("node != center").select("node", "center").distinct()
     members = edges.union(edges.select(F.col("center").alias("node"), "center")).distinct()
     members = cut(
         members.join(classes.filter("rep is not null"), F.col("node") == F.col("d1")).select(

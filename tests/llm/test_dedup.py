@@ -88,6 +88,32 @@ def test_linking_sets_share_a_key(size, less, more, seed, percent):
         assert np.array_equal(np.sort(alone), np.sort(keys[owner == 0]))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(5, 30), st.integers(0, 4), st.integers(0, 4), st.integers(0, 10**6), st.sampled_from([60, 80, 85, 95]))
+def test_small_linking_sets_share_a_key(size, less, more, seed, percent):
+    test_linking_sets_share_a_key.hypothesis.inner_test(size, less, more, seed, percent)
+
+
+@pytest.mark.parametrize(("low", "high", "percent"), [(6, 13, 85), (5, 13, 80), (12, 40, 85), (12, 40, 80)])
+def test_unrelated_short_sets_share_no_key(low, high, percent):
+    rng = np.random.default_rng(high)
+    n = rng.integers(low, high, 100_000)
+    hashes = rng.integers(0, 2**64, n.sum(), dtype=np.uint64)
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    order = np.lexsort((hashes, np.repeat(np.arange(len(n)), n)))
+    keys, owner = routing_keys(hashes[order], bounds, percent)
+    _, times = np.unique(keys, return_counts=True)
+    assert times.max() <= 2 and len(keys) <= 40 * len(n)
+
+
+def test_a_common_line_in_short_texts_makes_no_hot_key():
+    rng = np.random.default_rng(3)
+    line = rng.integers(0, 2**64, 5, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((line, rng.integers(0, 2**64, 7, dtype=np.uint64)))) for _ in range(20_000)]
+    keys, _ = routing_keys(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets]))), 85)
+    assert np.unique(keys, return_counts=True)[1].max() <= 100  # 0.5 % of them
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([60, 85]))
 def test_tree_loses_no_pair(seed, percent):

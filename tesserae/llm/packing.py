@@ -36,61 +36,90 @@ class Plan:
         self.sequences += times
 
 
-def _pair(free: np.ndarray, total: int) -> tuple[int, int] | None:
-    """Two free lengths with this sum, the pair that can be taken most often."""
-    if total < 2:
+class SumIndex:
+    """Which sums single lengths, pairs and triples of the free lengths make, addressed by the sum.
+
+    single[s] says whether length s is free, pair[s] how many ordered pairs of free lengths sum to s; triples are a third length
+    and a pair, looked up in both. A length that is used up is taken out of the index.
+    """
+
+    def __init__(self, free: np.ndarray):
+        self.free, n = free, len(free)
+        self.single = free > 0
+        self.single[0] = False
+        there = self.single.astype(np.float64)
+        self.pair = np.rint(np.fft.irfft(np.fft.rfft(there, 2 * n) ** 2, 2 * n))[:n].astype(np.int64)
+        for a in np.flatnonzero(free[: (n + 1) // 2] == 1).tolist():  # a pair of one piece with itself is none
+            self.pair[2 * a] -= int(self.single[a])
+
+    def take(self, lengths: np.ndarray, number: np.ndarray) -> None:
+        """Use up pieces of these different lengths, so many of each."""
+        for a, k in zip(lengths.tolist(), number.tolist(), strict=True):
+            before = int(self.free[a])
+            self.free[a] -= k
+            if before >= 2 and self.free[a] <= 1 and 2 * a < len(self.pair):
+                self.pair[2 * a] -= 1
+            if self.free[a] == 0:
+                self.single[a] = False
+                self.pair[a:] -= 2 * self.single[: len(self.pair) - a]
+
+    def best_pair(self, total: int) -> tuple[int, ...] | None:
+        """The pair of free lengths with this sum that can be taken most often."""
+        if total < 2 or self.pair[total] <= 0:
+            return None
+        a = np.arange(1, total // 2 + 1)
+        times = np.minimum(self.free[a], self.free[total - a])
+        if total % 2 == 0:
+            times[-1] = self.free[total // 2] // 2
+        k = int(times.argmax())
+        return (total - k - 1, k + 1) if times[k] > 0 else None
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three free lengths that fill the gap exactly."""
+        if self.free[gap] > 0:
+            return (gap,)
+        if two := self.best_pair(gap):
+            return two
+        for third in np.flatnonzero((self.free[: gap + 1] > 0) & (self.pair[gap::-1] > 0))[::-1].tolist():
+            self.free[third] -= 1
+            two = self.best_pair(gap - third)
+            self.free[third] += 1
+            if two:
+                return (third, *two)
         return None
-    a = np.arange(1, total // 2 + 1)
-    times = np.minimum(free[a], free[total - a])
-    if total % 2 == 0:
-        times[-1] = free[total // 2] // 2
-    k = int(times.argmax())
-    return (total - k - 1, k + 1) if times[k] > 0 else None
-
-
-def _complement(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three free lengths that fill the gap exactly."""
-    if free[gap]:
-        return (gap,)
-    if two := _pair(free, gap):
-        return two
-    there = (free[: gap + 1] > 0).astype(np.float64)
-    sums = np.rint(np.fft.irfft(np.fft.rfft(there, 2 * gap + 2) ** 2, 2 * gap + 2))[: gap + 1]  # ways to each pair sum
-    for third in np.flatnonzero((there > 0) & (sums[::-1] > 0))[::-1].tolist():
-        free[third] -= 1
-        two = _pair(free, gap - third)
-        free[third] += 1
-        if two:
-            return (third, *two)
-    return None
 
 
-def plan_packing(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
-    """Packing plan for counts[L] pieces of each length L.
+def _exact_fills(counts: np.ndarray, capacity: int) -> tuple[Plan, list[tuple[int, int]]]:
+    """Sequences filled by exact complements, and the lengths and numbers of pieces that have none.
 
-    From the longest length down, sequences are filled exactly by a complement of one to three pieces, taken as often as the
-    counts allow; every step uses up a length or meets its own multiplicity, so steps are bounded by the number of lengths
-    and not by the number of pieces. What has no exact complement is placed by best fit, longest first, again in bulk.
+    From the longest length down, a piece takes the complement that the index finds as often as the counts allow; every step uses up a
+    length or meets its own multiplicity, so steps are bounded by the number of lengths and not by the number of pieces.
     """
     free, plan = counts.astype(np.int64).copy(), Plan(capacity)
+    index = SumIndex(free)
     rest: list[tuple[int, int]] = []
     for n in range(capacity, 0, -1):
         while free[n]:
             if n == capacity:
                 plan.add((n,), int(free[n]))
-                free[n] = 0
+                index.take(np.array([n]), free[[n]])
                 break
             free[n] -= 1
-            found = _complement(free, capacity - n)
+            found = index.complement(capacity - n)
             free[n] += 1
-            if found is None:
+            kinds, need = np.unique(np.array((n, *(found or ()))), return_counts=True)
+            times = int((free[kinds] // need).min()) if found else 0
+            if not times:
                 rest.append((n, int(free[n])))
-                free[n] = 0
+                index.take(np.array([n]), free[[n]])
                 break
-            kinds, need = np.unique(np.array((n, *found)), return_counts=True)
-            times = int((free[kinds] // need).min())
-            free[kinds] -= need * times
+            index.take(kinds, need * times)
             plan.add((n, *found), times)
+    return plan, rest
+
+
+def _best_fit(plan: Plan, rest: list[tuple[int, int]], capacity: int) -> Plan:
+    """The plan with the rest added, longest first, each piece where the least room is left that holds it; in bulk."""
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for n, left in rest:
         while left:
@@ -113,6 +142,18 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
     return plan
 
 
+def plan_packing(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """Packing plan for counts[L] pieces of each length L: exact complements first and best fit for what has none.
+
+    Complements may use up the short pieces that long ones needed later, so best fit for all pieces is planned as well and
+    returned where it takes fewer sequences.
+    """
+    exact = _best_fit(*_exact_fills(counts, capacity), capacity)
+    every = [(n, int(counts[n])) for n in range(capacity, 0, -1) if counts[n]]
+    plain = _best_fit(Plan(capacity), every, capacity)
+    return plain if plain.sequences < exact.sequences else exact
+
+
 def _cutter(model: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None

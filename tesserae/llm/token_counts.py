@@ -60,12 +60,13 @@ def _count_pieces(model: str):
                 owner.clear()
                 held = 0
 
-            for i, text in enumerate(batch["text"]):
+            for i, (text, size) in enumerate(zip(batch["text"], batch["n_bytes"].to_pylist(), strict=True)):
                 text = text.as_py()
-                for part in split_safely(text, PIECE_BYTES) if safe and len(text) > PIECE_BYTES else (text,):
+                long = safe and size > PIECE_BYTES
+                for part in split_safely(text, PIECE_BYTES if size == len(text) else PIECE_BYTES // 4) if long else (text,):
                     parts.append(part)
                     owner.append(i)
-                    held += len(part)
+                    held += len(part.encode()) if long else size
                     if held >= BATCH_BYTES:
                         flush()
             flush()
@@ -86,11 +87,13 @@ def _count_words(model: str):
         for batch in batches:
             totals: list[int] = []
             group: list[str] = []
-            for text in batch["text"]:
+            held = 0
+            for text, size in zip(batch["text"], batch["n_bytes"].to_pylist(), strict=True):
                 group.append(text.as_py())
-                if sum(map(len, group[-64:])) >= BATCH_BYTES or len(group) >= 64:
+                held += size
+                if held >= BATCH_BYTES:
                     totals += [len(x.ids) for x in lib.encode_batch(group, add_special_tokens=False)]
-                    group = []
+                    group, held = [], 0
             totals += [len(x.ids) for x in lib.encode_batch(group, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["n_bytes"], pa.array(totals, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
@@ -104,7 +107,8 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     `model` is a .model file (sentencepiece) or a .json file (tokenizers), at the same path on every worker. No begin, end or
     added special tokens, no truncation or padding. Tasks return lengths only, with no shuffle. Batches go to the encoder by
-    bytes; texts over PIECE_BYTES are split at single spaces, if the vocabulary has no piece that crosses a word start.
+    bytes; with sentencepiece, texts over PIECE_BYTES are split at single spaces, if the vocabulary has no piece that crosses a
+    word start.
 
     Null text counts as empty and has no tokens. Repeated rows each get a row; an empty table gives an empty result.
     """

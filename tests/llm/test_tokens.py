@@ -1,3 +1,5 @@
+import itertools
+import random
 import zlib
 
 import numpy as np
@@ -8,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tesserae.llm import packing
 from tesserae.llm.encoder import Encoder
 from tesserae.llm.packing import pack, plan_packing
 from tesserae.llm.token_counts import split_safely, token_counts
@@ -109,3 +112,41 @@ def test_plan_places_every_piece_once(counts):
     assert plan.used.tolist() == c.tolist()
     total = int((c * np.arange(51)).sum())
     assert plan.sequences <= 2 * total / 50 + 1
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(1, 4)), max_size=7), st.integers(0, 10**6))
+def test_index_of_sums(pieces, seed):
+    rng = random.Random(seed)
+    free = np.zeros(21, dtype=np.int64)
+    for n, k in pieces:
+        free[n] += k
+    index = packing.SumIndex(free)
+    for _ in range(5):
+        there = np.flatnonzero(free)
+        for total in range(21):
+            ways = sum(1 for a in there for b in there if a + b == total and (a != b or free[a] > 1))
+            assert index.pair[total] == ways
+            singles = [x for n in there for x in [int(n)] * min(3, free[n])]
+            some = any(sum(c) == total for k in (1, 2, 3) for c in set(itertools.combinations(singles, k)))
+            found = index.complement(total)
+            assert (found is not None) == some and (found is None or sum(found) == total)
+        if not len(there):
+            break
+        n = rng.choice(there.tolist())
+        index.take(np.array([n]), np.array([rng.randrange(1, int(free[n]) + 1)]))
+
+
+def test_plan_is_no_worse_than_best_fit():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        lengths = rng.integers(40, 700, 400)
+        counts = np.bincount(lengths, minlength=1025)
+        bins = []
+        for n in sorted(lengths.tolist(), reverse=True):
+            k = min((i for i, b in enumerate(bins) if b >= n), key=lambda i: bins[i], default=None)
+            if k is None:
+                bins.append(1024 - n)
+            else:
+                bins[k] -= n
+        assert packing.plan_packing(counts, 1024).sequences <= len(bins)

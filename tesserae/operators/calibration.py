@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.anova import loo_scale
+from tesserae.operators.generate import seed_of
 
 AXIS = ["perturbation", "gene"]
 
@@ -96,28 +97,32 @@ def exchangeable(resp: DataFrame, sigma2: str) -> DataFrame:
     return resp.groupBy(*AXIS).agg(F.avg("delta").alias("m"), F.greatest(F.lit(0.0), F.var_samp("delta") - F.avg(sigma2)).alias("tau2"))
 
 
-def expression_error(rows: DataFrame) -> DataFrame:
+def expression_error(rows: DataFrame, dispersions: DataFrame, control_dispersion: Column) -> DataFrame:
     """One row: corrected squared error over corrected effect of predictions p against truth r and control c.
 
-    rows: target, gene, p, r, c and their dispersions dp, dr, dc. A target's own gene is left out. The credit for a prediction's
-    own noise is capped by how far predictions differ from each other.
+    rows: target, gene, own (the target's own gene or null), p, r, c; dispersions: target, cp, cr, one number each for a target's prediction
+    and truth, and control_dispersion one for all. A target's own gene is left out of its two distances. The credit for a prediction's own
+    noise is capped by how far predictions differ from their mean, in which a target weighs one over its kept genes.
     """
-    r = rows.filter("gene != target").withColumn("mp", F.avg("p").over(Window.partitionBy("gene")))
+    kept = rows.filter(~F.col("own").eqNullSafe(F.col("gene")))
+    r = kept.withColumn("w", 1 / F.count(F.lit(1)).over(Window.partitionBy("target")))
+    gene = Window.partitionBy("gene")
+    r = r.withColumn("mp", F.sum(F.col("w") * F.col("p")).over(gene) / F.sum("w").over(gene))
     sq = lambda a, b: F.sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)))
-    per = r.groupBy("target").agg(
-        sq("p", "r").alias("err"), sq("r", "c").alias("eff"), sq("p", "mp").alias("spread"), F.sum("dp").alias("cp"), F.sum("dr").alias("cr"),
-        F.sum("dc").alias("cc"), F.count(F.lit(1)).alias("g"),
-    ).withColumn("credit", F.least("cp", "cr"))
+    per = r.groupBy("target").agg(sq("p", "r").alias("err"), sq("r", "c").alias("eff"), sq("p", "mp").alias("spread"), F.count(F.lit(1)).alias("g"))
+    per = per.join(dispersions, "target").withColumn("credit", F.least("cp", "cr"))
     rho = per.agg(F.sum(F.col("spread") / F.col("g")).alias("s"), F.sum(F.col("credit") / F.col("g")).alias("k")).select(
         F.when(F.col("k") > 0, F.least(F.lit(1.0), F.col("s") / F.col("k"))).otherwise(1.0).alias("rho")
     )
     x = per.crossJoin(F.broadcast(rho))
     num = (F.col("err") - F.col("rho") * F.col("credit") - F.col("cr")) / F.col("g")
-    den = (F.col("eff") - F.col("cr") - F.col("cc")) / F.col("g")
+    den = (F.col("eff") - F.col("cr") - control_dispersion) / F.col("g")
     return x.agg((F.sum(num) / F.sum(den)).alias("error"), F.first("rho").alias("rho"))
 
 
+# Relative penalties, and the number of anchors below which the largest one is taken.
 RELATIVE = (0.01, 0.1, 1.0, 10.0, 100.0)
+FEW = 5
 
 
 def solve_toward(x: np.ndarray, y: np.ndarray, prior: float, lam: float) -> tuple[float, np.ndarray]:
@@ -128,59 +133,68 @@ def solve_toward(x: np.ndarray, y: np.ndarray, prior: float, lam: float) -> tupl
     return float(my - mx @ w), w
 
 
-def gene_ridge(x: np.ndarray, y: np.ndarray, prior: float, few: int = 5) -> tuple[float, np.ndarray]:
-    """The same with the penalty chosen by leave-one-out among RELATIVE times the mean of the centred Gram diagonal; the largest
-    one where there are fewer than `few` rows."""
-    unit = float(((x - x.mean(axis=0)) ** 2).sum(axis=0).mean()) or 1.0
-    best = RELATIVE[-1]
-    if len(y) >= few:
-        keep = ~np.eye(len(y), dtype=bool)
+def penalty_unit(x: np.ndarray) -> float:
+    """The mean of the centred Gram diagonal, which relative penalties multiply."""
+    return max(float(((x - x.mean(axis=0)) ** 2).sum(axis=0).mean()), 1e-12)
 
-        def loss(rel: float) -> float:
-            out = 0.0
-            for i in range(len(y)):
-                b, w = solve_toward(x[keep[i]], y[keep[i]], prior, rel * unit)
-                out += (y[i] - b - x[i] @ w) ** 2
-            return out
 
-        best = min(RELATIVE, key=loss)
-    return solve_toward(x, y, prior, best * unit)
+def left_out_errors(x: np.ndarray, y: np.ndarray, prior: float) -> list[float]:
+    """For each relative penalty the sum of squared leave-one-out errors, from residuals and the diagonal of the hat matrix."""
+    xc, unit, out = x - x.mean(axis=0), penalty_unit(x), []
+    for rel in RELATIVE:
+        b, w = solve_toward(x, y, prior, rel * unit)
+        h = 1 / len(y) + np.einsum("ki,ki->k", xc, np.linalg.solve(xc.T @ xc + rel * unit * np.eye(x.shape[1]), xc.T).T)
+        out.append(float((((y - b - x @ w) / np.maximum(1 - h, 1e-6)) ** 2).sum()))
+    return out
 
 
 def per_gene_ridge(rows: DataFrame) -> DataFrame:
     """perturbation, gene, e3 from rows gene, perturbation, sources ARRAY, y, is_anchor, s: each gene's ridge on its anchors.
 
-    A group is one gene's perturbation axis; genes spread over the tasks.
+    One relative penalty serves all genes: the one with the least leave-one-out error over all of them, the largest where there are fewer
+    than FEW anchors. A group is one gene's perturbation axis; genes spread over the tasks, and one sum for each penalty comes back.
     """
 
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
+    def arrays(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         x = np.array(g["sources"].tolist(), dtype=float)
+        return x, g["y"].to_numpy(dtype=float), float(g["s"].iloc[0]) / x.shape[1]
+
+    def errors(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(g)], "errors": [left_out_errors(*arrays(g))]})
+
+    anchors = rows.filter("is_anchor").groupBy("gene").applyInPandas(errors, "n long, errors array<double>")
+    total = anchors.agg(F.min("n").alias("n"), *[F.sum(F.col("errors")[i]).alias(f"e{i}") for i in range(len(RELATIVE))]).first()
+    best = RELATIVE[-1]
+    if total["n"] and total["n"] >= FEW:
+        best = RELATIVE[int(np.argmin([total[f"e{i}"] for i in range(len(RELATIVE))]))]
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        x, y, prior = arrays(g)
         k = g["is_anchor"].to_numpy(dtype=bool)
         out = g[["perturbation", "gene"]].copy()
         if not k.any():
             return out.assign(e3=x.mean(axis=1))
-        b, w = gene_ridge(x[k], g["y"].to_numpy(dtype=float)[k], float(g["s"].iloc[0]) / x.shape[1])
+        b, w = solve_toward(x[k], y[k], prior, best * penalty_unit(x[k]))
         return out.assign(e3=b + x @ w)
 
     return rows.groupBy("gene").applyInPandas(fit, "perturbation string, gene string, e3 double")
 
 
-def simulate_null(spark: SparkSession, draws: int, contexts: int, genes: int, tau2: float, sigma2: float, seed: int) -> DataFrame:
-    """draw, agreement, error: worlds in which contexts are exchangeable around one mean with variance tau2 and noise sigma2.
+def simulate_null(worlds: DataFrame, seed: int) -> DataFrame:
+    """world, agreement, error: worlds in which contexts are exchangeable around one mean with variance tau2 and noise sigma2.
 
-    agreement is the mean pairwise correlation of the first contexts - 1 noisy responses, error the squared distance of their mean
-    from the last context's, per gene. Draws are rows; each has its own seed.
+    worlds: world, contexts, genes, tau2, sigma2. agreement is the mean pairwise correlation of the first contexts - 1 noisy
+    responses, error the squared distance of their mean from the last context's, per gene. Each world is a row with a seed of its own.
     """
 
-    def world(batches):
+    def draw(batches):
         for b in batches:
             out = []
-            for d in b["id"].tolist():
-                rng = np.random.default_rng([seed, d])
-                m = rng.normal(size=genes)
-                y = m + rng.normal(scale=tau2**0.5, size=(contexts, genes)) + rng.normal(scale=sigma2**0.5, size=(contexts, genes))
+            for d, contexts, genes, tau2, sigma2 in b[["world", "contexts", "genes", "tau2", "sigma2"]].itertuples(index=False):
+                rng = np.random.default_rng(seed_of(seed, d))
+                y = rng.normal(size=genes) + rng.normal(scale=tau2**0.5, size=(contexts, genes)) + rng.normal(scale=sigma2**0.5, size=(contexts, genes))
                 r = np.corrcoef(y[:-1])[np.triu_indices(contexts - 1, 1)]
                 out.append((d, float(r.mean()), float(((y[:-1].mean(axis=0) - y[-1]) ** 2).mean())))
-            yield pd.DataFrame(out, columns=["draw", "agreement", "error"])
+            yield pd.DataFrame(out, columns=["world", "agreement", "error"])
 
-    return spark.range(draws).mapInPandas(world, "draw long, agreement double, error double")
+    return worlds.mapInPandas(draw, "world string, agreement double, error double")

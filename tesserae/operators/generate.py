@@ -17,20 +17,30 @@ def seed_of(*parts: object) -> int:
     return int.from_bytes(hashlib.sha256(":".join(map(str, parts)).encode()).digest()[:4], "little")
 
 
-def synthetic_cells(spark, contexts: int, cells: int, genes: int, seed: int, rate: float = 2.0, modulation: float = 0.3) -> DataFrame:
-    """Poisson counts: context, cell, gene, value > 0. Every gene has a base rate and each context its own change of it."""
+def synthetic_cells(cells: DataFrame, seed: int, rate: float = 2.0, modulation: float = 0.3) -> DataFrame:
+    """Poisson counts context, cell, gene, value > 0 for rows context, cell, genes ARRAY: each row is one cell.
+
+    Every gene has a base rate and each context its own change of it, both from the seed and their names.
+    """
 
     def draw(batches):
+        rates: dict[tuple, np.ndarray] = {}
         for b in batches:
-            for c in b["id"].tolist():
-                context, cell = divmod(c, cells)
-                base = np.random.default_rng(seed_of(seed, "base")).gamma(1.0, rate, genes)
-                own = np.exp(np.random.default_rng(seed_of(seed, context)).normal(0, modulation, genes))
-                x = np.random.default_rng(seed_of(seed, context, cell)).poisson(base * own)
-                at = np.flatnonzero(x)
-                yield pd.DataFrame({"context": f"C{context}", "cell": c, "gene": [f"GENE_{g:03d}" for g in at], "value": x[at].astype(float)})
-
-    return spark.range(contexts * cells).mapInPandas(draw, "context string, cell long, gene string, value double")
+            at, value, row = [], [], []
+            for i, (context, cell, genes) in enumerate(b[["context", "cell", "genes"]].itertuples(index=False)):
+                if (context, len(genes)) not in rates:
+                    base = np.random.default_rng(seed_of(seed, "base")).gamma(1.0, rate, len(genes))
+                    rates[context, len(genes)] = base * np.exp(np.random.default_rng(seed_of(seed, context)).normal(0, modulation, len(genes)))
+                x = np.random.default_rng(seed_of(seed, context, cell)).poisson(rates[context, len(genes)])
+                there = np.flatnonzero(x)
+                at.append(np.asarray(genes, dtype=object)[there])
+                value.append(x[there].astype(float))
+                row.append(np.full(len(there), i))
+            if row:
+                own = b.iloc[np.concatenate(row)]
+                yield pd.DataFrame({"context": own["context"].to_numpy(), "cell": own["cell"].to_numpy(), "gene": np.concatenate(at), "value": np.concatenate(value)})
+
+    return cells.mapInPandas(draw, "context string, cell long, gene string, value double")
 
 
 def draw_counts(profiles: DataFrame, kind: str, seed: int, dispersion: float = 0.2) -> DataFrame:
@@ -90,17 +100,24 @@ def rake(template: DataFrame, seed: int, iterations: int = 50, tolerance: float
 
 
 def jackknife(cells: DataFrame, target: float = 5e4) -> DataFrame:
-    """Per group and gene: delete-one jackknife variance over cells of the bulk profile log1p(target * total / depth).
+    """group, variance: the sum over genes of the delete-one jackknife variance over cells of the bulk profile
+    log1p(target * total / depth); 0 for fewer than two cells or where one cell holds all depth.
 
-    cells: group, cell, depth, gene, value, zeros not stored. Cells without a gene share one term each per depth, so only sums
-    over stored values and over depths are needed: nothing is made dense.
+    cells: group, cell, depth, gene, value, zeros not stored. What a gene's profile is without a cell that lacks it depends on that cell's
+    depth only, so these terms are taken once for each different depth of a group and corrected at stored values.
     """
     group = cells.select("group", "cell", "depth").distinct()
-    whole = group.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("s"))
-    total = cells.groupBy("group", "gene").agg(F.sum("value").alias("t"))
-    base = total.join(whole, "group")
-    # Every (cell, gene) of the group; the grid is cells x genes of one group's axis, made by a join and summed where it is.
-    grid = group.join(base, "group").join(cells.select("group", "cell", "gene", "value"), ["group", "cell", "gene"], "left")
-    left_out = F.log1p(target * (F.col("t") - F.coalesce("value", F.lit(0.0))) / (F.col("s") - F.col("depth")))
-    per = grid.filter("s > depth").withColumn("x", left_out).groupBy("group", "gene").agg(F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("v"))
-    return per.select("group", "gene", ((F.col("n") - 1) * F.col("v")).alias("variance"))
+    whole = group.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("s"), F.max("depth").alias("top"))
+    usable = whole.filter("n > 1 and s > top")
+    depths = group.groupBy("group", "depth").agg(F.count(F.lit(1)).alias("m"))
+    totals = cells.groupBy("group", "gene").agg(F.sum("value").alias("t")).join(usable, "group")
+    # Distances from the whole profile, which are small, keep the digits that squares of the profiles would lose.
+    away = lambda v: F.log1p(target * (F.col("t") - v) / (F.col("s") - F.col("depth"))) - F.log1p(target * F.col("t") / F.col("s"))
+    lacking = totals.join(depths, "group").withColumn("x", away(F.lit(0.0)))
+    lacking = lacking.groupBy("group", "gene").agg(F.sum(F.col("m") * F.col("x")).alias("a"), F.sum(F.col("m") * F.col("x") * F.col("x")).alias("aa"))
+    x, y = away(F.col("value")), away(F.lit(0.0))
+    stored = cells.join(totals, ["group", "gene"]).groupBy("group", "gene", "n").agg(F.sum(x - y).alias("b"), F.sum(x * x - y * y).alias("bb"))
+    both = stored.join(lacking, ["group", "gene"]).withColumn("total", F.col("a") + F.col("b"))
+    spread = F.col("aa") + F.col("bb") - F.col("total") * F.col("total") / F.col("n")
+    per = both.groupBy("group").agg(F.sum((F.col("n") - 1) / F.col("n") * spread).alias("v"))
+    return whole.join(per, "group", "left").select("group", F.coalesce("v", F.lit(0.0)).alias("variance"))

@@ -5,36 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COVERAGES = (1.0, 0.75, 0.5, 0.25, 0.1)
-
+from tesserae.operators.order import in_order
 
-def _by_confidence(group: list[str]):
-    return Window.partitionBy(*group).orderBy(F.desc("confidence"), "id")
+COVERAGES = (1.0, 0.75, 0.5, 0.25, 0.1)
 
 
 def risk_coverage(rows: DataFrame, group: list[str], coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
     """Mean and median risk of the most confident share of each group, at least one row, for each coverage."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    ranked = rows.withColumns({"position": F.row_number().over(_by_confidence(group)), "n": n})
+    ranked = in_order(rows, group, "confidence", "id", descending=True)
     wide = ranked.withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in coverages])))
-    kept = wide.filter(F.col("position") <= F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("n"))))
+    kept = wide.filter(F.col("position") <= F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("size"))))
     return kept.groupBy(*group, "coverage").agg(F.avg("risk").alias("mean_risk"), F.expr("percentile(risk, 0.5)").alias("median_risk"), F.count(F.lit(1)).alias("kept"))
 
 
 def area_under_risk_coverage(rows: DataFrame, group: list[str]) -> DataFrame:
     """Mean over all prefixes by confidence of the prefix's mean risk."""
-    running = F.avg("risk").over(_by_confidence(group).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running", running).groupBy(*group).agg(F.avg("running").alias("aurc"))
+    ranked = in_order(rows, group, "confidence", "id", carry="risk", descending=True)
+    return ranked.groupBy(*group).agg(F.avg(F.col("running") / F.col("position")).alias("aurc"))
 
 
 def capture(rows: DataFrame, group: list[str], budgets: tuple[float, ...]) -> DataFrame:
     """Share of all (non-negative) risk that the least confident share of each group holds."""
-    own = Window.partitionBy(*group)
-    r = rows.withColumn("risk", F.greatest("risk", F.lit(0.0))).withColumns(
-        {"position": F.row_number().over(own.orderBy("confidence", "id")), "n": F.count(F.lit(1)).over(own)}
-    )
+    r = in_order(rows.withColumn("risk", F.greatest("risk", F.lit(0.0))), group, "confidence", "id")
     wide = r.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets])))
-    inside = F.col("position") <= F.greatest(F.lit(1), F.bround(F.col("budget") * F.col("n")))
+    inside = F.col("position") <= F.greatest(F.lit(1), F.bround(F.col("budget") * F.col("size")))
     return wide.groupBy(*group, "budget").agg((F.sum(F.when(inside, F.col("risk")).otherwise(0.0)) / F.sum("risk")).alias("captured"))
 
 

@@ -19,29 +19,34 @@ def adjust(pvals: DataFrame, family: list[str], p: str = "p") -> DataFrame:
     return raw.withColumn("p_adj", F.least(F.lit(1.0), F.min("step").over(later))).drop("step")
 
 
-def rank_sums(stored: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """Mann-Whitney U and tie-corrected z of target against control values, zeros that are not stored included.
+def rank_sums(own: DataFrame, control: DataFrame, targets: DataFrame, n_control: DataFrame, genes: DataFrame) -> DataFrame:
+    """target, gene, u, z: Mann-Whitney U and tie-corrected z of targets against one control, zeros that are not stored included.
 
-    stored: keys..., side (1 target, 0 control), value > 0; sizes: keys..., n1, n0 cells. The block of zeros is one tie group;
-    stored values rank above it.
+    own: target, gene, value > 0; control: gene, value > 0; targets: target, n1 cells; n_control: one row n0; genes: gene.
+    Control values are counted and accumulated once for each gene and meet the targets as counts of different values; no control
+    cell is repeated for a target. The zeros are one tie group below everything stored.
     """
-    group = Window.partitionBy(*keys, "value")
-    ranked = stored.withColumns({"rank": average_rank(keys, "value"), "t": F.count(F.lit(1)).over(group), "one": F.row_number().over(group.orderBy("side"))})
-    t = F.col("t").cast("double")
-    per = ranked.groupBy(*keys).agg(
-        F.sum(F.when(F.col("side") == 1, F.col("rank"))).alias("r1"),
-        F.count_if(F.col("side") == 1).alias("s1"),
-        F.count_if(F.col("side") == 0).alias("s0"),
-        F.sum(F.when(F.col("one") == 1, t * t * t - t)).alias("ties"),
+    c = control.groupBy("gene", "value").agg(F.count(F.lit(1)).alias("c")).withColumn("target", F.lit(None).cast("string"))
+    t = own.groupBy("gene", "value", "target").agg(F.count(F.lit(1)).alias("m"))
+    rows = c.withColumn("m", F.lit(0)).unionByName(t.withColumn("c", F.lit(0)))
+    value = Window.partitionBy("gene").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("gene", "value")
+    met = rows.withColumns({"upto": F.sum("c").over(value), "eq": F.sum("c").over(same)}).filter("target is not null")
+    cube = lambda x: x * x * x - x
+    m, eq = F.col("m").cast("double"), F.col("eq").cast("double")
+    per = met.groupBy("target", "gene").agg(
+        F.sum(m).alias("s1"), F.sum(m * (F.col("upto") - eq / 2)).alias("above"), F.sum(cube(m + eq) - cube(eq)).alias("ties")
     )
-    x = sizes.join(per, keys, "left").na.fill({"r1": 0.0, "s1": 0, "s0": 0, "ties": 0.0})
+    x = F.col("c").cast("double")
+    base = genes.join(c.groupBy("gene").agg(F.sum(x).alias("s0"), F.sum(cube(x)).alias("own_ties")), "gene", "left").crossJoin(F.broadcast(n_control))
+    full = F.broadcast(targets).crossJoin(base).join(per, ["target", "gene"], "left").na.fill(0.0, ["s1", "above", "ties", "s0", "own_ties"])
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
-    x = x.withColumns({"z1": n1 - F.col("s1"), "z": n1 + n0 - F.col("s1") - F.col("s0"), "n": n1 + n0})
-    x = x.withColumn("u", F.col("z1") * (F.col("z") + 1) / 2 + F.col("r1") + F.col("s1") * F.col("z") - n1 * (n1 + 1) / 2)
-    tie = F.col("ties") + F.col("z") * F.col("z") * F.col("z") - F.col("z")
+    full = full.withColumns({"z1": n1 - F.col("s1"), "z0": n0 - F.col("s0"), "n": n1 + n0})
+    full = full.withColumn("u", F.col("above") + F.col("s1") * F.col("z0") + F.col("z1") * F.col("z0") / 2)
+    tie = F.col("ties") + F.col("own_ties") + cube(F.col("z1") + F.col("z0"))
     sigma = F.sqrt(n1 * n0 / 12 * ((F.col("n") + 1) - tie / (F.col("n") * (F.col("n") - 1))))
     z = F.when(sigma > 0, (F.abs(F.col("u") - n1 * n0 / 2) - 0.5) / sigma)
-    return x.select(*keys, "u", z.alias("z"))
+    return full.select("target", "gene", "u", z.alias("z"))
 
 
 def two_sided(z: Column | str) -> Column:

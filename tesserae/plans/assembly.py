@@ -10,6 +10,7 @@ from tesserae.operators import checks as C
 from tesserae.operators import fusion as U
 from tesserae.operators import joins as J
 from tesserae.operators import resample as R
+from tesserae.operators.order import in_order
 from tesserae.plans.base_sql import CELLS, OBS, RESP
 from tesserae.sources.tables import cells, observations, responses, table
 
@@ -271,9 +272,8 @@ RATIO = """rt AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, abs(
 
 
 def ratio_rows(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    pos = (F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("bigint")  # one row a supplier: the resampled units
-    return s.select(pos.alias("pos"), F.abs("s_acctbal").alias("num"), (F.abs("s_acctbal") + F.col("s_nationkey") * 100).alias("den"))
+    s = in_order(table(spark, sf_dir, "supplier"), [], "s_suppkey", "s_suppkey")
+    return s.select((F.col("position") - 1).alias("pos"), F.abs("s_acctbal").alias("num"), (F.abs("s_acctbal") + F.col("s_nationkey") * 100).alias("den"))
 
 
 @query(f"""WITH {RATIO}, n AS (SELECT count(*) AS n FROM rt), pk AS (SELECT d, ('0x' || substr(md5('29:' || d || ':' || s), 1, 8))::BIGINT % n AS pos FROM range(200) a(d), n, unnest(range(n)) b(s)),
@@ -290,8 +290,8 @@ m AS (SELECT d.d, avg(CASE WHEN f.flag = 1 THEN d.value END) - avg(CASE WHEN f.f
 o AS (SELECT avg(CASE WHEN flag = 1 THEN value END) - avg(CASE WHEN flag = 0 THEN value END) AS observed FROM p)
 SELECT round(any_value(observed), 6) AS observed, round(avg(v), 6) AS null_mean, round(stddev_samp(v), 6) AS null_sd, round((count(*) FILTER (WHERE v >= observed) + 1) / (count(*) + 1), 6) AS p FROM m, o""")
 def permutation_p(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    rows = s.select(F.row_number().over(Window.orderBy("s_suppkey")).alias("pos"), (F.col("s_nationkey") % 2).cast("int").alias("flag"), F.col("s_acctbal").alias("value"))
+    s = in_order(table(spark, sf_dir, "supplier"), [], "s_suppkey", "s_suppkey")
+    rows = s.select(F.col("position").alias("pos"), (F.col("s_nationkey") % 2).cast("int").alias("flag"), F.col("s_acctbal").alias("value"))
     t = R.permutation_test(rows, "flag", "value", 200, 31)
     return t.select(*[r6(c).alias(c) for c in t.columns])
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import assembly, decomposition, measurement, modelling, scoring, transfer
+from tesserae.plans import assembly, decomposition, measurement, modelling, residuals, scoring, transfer
 
-FAMILIES = (decomposition, measurement, scoring, assembly, transfer, modelling)
+FAMILIES = (decomposition, measurement, scoring, assembly, transfer, modelling, residuals)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import r6
 from tesserae.operators import aggregate as A
 from tesserae.operators import generate as G
 from tesserae.operators import models as M
+from tesserae.plans.base_sql import CELLS
 from tesserae.sources.tables import CONTROL, cells, expression, observations, responses, table
 
 Q: dict = {}
@@ -47,13 +49,14 @@ def pca_scores(spark, sf_dir):
 
 @query()
 def kernel_ridge_transfer(spark, sf_dir):
-    """Anchors are perturbations with an even hash; responses of one region predict from the others' vectors."""
-    r = responses(spark, sf_dir)
-    vec = r.filter("context != 'ASIA'").groupBy("perturbation", "gene").agg(F.avg("delta").alias("d")).groupBy("perturbation").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("gene", "d"))), lambda s: s["d"] - 25.0).alias("vec")
+    """Each region in turn is the target: responses predict from the other regions' mean vectors; anchors have an even hash."""
+    r, whole = responses(spark, sf_dir), Window.partitionBy("perturbation", "gene")
+    others = (F.sum("delta").over(whole) - F.col("delta")) / (F.count("delta").over(whole) - 1)
+    d = r.withColumn("d", others - 25.0)
+    rows = d.groupBy("context", F.col("perturbation").alias("id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("gene", "d"))), lambda s: s["d"]).alias("vec"), F.avg("delta").alias("y")
     )
-    y = r.filter("context = 'ASIA'").groupBy("perturbation").agg(F.avg("delta").alias("y"))
-    rows = vec.join(y, "perturbation").select(F.lit("ASIA").alias("context"), F.col("perturbation").alias("id"), (F.pmod(F.crc32("perturbation"), F.lit(2)) == 0).alias("is_anchor"), "vec", "y")
+    rows = rows.withColumn("is_anchor", F.pmod(F.crc32("id"), F.lit(2)) == 0)
     out = M.kernel_ridge(rows, ["context"], 1.0, "context string, id string, predicted double")
     return out.withColumn("predicted", r6("predicted"))
 
@@ -91,23 +94,33 @@ def gamma_poisson_counts(spark, sf_dir):
     return G.draw_counts(profiles(spark, sf_dir), "gamma_poisson", 43)
 
 
+BLOCK_CELLS = 128  # cells whose counts are raked together
+
+
 @query()
 def raked_counts(spark, sf_dir):
     p = profiles(spark, sf_dir)
-    t = p.select("target", F.pmod(F.xxhash64("cell"), F.lit(64)).alias("block"), "cell", F.round("depth").alias("depth"), "genes", F.col("shares").alias("base"), F.col("shares").alias("share"))
+    blocks = p.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CELLS).alias("blocks"))
+    block = F.pmod(F.xxhash64("cell"), F.col("blocks"))
+    t = p.join(blocks, "target").select("target", block.alias("block"), "cell", F.round("depth").alias("depth"), "genes", F.col("shares").alias("base"), F.col("shares").alias("share"))
     return G.rake(t, 47)
 
 
-@query()
+@query(f"""WITH {CELLS}, d AS (SELECT cell, sum(value) AS depth FROM expr GROUP BY 1), c AS (SELECT concat_ws('|', context, batch) AS grp, cell, depth FROM cells JOIN d USING (cell)),
+s AS (SELECT grp, count(*) AS n, sum(depth) AS s FROM c GROUP BY 1), t AS (SELECT grp, gene, sum(value) AS t FROM expr JOIN c USING (cell) GROUP BY ALL),
+v AS (SELECT grp, gene, s.n, ln(1 + 5e4 * (t - coalesce(value, 0)) / (s - depth)) - ln(1 + 5e4 * t / s) AS v FROM t JOIN s USING (grp) JOIN c USING (grp) LEFT JOIN expr USING (cell, gene))
+SELECT grp AS "group", round(sum(w), 6) AS variance FROM (SELECT grp, (n - 1) * var_pop(v) AS w FROM v GROUP BY grp, gene, n) GROUP BY 1""")
 def jackknife_dispersion(spark, sf_dir):
     c = cells(spark, sf_dir).select("cell", F.concat_ws("|", "context", "batch").alias("group"))
     e = A.normalise(expression(spark, sf_dir)).select("cell", "gene", "value", "depth")
-    return G.jackknife(e.join(c, "cell")).select("group", "gene", F.round("variance", 9).alias("variance"))
+    return G.jackknife(e.join(c, "cell")).withColumn("variance", r6("variance"))
 
 
 @query()
 def synthetic_contexts(spark, sf_dir):
-    return G.synthetic_cells(spark, 3, 50, 30, 0)
+    """Counts for the cells and genes of the tables; the axis of genes travels with each cell."""
+    axis = expression(spark, sf_dir).select("gene").distinct().agg(F.array_sort(F.collect_list("gene")).alias("genes"))
+    return G.synthetic_cells(cells(spark, sf_dir).select("context", "cell").crossJoin(F.broadcast(axis)), 0)
 
 
 @query("""SELECT p_brand AS perturbation, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 6) AS variance FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")

@@ -138,18 +138,25 @@ def cluster_bootstrap_slope(spark, sf_dir):
 
 @query(f"""WITH {OBS}, st AS (SELECT perturbation AS target, gene, avg(value) FILTER (WHERE flag = 'R') AS p, avg(value) FILTER (WHERE flag <> 'R') AS r, var_samp(value) FILTER (WHERE flag = 'R') / count(*) FILTER (WHERE flag = 'R') AS dp,
   var_samp(value) FILTER (WHERE flag <> 'R') / count(*) FILTER (WHERE flag <> 'R') AS dr FROM obs GROUP BY ALL), ct AS (SELECT gene, avg(value) AS c, var_samp(value) / count(*) AS dc FROM obs GROUP BY 1),
-x AS (SELECT *, avg(p) OVER (PARTITION BY gene) AS mp FROM st JOIN ct USING (gene)),
-t AS (SELECT target, sum((p - r) * (p - r)) AS err, sum((r - c) * (r - c)) AS eff, sum((p - mp) * (p - mp)) AS spread, least(sum(dp), sum(dr)) AS credit, sum(dr) AS cr, sum(dc) AS cc, count(*) AS g FROM x GROUP BY 1),
-h AS (SELECT CASE WHEN sum(credit / g) > 0 THEN least(1, sum(spread / g) / sum(credit / g)) ELSE 1 END AS rho FROM t)
-SELECT round(sum((err - rho * credit - cr) / g) / sum((eff - cr - cc) / g), 6) AS error, round(any_value(rho), 6) AS rho FROM t, h""")
+ds AS (SELECT target, sum(dp) AS cp, sum(dr) AS cr FROM st GROUP BY 1), dc AS (SELECT sum(dc) AS cc FROM ct), own AS (SELECT target, min(gene) FILTER (WHERE target LIKE '%1') AS own FROM st GROUP BY 1),
+k AS (SELECT st.*, c FROM st JOIN ct USING (gene) JOIN own USING (target) WHERE own IS DISTINCT FROM gene), w AS (SELECT *, 1 / count(*) OVER (PARTITION BY target) AS w FROM k),
+x AS (SELECT *, sum(w * p) OVER (PARTITION BY gene) / sum(w) OVER (PARTITION BY gene) AS mp FROM w),
+t AS (SELECT target, sum((p - r) * (p - r)) AS err, sum((r - c) * (r - c)) AS eff, sum((p - mp) * (p - mp)) AS spread, count(*) AS g FROM x GROUP BY 1), td AS (SELECT *, least(cp, cr) AS credit FROM t JOIN ds USING (target)),
+h AS (SELECT CASE WHEN sum(credit / g) > 0 THEN least(1, sum(spread / g) / sum(credit / g)) ELSE 1 END AS rho FROM td)
+SELECT round(sum((err - rho * credit - cr) / g) / sum((eff - cr - cc) / g), 6) AS error, round(any_value(rho), 6) AS rho FROM td, h, dc""")
 def expression_error(spark, sf_dir):
+    """The own gene of a brand ending in 1 is its first gene by name; the others have none."""
     obs = observations(spark, sf_dir)
     v, ret = F.col("value"), F.col("flag") == "R"
     side = lambda c: (F.avg(F.when(c, v)), F.var_samp(F.when(c, v)) / F.count_if(c))
     (p, dp), (r, dr) = side(ret), side(~ret)
     st = obs.groupBy(F.col("perturbation").alias("target"), "gene").agg(p.alias("p"), dp.alias("dp"), r.alias("r"), dr.alias("dr"))
     ct = obs.groupBy("gene").agg(F.avg(v).alias("c"), (F.var_samp(v) / F.count(v)).alias("dc"))
-    return B.expression_error(st.join(F.broadcast(ct), "gene")).select(r6("error").alias("error"), r6("rho").alias("rho"))
+    own = F.when(F.col("target").endswith("1"), F.min("gene").over(Window.partitionBy("target")))
+    rows = st.withColumn("own", own).join(ct.select("gene", "c"), "gene")
+    each = st.groupBy("target").agg(F.sum("dp").alias("cp"), F.sum("dr").alias("cr"))
+    every = F.broadcast(ct.agg(F.sum("dc").alias("cc")))
+    return B.expression_error(rows, each.crossJoin(every), F.col("cc")).select(r6("error").alias("error"), r6("rho").alias("rho"))
 
 
 @query(f"""WITH {OBS}, s AS (SELECT batch, perturbation AS target, gene, avg(value) AS m, count(*) AS n FROM obs GROUP BY ALL), c AS (SELECT *, CASE WHEN n >= 20 THEN m END AS u FROM s),
@@ -259,7 +266,10 @@ def per_gene_ridge(spark, sf_dir):
 
 @query()
 def simulated_null(spark, sf_dir):
-    """Agreement and error in exchangeable worlds with the variances that the responses show."""
-    t = B.exchangeable(responses(spark, sf_dir).withColumn("sigma2", F.lit(200.0) / F.col("n_cells")), "sigma2").agg(F.avg("tau2").alias("tau2")).first()
-    s = responses(spark, sf_dir).agg(F.avg(F.lit(200.0) / F.col("n_cells")).alias("s")).first()
-    return B.simulate_null(spark, 200, 5, 150, float(t.tau2), float(s.s), 67)
+    """For each perturbation, agreement and error in an exchangeable world with the variances and the size that its responses show."""
+    r = responses(spark, sf_dir).withColumn("sigma2", F.lit(200.0) / F.col("n_cells"))
+    size = r.groupBy(F.col("perturbation").alias("world")).agg(
+        F.countDistinct("context").cast("int").alias("contexts"), F.countDistinct("gene").cast("int").alias("genes"), F.avg("sigma2").alias("sigma2")
+    )
+    between = B.exchangeable(r, "sigma2").groupBy(F.col("perturbation").alias("world")).agg(F.avg("tau2").alias("tau2"))
+    return B.simulate_null(size.filter("contexts > 2").join(between, "world"), 67)

@@ -135,18 +135,23 @@ def dense_rank_sum(a, b):
 
 
 def test_rank_sums_with_zeros_that_are_not_stored(spark, rng):
-    stored, sizes, want = [], [], {}
-    for k in range(30):
-        a, b = rng.poisson(0.5 + k % 3, 20).astype(float), rng.poisson(1, 15 + k).astype(float)
-        if k == 29:
-            a[:], b[:] = 0, 0
-        key = f"g{k}"
-        stored += [(key, 1, float(v)) for v in a if v] + [(key, 0, float(v)) for v in b if v]
-        sizes.append((key, 20, 15 + k))
-        want[key] = dense_rank_sum(a, b)
-    got = X.rank_sums(spark.createDataFrame(stored, "gene string, side int, value double"), spark.createDataFrame(sizes, "gene string, n1 long, n0 long"), ["gene"])
-    for r in got.withColumn("p", X.two_sided("z")).collect():
-        u, z = want[r.gene]
+    own, control, want, genes = [], [], {}, [f"g{k}" for k in range(30)]
+    for k, g in enumerate(genes):
+        b = rng.poisson(1, 35).astype(float) * (k != 29)
+        control += [(g, float(v)) for v in b if v]
+        for t, n in (("s", 20), ("t", 12)):
+            a = rng.poisson(0.5 + k % 3, n).astype(float) * (k != 29)
+            own += [(t, g, float(v)) for v in a if v]
+            want[t, g] = dense_rank_sum(a, b)
+    table = spark.createDataFrame
+    got = X.rank_sums(
+        table(own, "target string, gene string, value double"), table(control, "gene string, value double"), table([("s", 20), ("t", 12)], "target string, n1 long"),
+        table([(35,)], "n0 long"), table([(g,) for g in genes], "gene string"),
+    )
+    found = got.withColumn("p", X.two_sided("z")).collect()
+    assert {(r.target, r.gene) for r in found} == set(want) and len(found) == len(want)
+    for r in found:
+        u, z = want[r.target, r.gene]
         assert math.isclose(r.u, u) and (r.z is None if z is None else math.isclose(r.z, z, abs_tol=1e-9))
         assert math.isclose(r.p, 1 if z is None else min(1, math.erfc(max(z, 0) / math.sqrt(2))), abs_tol=1e-6)
 
@@ -240,10 +245,10 @@ def test_jackknife_equals_dense(spark, rng):
     x[:, 0] += 1
     depth = x.sum(axis=1)
     rows = [("g", int(i), float(depth[i]), f"g{k}", float(x[i, k])) for i, k in zip(*np.nonzero(x))]
-    got = {r.gene: r.variance for r in G.jackknife(spark.createDataFrame(rows, "group string, cell long, depth double, gene string, value double")).collect()}
-    for k in range(5):
-        loo = np.log1p(5e4 * (x[:, k].sum() - x[:, k]) / (depth.sum() - depth))
-        assert math.isclose(got[f"g{k}"], 11 * loo.var(), rel_tol=1e-9)
+    rows += [("alone", 50, 3.0, "g0", 3.0), ("all", 60, 4.0, "g1", 4.0), ("all", 61, 0.0, "g1", 0.0)]
+    got = {r.group: r.variance for r in G.jackknife(spark.createDataFrame(rows, "group string, cell long, depth double, gene string, value double")).collect()}
+    loo = np.log1p(5e4 * (x.sum(axis=0) - x) / (depth.sum() - depth)[:, None])
+    assert math.isclose(got["g"], 11 * loo.var(axis=0).sum(), rel_tol=1e-9) and got["alone"] == got["all"] == 0
 
 
 def test_ranking(spark):
@@ -322,11 +327,59 @@ def test_ridge_toward_a_prior(spark, rng):
 def test_null_worlds_repeat(spark):
     from tesserae.operators import calibration as B
 
-    one, two = (sorted(map(tuple, B.simulate_null(spark, 40, 5, 200, t, 0.5, 3).collect())) for t in (0.0, 0.0))
+    worlds = spark.createDataFrame([(f"w{i}", 5, 200, 0.0, 0.5) for i in range(40)], "world string, contexts int, genes int, tau2 double, sigma2 double")
+    one, two = (sorted(map(tuple, B.simulate_null(worlds.repartition(n), 3).collect())) for n in (1, 3))
     assert one == two
     assert abs(np.mean([r[1] for r in one]) - 1 / 1.5) < 0.03
 
 
+def test_expression_error_equals_dense(spark, rng):
+    from tesserae.operators import calibration as B
+
+    p, r, c = rng.normal(size=(4, 6)), rng.normal(size=(4, 6)), rng.normal(size=6)
+    cp, cr, cc, own = rng.random(4) * 6, rng.random(4), 0.3, [2, None, 0, None]
+    rows = [(f"t{i}", f"g{k}", None if own[i] is None else f"g{own[i]}", float(p[i, k]), float(r[i, k]), float(c[k])) for i in range(4) for k in range(6)]
+    got = B.expression_error(
+        spark.createDataFrame(rows, "target string, gene string, own string, p double, r double, c double"),
+        spark.createDataFrame([(f"t{i}", float(cp[i]), float(cr[i])) for i in range(4)], "target string, cp double, cr double"), F.lit(cc),
+    ).first()
+    keep = np.array([[k != own[i] for k in range(6)] for i in range(4)], dtype=float)
+    g = keep.sum(axis=1)
+    w = keep / g[:, None]
+    mean = (w * p).sum(axis=0) / w.sum(axis=0)
+    rho = min(1, (w * (p - mean) ** 2).sum() / (np.minimum(cp, cr) / g).sum())
+    num = (((p - r) ** 2 * keep).sum(axis=1) - rho * np.minimum(cp, cr) - cr) / g
+    den = (((r - c) ** 2 * keep).sum(axis=1) - cr - cc) / g
+    assert math.isclose(got.rho, rho) and math.isclose(got.error, num.sum() / den.sum())
+
+
+def test_one_penalty_serves_all_genes(spark, rng):
+    from tesserae.operators import calibration as B
+
+    rows, data = [], {}
+    for g in range(6):
+        x = rng.normal(size=(14, 3))
+        y = x @ rng.normal(size=3) + rng.normal(size=14) * (g + 0.1)
+        data[g] = x, y
+        rows += [(f"g{g}", f"p{i}", [float(v) for v in x[i]], float(y[i]), i < 9, 0.6) for i in range(14)]
+    got = {(r.gene, r.perturbation): r.e3 for r in B.per_gene_ridge(spark.createDataFrame(rows, "gene string, perturbation string, sources array<double>, y double, is_anchor boolean, s double")).collect()}
+    loss = []
+    for rel in B.RELATIVE:
+        total = 0.0
+        for x, y in data.values():
+            unit = ((x[:9] - x[:9].mean(axis=0)) ** 2).sum(axis=0).mean()
+            xt = np.column_stack((np.ones(9), x[:9]))
+            inv = np.linalg.inv(xt.T @ xt + rel * unit * np.diag([0, 1, 1, 1]))
+            z = y[:9] - x[:9] @ np.full(3, 0.2)
+            e = (z - xt @ inv @ xt.T @ z) / (1 - np.diag(xt @ inv @ xt.T))
+            total += (e * e).sum()
+        loss.append(total)
+    best = B.RELATIVE[int(np.argmin(loss))]
+    for g, (x, y) in data.items():
+        b, w = B.solve_toward(x[:9], y[:9], 0.2, best * B.penalty_unit(x[:9]))
+        assert all(math.isclose(got[f"g{g}", f"p{i}"], b + x[i] @ w, rel_tol=1e-9, abs_tol=1e-9) for i in range(14))
+
+
 def test_estimators_see_no_target_values_off_anchors(spark, rng):
     from tesserae.operators import calibration as B
 

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, id_and_text, shuffle_width, stored
@@ -19,6 +19,7 @@ PERCENT = 80
 TILE_DOCS = 256
 TILE_SHINGLES = 2_000_000
 FANOUT = 8
+SAMPLE, SAMPLED_OFTEN = 0.01, 50  # keys that 50 of a hundredth of the rows have do not meet in one window
 SEEN_SETS = 100_000  # sets whose keys a task remembers to have sent
 
 
@@ -280,10 +281,7 @@ def jaccard_join(
     base = cut(rows.mapInArrow(_router(width, percent), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"))
     classes = base.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     routed = base.select(F.explode("keys").alias("key"), F.col("d1").alias("node"))
-    # Least classes come from an aggregation that combines before it shuffles; those of keys that several classes share are few
-    # and written, so that Spark knows their size when it joins them back, and can split the join at a key with very many rows.
-    shared = stored(routed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center != last").drop("last"))
-    edges = routed.join(shared, "key").filter("node != center").select("node", "center").distinct()
+    edges = _to_centers(routed).distinct()
     members = edges.union(edges.select(F.col("center").alias("node"), "center")).distinct()
     members = cut(
         members.join(classes.filter("rep is not null"), F.col("node") == F.col("d1")).select(
@@ -308,9 +306,29 @@ def jaccard_join(
     return own.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _to_centers(routed: DataFrame) -> DataFrame:
+    """node, center: every class and, for each of its keys, the least class with that key, where that is another one.
+
+    The rows of a key meet in a window. Keys that a sample finds to be frequent go another way to the same result: their least classes
+    come from an aggregation that combines before it shuffles, and join back as a table whose size Spark knows.
+    """
+    frequent = routed.sample(SAMPLE, 7).groupBy("key").count().filter(F.col("count") >= SAMPLED_OFTEN).select("key")
+    frequent = stored(frequent)
+    center = F.min("node").over(Window.partitionBy("key")).alias("center")
+    if frequent.isEmpty():
+        return routed.select("node", center).filter("node != center")
+    few = routed.join(frequent, "key", "left_anti").select("node", center)
+    many = routed.join(frequent, "key", "left_semi")
+    least = stored(many.groupBy("key").agg(F.min("node").alias("center")))
+    return few.union(many.join(least, "key").select("node", "center")).filter("node != center")
+
+
 def _join_tiles(rows: DataFrame, placed: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
-    """Links within tiles; texts come to them by document, once for each tile that needs them."""
-    texts = rows.join(placed, F.col("doc_id") == F.col("rep")).select("center", "lo", "hi", "rep", "d1", "d2", "label", "text")
+    """Links within tiles; texts come to them by document, once for each tile that needs them.
+
+    Places are written first: with their size known, Spark need not move the texts of all documents to few of them.
+    """
+    texts = rows.join(stored(placed), F.col("doc_id") == F.col("rep")).select("center", "lo", "hi", "rep", "d1", "d2", "label", "text")
     dealt = texts.repartition(parts, "center", "lo", "hi").sortWithinPartitions("center", "lo", "hi", "rep")
     return dealt.mapInArrow(_tile_joiner(width, percent), "u bigint, v bigint")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +39,26 @@ SENTENCES = {
     24: "all rights reserved",
     25: "either version 2 of the license or at your option any later version",
     26: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    27: "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    28: "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    29: "either version 2 1 of the license or at your option any later version",
+    30: "this library is free software",
+    31: "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    32: "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",
+    33: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    34: "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at https www eclipse org legal epl 2 0",
+    35: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    36: "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
 }
 
+# Identifiers that a tag line names; the tag and the identifier are one sentence.
+TAG = "spdx-license-identifier:"
+TAGGED = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "MPL-2.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+)
+SENTENCES |= {101 + i: "spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower()) for i, name in enumerate(TAGGED)}
+
 # Licence rules in order. An earlier rule takes its sentences before a later one sees them.
 RULES = [
     ("Apache-2.0", (2, 3, 4)),
@@ -59,31 +79,35 @@ RULES = [
     ("CC-BY-4.0", (17,)),
     ("MPL-2.0", (22,)),
     ("Unlicense", (23,)),
-    ("ISC", (26,)),
+    ("ISC", (35,)),
+    ("ISC", (36,)),
+    ("0BSD", (26,)),
+    ("LGPL-2.1-or-later", (30, 27, 29)),
+    ("LGPL-3.0-or-later", (30, 27, 13)),
+    ("LGPL-3.0-or-later", (11, 27, 13)),
+    ("AGPL-3.0-or-later", (11, 28, 13)),
+    ("GPL-2.0-only", (11, 31)),
+    ("GPL-3.0-only", (11, 32)),
+    ("EPL-2.0", (33,)),
+    ("EPL-2.0", (34,)),
+    *((name, (101 + i,)) for i, name in enumerate(TAGGED)),
     ("LicenseRef-all-rights-reserved", (24,)),
 ]
 
-GPL = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
-GRANT = "distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
-
 # Sentences of published notices that go on after a known one or hold several, and the identifiers they stand for.
 PUBLISHED = {
     SENTENCES[7] + " the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
     "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
     "subject to the following conditions": (7,),
     SENTENCES[9] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": (9,),
-    GPL + SENTENCES[13]: (12, 13),
-    GPL + SENTENCES[25]: (12, 25),
-    "permission to use copy modify and or " + GRANT: (26,),
-    "permission to use copy modify and " + GRANT: (26,),
-}
+} | {f"{SENTENCES[terms]} {SENTENCES[version]}": (terms, version) for terms in (12, 27, 28) for version in (13, 25, 29)}
 
 # Every known sentence holds one of these.
-MARKS = "licen|permission|warranty|copyright|rights reserved|public domain|redistribut|free software"
+MARKS = ("licen", "permission", "warranty", "copyright", "reserved", "domain", "redistribut", "software")
 BREAK = r"[.!?;:]+(\s+|$)|\n"  # how the SQL cuts, which knows no wrapped lines
 END = r"(?<![.!?;:])(?:[!?;:]|(?<!\bv)\.|\.(?![^a-z0-9]+[0-9]))[.!?;:]*+(?:\s+|$)"  # ends a sentence; 'v. 2.0' does not
 STOP = "\x01"
-PERMISSIVE = ("Apache-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause", "CC-BY-4.0", "Unlicense", "ISC")
+PERMISSIVE = ("Apache-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause", "CC-BY-4.0", "Unlicense", "ISC", "0BSD", "CC0-1.0")
 
 
 def license_scan(
@@ -97,7 +121,7 @@ def license_scan(
 
     Sentences end after . ! ? ; : before white space. A known sentence counts where it fills whole lines, one or several wrapped
     ones, between sentence ends, line ends and blank lines; it becomes its identifiers, the longest first, and what lies between
-    drops out. Comment marks at the ends of lines do not matter. Rules are tried in order on what is left of the identifier sequence: a rule whose
+    drops out. A tag that names an identifier is one sentence with it. Comment marks at the ends of lines do not matter. Rules are tried in order on what is left of the identifier sequence: a rule whose
     identifiers stand there side by side adds its licence and takes all such places. `licenses` has distinct names in rule
     order; `permissive` is true if there are some and all are permissive. All of it is one projection of the scan.
 
@@ -109,11 +133,15 @@ def license_scan(
     table = F.create_map(*[x for s, ids in spelled.items() for x in (F.lit(s), F.array(*map(F.lit, ids)))])
     longest = sorted(spelled, key=len, reverse=True)
     pattern = "|".join(r"[ \n]".join(map(re.escape, s.split(" "))) for s in longest)
-    plain = F.regexp_replace(F.translate(F.lower("text"), STOP, " "), END, STOP)
+    low = F.replace(F.lower("text"), F.lit(TAG), F.lit(TAG[:-1] + " "))
+    plain = F.regexp_replace(F.translate(low, STOP, " "), END, STOP)
     plain = F.regexp_replace(F.concat(F.lit(STOP), plain, F.lit(STOP)), rf"[^a-z0-9\n{STOP}]+", " ")
     plain = F.regexp_replace(plain, rf" ?([\n{STOP}]) ?", "$1")
     found = F.regexp_extract_all(plain, F.lit(rf"(?<=[\n{STOP}])(?:{pattern})(?=[\n{STOP}])"), F.lit(0))
     ids = F.flatten(F.transform(found, lambda s: table[F.translate(s, "\n", " ")]))
+    if sentences is None:  # most texts hold no word that a known sentence must have
+        may = reduce(or_, [F.contains(F.lower("text"), F.lit(m)) for m in MARKS])
+        ids = F.when(may, ids).otherwise(F.array().cast("array<int>"))
     out = id_and_text(docs, id_col, text_col).select("doc_id", ids.alias("sentence_ids"))
     rest = F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))))
     out = out.withColumns({"rest": rest, "hits": F.array().cast("array<string>")})

@@ -133,7 +133,7 @@ def _op5_sql() -> str:
         last = f"s{i}"
     allowed = ", ".join(f"'{x}'" for x in licenses.PERMISSIVE)
     return f"""
-WITH parts AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '{licenses.BREAK}') AS p FROM documents),
+WITH parts AS (SELECT doc_id, regexp_split_to_array(replace(lower(coalesce(text, '')), '{licenses.TAG}', '{licenses.TAG[:-1]} '), '{licenses.BREAK}') AS p FROM documents),
 ids AS (SELECT doc_id, list_filter(list_transform(p, lambda s: ({table})[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda i: i IS NOT NULL) AS ids FROM parts),
 s0 AS (SELECT doc_id, len(ids)::BIGINT AS n_known, []::VARCHAR[] AS hits,
        coalesce(array_to_string(list_transform(ids, lambda i: '<' || i::VARCHAR || '>'), ''), '') AS rest FROM ids),

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, id_and_text, shuffle_width
+from tesserae.llm.common import cut, id_and_text, shuffle_width, stored
 from tesserae.llm.shingles import BASE, BYTE, _powers, mix
 
 LENGTH = 200
@@ -18,7 +18,8 @@ GRAM = 40  # bytes of an anchor
 CHUNK = 1_000_000  # bytes in which anchors are sought together; below 2**20
 SHARD_BYTES = 1 << 20  # bytes of a suffix array
 STRIDE = 256  # suffixes after which a common prefix is compared anew
-SPLIT_ROWS = 2048  # different surroundings of one anchor that a shard takes
+SPLIT_ROWS = 512  # different surroundings of one anchor that a shard takes
+SAMPLE, SAMPLED_OFTEN = 0.01, 50  # anchors that 50 places in a hundredth of the texts have do not meet in one window
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
@@ -75,6 +76,7 @@ def find_anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length:
     return who, at, h[at], around, lo, hi, *sides
 
 
+ANCHOR_ROW = "ah bigint, sh bigint, t1 bigint, t2 bigint, lo bigint, hi bigint, mid bigint, weight bigint, left int, right int, done boolean"
 ANCHOR = ["ah", "sh", "t1", "t2", "lo", "hi", "mid", "weight", "left", "right", "done"]
 
 
@@ -444,6 +446,58 @@ def _slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: cols[c] for c in [*keep, "piece"]})
 
 
+WANT = ["ah", "part", "lo", "hi", "mid", "several", "spread"]
+
+
+def _settle_in_windows(anchors: DataFrame, split_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Spans (t1, t2, start, stop) that repeat as a whole, and places (t1, t2, w) whose surroundings must be looked at."""
+    same, near = Window.partitionBy("ah"), Window.partitionBy("ah", "sh")
+
+    def alike(side: str) -> Column:
+        return F.when(F.col(side).isNotNull(), F.sum("weight").over(Window.partitionBy("ah", side)))
+
+    seen = (
+        anchors.withColumns({"all": F.sum("weight").over(same)})
+        .filter("all > 1 or done")
+        .withColumns({"equal": F.sum("weight").over(near), "on_left": alike("left"), "on_right": alike("right")})
+        .withColumn("open", _reached())
+        .filter("equal > 1 or open or done")
+        .withColumn("nth", F.dense_rank().over(same.orderBy(F.desc("open"), "sh")))
+        .withColumns({"kinds": F.max(F.when(F.col("open"), F.col("nth"))).over(same), "first": F.row_number().over(near.orderBy("t1", "t2", "lo")) == 1})
+    )
+    seen = cut(seen.select("ah", "t1", "t2", "lo", "hi", "mid", "equal", "open", "nth", "kinds", "first", "done"))
+    whole = seen.filter("equal > 1 or done").select("t1", "t2", F.col("lo").alias("start"), F.col("hi").alias("stop"))
+    spread = F.col("kinds") > split_rows
+    part = F.when(spread, F.floor(F.col("nth") / split_rows)).otherwise(0)
+    several = F.col("equal") > 1
+    asked = seen.filter("first and open").withColumns({"part": part, "several": several, "spread": spread})
+    return whole, asked.select("t1", "t2", F.struct(*WANT).alias("w"))
+
+
+def _reached() -> Column:
+    """Whether different surroundings of the anchor share a nearer side."""
+    return F.coalesce(F.col("on_left") > F.col("equal"), F.lit(False)) | F.coalesce(F.col("on_right") > F.col("equal"), F.lit(False))
+
+
+def _settle_by_sums(anchors: DataFrame, split_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The same for frequent anchors, by aggregations that combine before they shuffle and joins that Spark can split."""
+    rows = cut(anchors)
+    place = F.struct("t1", "t2", "lo", "hi", "mid")
+    kinds = rows.groupBy("ah", "sh").agg(F.sum("weight").alias("equal"), F.min(place).alias("at"), F.min("left").alias("left"), F.min("right").alias("right"))
+    kinds = cut(kinds)
+    for side in ("left", "right"):
+        total = kinds.filter(F.col(side).isNotNull()).groupBy("ah", side).agg(F.sum("equal").alias(f"on_{side}"))
+        kinds = kinds.join(total, ["ah", side], "left")
+    kinds = cut(kinds.withColumn("open", _reached()).filter("equal > 1 or open"))
+    number = stored(kinds.filter("open").groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")))  # one row a frequent anchor
+    whole = rows.join(kinds.filter("equal > 1").select("ah", "sh"), ["ah", "sh"]).select("t1", "t2", F.col("lo").alias("start"), F.col("hi").alias("stop"))
+    parts = F.ceil(F.col("kinds") / split_rows)
+    asked = kinds.filter("open").join(number, "ah").select(
+        "at.*", "ah", F.pmod(F.xxhash64("sh"), parts).alias("part"), (F.col("equal") > 1).alias("several"), (parts > 1).alias("spread")
+    )
+    return whole, asked.select("t1", "t2", F.struct(*WANT).alias("w"))
+
+
 def suffix_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
@@ -456,6 +510,7 @@ def suffix_dedup(
        that pick them cover are rows of a few numbers; what repeats within a chunk of text is settled there and goes on once.
     2. An anchor that is alone is done. Surroundings that occur twice repeat as a whole. Surroundings that share neither of
        their nearer sides with different ones can hold no string that those have.
+       Anchors that a sample of the texts finds to be frequent are settled by sums and joins, the others in windows.
     3. The other different surroundings of an anchor, one of each, go to a shard: a suffix array by Larsson and Sadakane's refinement
        and common prefixes by Kasai's relation tell which strings repeat. Anchors with very many surroundings are dealt over
        several shards, whose strings are merged afterwards, sorted by digest and found by binary search.
@@ -466,30 +521,15 @@ def suffix_dedup(
     """
     parts = shuffle_width(docs)
     texts = id_and_text(docs, id_col, text_col).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
-    anchors = texts.select("t1", "t2", "text").mapInArrow(
-        _anchor_rows(length), "ah bigint, sh bigint, t1 bigint, t2 bigint, lo bigint, hi bigint, mid bigint, weight bigint, left int, right int, done boolean"
-    )
-    same, near = Window.partitionBy("ah"), Window.partitionBy("ah", "sh")
-
-    def alike(side: str) -> Column:
-        return F.when(F.col(side).isNotNull(), F.sum("weight").over(Window.partitionBy("ah", side)))
-
-    seen = (
-        anchors.withColumns({"all": F.sum("weight").over(same)})
-        .filter("all > 1 or done")
-        .withColumns({"equal": F.sum("weight").over(near), "on_left": alike("left"), "on_right": alike("right")})
-        .withColumn("open", F.coalesce(F.col("on_left") > F.col("equal"), F.lit(False)) | F.coalesce(F.col("on_right") > F.col("equal"), F.lit(False)))
-        .filter("equal > 1 or open or done")
-        .withColumn("nth", F.dense_rank().over(same.orderBy(F.desc("open"), "sh")))
-        .withColumns({"kinds": F.max(F.when(F.col("open"), F.col("nth"))).over(same), "first": F.row_number().over(near.orderBy("t1", "t2", "lo")) == 1})
-    )
-    seen = cut(seen.select("ah", "t1", "t2", "lo", "hi", "mid", "equal", "open", "nth", "kinds", "first", "done"))
-    whole = seen.filter("equal > 1 or done").select("t1", "t2", F.col("lo").alias("start"), F.col("hi").alias("stop"))
-    spread = F.col("kinds") > split_rows
-    part = F.when(spread, F.floor(F.col("nth") / split_rows)).otherwise(0).alias("part")
-    asked = seen.filter("first and open").select(
-        "t1", "t2", F.struct("ah", part, "lo", "hi", "mid", (F.col("equal") > 1).alias("several"), spread.alias("spread")).alias("w")
-    )
+    anchors = texts.select("t1", "t2", "text").mapInArrow(_anchor_rows(length), ANCHOR_ROW)
+    some = texts.select("t1", "t2", "text").sample(SAMPLE, 7).mapInArrow(_anchor_rows(length), ANCHOR_ROW)
+    hot = stored(some.filter("not done").groupBy("ah").agg(F.sum("weight").alias("n")).filter(F.col("n") >= SAMPLED_OFTEN).select("ah"))
+    if hot.isEmpty():
+        whole, asked = _settle_in_windows(anchors, split_rows)
+    else:
+        cold = anchors.filter("done").union(anchors.filter("not done").join(hot, "ah", "left_anti").select(*ANCHOR))
+        sides = [_settle_in_windows(cold, split_rows), _settle_by_sums(anchors.filter("not done").join(hot, "ah", "left_semi"), split_rows)]
+        whole, asked = (x.union(y) for x, y in zip(*sides, strict=True))
     want = asked.groupBy("t1", "t2").agg(F.collect_list("w").alias("want"))
     one = texts.withColumn("nth", F.row_number().over(Window.partitionBy("t1", "t2").orderBy(F.octet_length("text")))).filter("nth = 1")
     pieces = one.join(want, ["t1", "t2"]).select("t1", "t2", "text", "want").mapInArrow(

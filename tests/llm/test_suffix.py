@@ -66,6 +66,16 @@ def test_split_shards_equal_brute_force(spark, monkeypatch):
     check(spark, corpus(random.Random(6)), split_rows=3)
 
 
+def test_frequent_anchors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(s, "SAMPLE", 1.0)
+    monkeypatch.setattr(s, "SAMPLED_OFTEN", 5)
+    rng = random.Random(8)
+    line, wide = words(rng, 14), words(rng, 60)
+    texts = corpus(rng) + [words(rng, 20) + line + words(rng, 20) for _ in range(30)] + [words(rng, 9) + wide[: rng.randrange(210, 330)] + words(rng, 9) for _ in range(20)]
+    check(spark, texts)
+    check(spark, texts, split_rows=3)
+
+
 def test_long_text_and_odd_input(spark, monkeypatch):
     rng = random.Random(7)
     monkeypatch.setattr(s, "CHUNK", 3000)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import pearson
+from tesserae.functions.scalars import draw_index, draw_key, pearson
+from tesserae.operators.models import gram
 from tesserae.operators.similarity import average_rank
 
 
@@ -86,3 +89,67 @@ def partial_spearman(rows: DataFrame, keys: list[str], min_rows: int = 10) -> Da
     den = F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")))
     value = F.when((F.col("n") >= min_rows) & (den > 1e-9), (F.col("xy") - F.col("xz") * F.col("yz")) / den)
     return r.select(*keys, value.alias("partial"), "n")
+
+
+def partial_rank_correlation(rows: DataFrame, keys: list[str], x: str, y: str, covariates: list[str], min_rows: int = 10) -> DataFrame:
+    """keys..., partial, n: Spearman of x and y without what both owe to any number of covariates; null for few rows or a constant.
+
+    Ranks are taken first; the rank correlations of a group are a few numbers, and the partial one is read from the inverse of their matrix.
+    """
+    cols = [x, y, *covariates]
+    full = rows.dropna(subset=cols)
+    ranked = full.withColumns({f"r{i}": average_rank(keys, c) for i, c in enumerate(cols)})
+    entries = [pearson(F.col(f"r{i}"), F.col(f"r{j}")).alias(f"c{i}_{j}") for i in range(len(cols)) for j in range(i)]
+    per = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *entries)
+    size = len(cols)
+
+    @F.pandas_udf("double")
+    def partial(flat: pd.Series) -> pd.Series:
+        out = []
+        for values in flat:
+            m = np.eye(size)
+            m[np.tril_indices(size, -1)] = values
+            m = m + np.tril(m, -1).T
+            ok = np.isfinite(m).all() and np.linalg.matrix_rank(m) == size
+            p = np.linalg.inv(m) if ok else None
+            out.append(-p[0, 1] / np.sqrt(p[0, 0] * p[1, 1]) if ok else None)
+        return pd.Series(out, dtype="float64")
+
+    flat = F.array(*[F.col(f"c{i}_{j}") for i in range(size) for j in range(i)])
+    usable = (F.col("n") >= min_rows) & ~F.exists(flat, lambda v: v.isNull())
+    value = partial(F.when(usable, flat).otherwise(F.array_repeat(F.lit(float("nan")), size * (size - 1) // 2)))
+    return per.select(*keys, value.alias("partial"), "n")
+
+
+def fixed_effect_contrasts(rows: DataFrame, group: str, source: str, reference: str, y: str, covariates: list[str]) -> DataFrame:
+    """source, contrast: least squares of y on source and covariates with a constant for each group, as differences from the reference.
+
+    Sources are a short axis. One aggregation gives the cross products; a system of a few columns is solved.
+    """
+    full = rows.dropna(subset=[group, source, y, *covariates])
+    names = [r[0] for r in full.select(source).distinct().orderBy(source).collect() if r[0] != reference]
+    wide = full.select(group, F.col(y).alias("y"), *[(F.col(source) == n).cast("double").alias(f"s{i}") for i, n in enumerate(names)], *[F.col(c).alias(f"k{i}") for i, c in enumerate(covariates)])
+    x = [f"s{i}" for i in range(len(names))] + [f"k{i}" for i in range(len(covariates))]
+    own = Window.partitionBy(group)
+    centred = wide.select(*[(F.col(c) - F.avg(c).over(own)).alias(c) for c in [*x, "y"]])
+    xx, xy, _ = gram(centred, x, "y")
+    coef = np.linalg.lstsq(xx, xy, rcond=None)[0]
+    return rows.sparkSession.createDataFrame([(n, float(b)) for n, b in zip(names, coef, strict=False)], "source string, contrast double")
+
+
+def paired_rank_difference(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """One row estimate, low, high: Spearman of score and q less the absolute one of other and q, with its interval over resampled rows.
+
+    rows: pos from 0 to n - 1, score, other, q. A draw takes n positions by hash; draws are groups of a table.
+    """
+    full = rows.dropna(subset=["score", "other", "q"])
+    n = full.agg(F.count(F.lit(1)).alias("n"))
+    slots = n.crossJoin(rows.sparkSession.range(draws).withColumnRenamed("id", "draw")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = draw_index(draw_key(seed, F.col("draw").cast("string"), F.col("slot").cast("string")), F.col("n"))
+    taken = slots.select("draw", at.alias("pos")).join(full, "pos").select("draw", "score", "other", "q")
+    both = taken.union(full.select(F.lit(-1).cast("bigint").alias("draw"), "score", "other", "q"))
+    ranked = both.withColumns({f"r_{c}": average_rank(["draw"], c) for c in ("score", "other", "q")})
+    per = ranked.groupBy("draw").agg((pearson(F.col("r_score"), F.col("r_q")) - F.abs(pearson(F.col("r_other"), F.col("r_q")))).alias("d"))
+    return per.agg(F.max(F.when(F.col("draw") == -1, F.col("d"))).alias("estimate"), F.expr("percentile(case when draw >= 0 then d end, array(0.025, 0.975))").alias("q")).select(
+        "estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")
+    )

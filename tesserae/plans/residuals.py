@@ -38,16 +38,17 @@ def source_statistics(spark, sf_dir):
     obs, keys = fine(spark, sf_dir), ["context", "perturbation", "gene"]
     ret = F.col("flag") == "R"
     both = obs.groupBy(*keys).agg(
-        F.avg("value").alias("delta"), F.count(F.lit(1)).alias("n_cells"), F.avg(F.when(ret, F.col("value"))).alias("h1"), F.avg(F.when(~ret, F.col("value"))).alias("h2")
-    ).withColumns({"h1": F.coalesce("h1", "delta") - 25, "h2": F.coalesce("h2", "delta") - 25, "y": F.col("delta") - 25})
+        F.avg("value").alias("delta"), F.count(F.lit(1)).alias("n_cells"), F.sum(F.col("price") / 1000).alias("price"), F.avg(F.when(ret, F.col("value"))).alias("h1"), F.avg(F.when(~ret, F.col("value"))).alias("h2")
+    ).withColumns({"h1": F.coalesce("h1", "delta") - 25, "h2": F.coalesce("h2", "delta") - 25, "y": F.col("delta") - 25}).cache()  # one value a context, perturbation and gene; all that follows reads it
     y = both.select(*keys, "y")
     stats = both.groupBy("context", "perturbation").agg(
         pearson(F.col("h1"), F.col("h2")).alias("reliability"), F.sum("n_cells").cast("double").alias("cells"), F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("magnitude")
     )
-    basal_own = obs.groupBy("context", "perturbation").agg(F.avg(F.col("price") / 1000).alias("gene_basal"))
+    mean_price = F.sum("price") / F.sum("n_cells")
+    basal_own = both.groupBy("context", "perturbation").agg(mean_price.alias("gene_basal"))
     a, b = (y.select(F.col("context").alias(n), "perturbation", "gene", F.col("y").alias(f"y_{n}")) for n in "ab")
     pairs = a.join(b, ["perturbation", "gene"]).filter("a < b").groupBy("a", "b", "perturbation").agg(pearson(F.col("y_a"), F.col("y_b")).alias("corr"))
-    basal = obs.groupBy("context", pathway(F.col("gene")).alias("pathway")).agg(F.avg(F.col("price") / 1000).alias("basal"))
+    basal = both.groupBy("context", pathway(F.col("gene")).alias("pathway")).agg(mean_price.alias("basal"))
     t, s = (basal.select(F.col("context").alias(n), "pathway", F.col("basal").alias(f"basal_{n}")) for n in ("target", "source"))
     sims = t.join(s, "pathway").filter("target != source").groupBy("target", "source").agg(pearson(F.col("basal_target"), F.col("basal_source")).alias("sim"))
     return {"y": y, "halves": both.select(*keys, "h1", "h2"), "stats": stats.join(basal_own, ["context", "perturbation"]), "pairs": pairs, "similarity": sims, "basal": basal}

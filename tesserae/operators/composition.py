@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.generate import seed_of
+from tesserae.operators.generate import MAX_BLOCK, seed_of
 from tesserae.operators.joins import neighbour_ceiling
 
 # The scale of bulk profiles, the bound of effects, and the amplitude of effects in either space.
@@ -196,6 +196,8 @@ def dual_moment_counts(template: DataFrame, seed: int) -> DataFrame:
     """
 
     def emit(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) > MAX_BLOCK:
+            raise ValueError(f"a block of {len(g)} cells; at most {MAX_BLOCK} are made together")
         g = g.sort_values("cell")
         depth, share, bulk = g["depth"].to_numpy(dtype=np.int64), *(np.asarray(g[c].iloc[0], dtype=float) for c in ("share", "bulk"))
         x = fit_two_moments(np.array(g["base"].tolist(), dtype=float), share / share.sum(), bulk / bulk.sum(), depth)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MAX_BLOCK = 8192  # cells of a block whose counts are held at once
 KINDS = ("multinomial", "gamma_poisson", "binomial")
 
 
@@ -79,6 +80,8 @@ def rake(template: DataFrame, seed: int, iterations: int = 50, tolerance: float
     """
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) > MAX_BLOCK:
+            raise ValueError(f"a block of {len(g)} cells; at most {MAX_BLOCK} are made together")
         g = g.sort_values("cell")
         x = np.array(g["base"].tolist(), dtype=float) + 1e-6
         depth, share = g["depth"].to_numpy(dtype=float), np.asarray(g["share"].iloc[0], dtype=float)

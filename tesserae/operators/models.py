@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MAX_PANEL = 10_000  # rows of a panel whose kernel is held at once
+
 
 def gram(rows: DataFrame, features: list[str], target: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Centred cross products of a few features and a target, from one aggregation: matrix, vector, rows."""
@@ -104,10 +106,12 @@ def apply_pca(rows: DataFrame, vec: str, mean: np.ndarray, parts: np.ndarray) ->
 def kernel_ridge(rows: DataFrame, keys: list[str], alpha: float, schema: str) -> DataFrame:
     """Per group of anchors and queries (id, is_anchor, vec, y): kernel ridge on cosine kernels, predictions for all rows.
 
-    A group is a panel of one fold, a few hundred rows by design; its solve is a k x k system.
+    A group is a panel of one fold, a few hundred rows by design; its solve is a k x k system. More than MAX_PANEL rows are an error.
     """
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) > MAX_PANEL:
+            raise ValueError(f"a panel of {len(g)} rows; at most {MAX_PANEL} are solved together")
         x = np.array(g["vec"].tolist(), dtype=float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         a = g["is_anchor"].to_numpy(dtype=bool)

@@ -85,3 +85,16 @@ def test_capped_shares_and_empty_compositions(spark):
         P.shares(c.withColumn("raw", F.lit(0.0)), "raw").collect()
     with pytest.raises(ValueError, match="unknown space"):
         P.expected_composition(c, "other")
+
+
+def test_blocks_and_panels_beyond_their_bound_are_refused(spark, monkeypatch):
+    from tesserae.operators import generate, models
+
+    monkeypatch.setattr(generate, "MAX_BLOCK", 2)
+    monkeypatch.setattr(models, "MAX_PANEL", 2)
+    rows = spark.createDataFrame([("t", 0, i, 10, ["a"], [1.0], [1.0]) for i in range(3)], "target string, block int, cell long, depth long, genes array<string>, base array<double>, share array<double>")
+    with pytest.raises(Exception, match="a block of 3 cells"):
+        generate.rake(rows, 1).collect()
+    panel = spark.createDataFrame([("c", str(i), True, [1.0], 1.0) for i in range(3)], "context string, id string, is_anchor boolean, vec array<double>, y double")
+    with pytest.raises(Exception, match="a panel of 3 rows"):
+        models.kernel_ridge(panel, ["context"], 1.0, "context string, id string, predicted double").collect()

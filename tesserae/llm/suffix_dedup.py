@@ -18,8 +18,8 @@ GRAM = 40  # bytes of an anchor
 CHUNK = 1_000_000  # bytes in which anchors are sought together; below 2**20
 SHARD_BYTES = 1 << 20  # bytes of a suffix array
 STRIDE = 256  # suffixes after which a common prefix is compared anew
-SPLIT_ROWS = 512  # different surroundings of one anchor that a shard takes
-SAMPLE, SAMPLED_OFTEN = 0.01, 50  # anchors that 50 places in a hundredth of the texts have do not meet in one window
+SPLIT_ROWS = 2048  # different surroundings of one anchor that a shard takes
+SAMPLE, SAMPLED_OFTEN = 0.01, 500  # anchors that 500 places in a hundredth of the texts have, 50,000 in all, do not meet in one window
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
@@ -527,7 +527,7 @@ def suffix_dedup(
     if hot.isEmpty():
         whole, asked = _settle_in_windows(anchors, split_rows)
     else:
-        cold = anchors.filter("done").union(anchors.filter("not done").join(hot, "ah", "left_anti").select(*ANCHOR))
+        cold = anchors.join(hot.withColumn("hot", F.lit(True)), "ah", "left").filter("done or hot is null").select(*ANCHOR)
         sides = [_settle_in_windows(cold, split_rows), _settle_by_sums(anchors.filter("not done").join(hot, "ah", "left_semi"), split_rows)]
         whole, asked = (x.union(y) for x, y in zip(*sides, strict=True))
     want = asked.groupBy("t1", "t2").agg(F.collect_list("w").alias("want"))

@@ -89,7 +89,7 @@ class LanguageModels:
         self.floor = np.zeros(len(langs))
         self.grams: list[Sparse] = []
         self.contexts: list[Sparse] = []
-        self.centre = self.spread = self.noise = np.zeros(len(langs))
+        self.centre, self.spread, self.noise = np.full(len(langs), np.inf), np.zeros(len(langs)), np.zeros(len(langs))
         self.sharpness = 1.0
 
     def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -344,6 +344,8 @@ def _calibrate(models: LanguageModels, found: list[tuple]) -> None:
 
     found: label, whether the row is new to the model, characters, bits a character, losses.
     """
+    if not found:
+        return
     rates: dict[tuple[str, bool], list[tuple[int, float]]] = {}
     for lang, fresh, n, rate, _ in found:
         rates.setdefault((lang, fresh), []).append((n, rate))

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import fresh_dir
+from tesserae.llm.common import fresh_dir, stored
 from tesserae.llm.decontaminate import decontaminate
 from tesserae.llm.exact_dedup import exact_dedup
 from tesserae.llm.jaccard_join import jaccard_join
@@ -32,25 +32,34 @@ def unpacked(found: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with `row`, a number of its own for each row, and `rank`, which orders rows by id (null last) and content.
+    """docs as c0, c1, ... with `text`, `row`, a number of its own for each row, and `rank`, which orders rows by id (null last)
+    and content.
 
     Written out, so that every read of it, also one after a lost task, finds the same numbers. Rows that differ in nothing may
     swap numbers from run to run.
     """
-    out = fresh_dir(spark, "rows")
     digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns])
-    docs.withColumns({"row": F.monotonically_increasing_id(), "digest": digest}).write.option("compression", "zstd").parquet(out)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "row")
-    return spark.read.parquet(out).withColumn("rank", rank).drop("digest")
+    values = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = stored(docs.select(*values, F.monotonically_increasing_id().alias("row"), digest.alias("digest")))
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    rank = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "digest", "row")
+    return rows.withColumns({"rank": rank, "text": text}).drop("digest")
 
 
-def keep(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The numbered rows that are chosen; columns as they were."""
-    return rows.join(chosen.select("row"), "row", "left_semi").drop("row", "rank")
+def without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The numbered rows that are not dropped; columns as they were.
+
+    The numbers of dropped rows are written first, so that Spark knows their size and moves no texts where they are few.
+    """
+    kept = rows.join(stored(dropped.select("row")), "row", "left_anti")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language model rejects; models learn from the labelled documents of the table itself."""
+    """Documents that no language model rejects; models learn from the labelled documents of the table itself.
+
+    Where nothing is labelled there is no model, and only texts without a letter go.
+    """
     found = identify(carried(docs), fit_language_models(docs), id_col="row")
     return unpacked(found.filter(~F.col("rejected")), docs.columns)
 
@@ -58,15 +67,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one that the operator keeps."""
     rows = numbered(spark, docs)
-    return keep(rows, exact_dedup(rows, id_col="rank").filter("kept").select("doc_id.row"))
+    return without(rows, exact_dedup(rows, id_col="rank").filter("not kept").select("doc_id.row"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five words, 0.8): the one with the smallest id, null last."""
     rows = numbered(spark, docs)
     found = jaccard_join(rows, id_col="row", width=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
-    first = found.join(rows.select("row", "rank"), "row").groupBy("component_id").agg(F.min("rank").alias("rank"))
-    return keep(rows, first.select("rank.row"))
+    groups = stored(found.join(rows.select("row", "rank"), "row"))
+    first = groups.groupBy("component_id").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return without(rows, groups.join(first, "component_id").filter("rank != first"), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, id_and_text, shuffle_width, stored
+from tesserae.llm.common import cut, discard, id_and_text, shuffle_width, stored
 from tesserae.llm.components import components
 from tesserae.llm.shingles import batches_of_sets, digests, mix
 
@@ -278,9 +278,10 @@ def jaccard_join(
     """
     parts = shuffle_width(docs)
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    base = cut(rows.mapInArrow(_router(width, percent), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"))
+    keyed = stored(rows.mapInArrow(_router(width, percent), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"))
+    base = stored(keyed.drop("keys"))
     classes = base.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    routed = base.select(F.explode("keys").alias("key"), F.col("d1").alias("node"))
+    routed = keyed.select(F.explode("keys").alias("key"), F.col("d1").alias("node"))
     edges = _to_centers(routed).distinct()
     members = edges.union(edges.select(F.col("center").alias("node"), "center")).distinct()
     members = cut(
@@ -288,6 +289,7 @@ def jaccard_join(
             "center", (F.col("node") == F.col("center")).alias("is_center"), "rep", "d1", "d2", "n_shingles"
         )
     )
+    discard(keyed)  # the keys are most of what is written, and no later step reads them
     need = F.ceil(F.greatest(F.count(F.lit(1)) / tile_docs, F.sum("n_shingles") / tile_shingles)).cast("int")
     # Only centres that fill several tiles are joined back, as rows of their own, so that Spark can split the join at one of them.
     several = cut(members.groupBy("center").agg(need.alias("tiles")).filter("tiles > 1"))
@@ -328,7 +330,9 @@ def _join_tiles(rows: DataFrame, placed: DataFrame, parts: int, width: int, perc
 
     Places are written first: with their size known, Spark need not move the texts of all documents to few of them.
     """
-    texts = rows.join(stored(placed), F.col("doc_id") == F.col("rep")).select("center", "lo", "hi", "rep", "d1", "d2", "label", "text")
+    placed = stored(placed)
+    needed = stored(placed.select(F.col("rep").alias("doc_id")).distinct())
+    texts = rows.join(needed, "doc_id", "left_semi").join(placed, F.col("doc_id") == F.col("rep")).select("center", "lo", "hi", "rep", "d1", "d2", "label", "text")
     dealt = texts.repartition(parts, "center", "lo", "hi").sortWithinPartitions("center", "lo", "hi", "rep")
     return dealt.mapInArrow(_tile_joiner(width, percent), "u bigint, v bigint")
 

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_dedup import brute_components, brute_exact
 from test_scans import brute
 
@@ -118,3 +119,20 @@ def test_shared_and_null_ids_are_decided_by_row_in_the_language_stage(spark, doc
     extra = spark.createDataFrame([(i, t, None, "s", 0) for i, t in junk], docs.schema)
     out = stage("language ID")(spark, docs.union(extra), SF)
     assert sorted(texts(out.filter("doc_id = 7001 or doc_id is null")), key=str) == sorted([(7001, good), (None, good)], key=str)
+
+
+def test_an_unlabelled_corpus_loses_only_texts_without_a_letter(spark, odd):
+    rows = [(1, lorem("a")), (1, "12 34"), (None, lorem("b")), (2, None), (3, ""), (3, "x")]
+    table = odd(rows).withColumn("lang", F.lit(None).cast("string"))
+    assert got("language ID", spark, table) == sorted([(1, lorem("a")), (None, lorem("b")), (3, "x")], key=str)
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, docs):
+    names = ["row", "rank", "digest", "keep_id", "component_id", "t1", "spans", "n_words", "text_sha256", "rejected"]
+    more = docs.limit(40).withColumns({c: F.lit(7) for c in names})
+    for name, run in corpus_pipeline.STAGES:
+        for table in (docs.limit(0), more):
+            out = run(spark, table, SF)
+            assert out.count() == 0 if table is not more else out.count() > 0
+            if name != "packing":
+                assert out.columns == table.columns

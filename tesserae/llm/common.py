@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_BYTES = "8MB"
@@ -69,3 +69,27 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two input columns, under names of our own; null text becomes empty."""
     bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def ordered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows as a stored table with `at`, a number that ascends in the order of the keys over the whole table.
+
+    Sampled ranges of the keys are sorted each on its own, so a group that fills a third of the table is spread like the others.
+    """
+    ranges = rows.repartitionByRange(shuffle_width(rows), *keys).sortWithinPartitions(*keys)
+    return stored(ranges.withColumn("at", F.monotonically_increasing_id()))
+
+
+def positions(table: DataFrame, group: list[str]) -> DataFrame:
+    """Of a table that `ordered` returned, by keys that begin with `group`: adds pos, from 0 within each group.
+
+    The few numbers that this takes are one row for each group and range.
+    """
+    rows = table.withColumn("range", F.shiftrightunsigned("at", 33))
+    tally = rows.groupBy("range", *group).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = stored(tally.select("range", *group, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base")))
+    same = F.lit(True)
+    for c in ["range", *group]:
+        same = same & rows[c].eqNullSafe(bases[c])
+    return rows.join(bases, same).select(*[rows[c] for c in table.columns], (rows["at"] + bases["base"]).alias("pos"))

@@ -15,6 +15,7 @@ from tesserae.llm.jaccard_join import jaccard_join
 from tesserae.llm.language import fit_language_models, held_out, identify
 from tesserae.llm.licenses import license_scan
 from tesserae.llm.line_dedup import line_dedup
+from tesserae.llm.merkle import fold, leaf_digest, merkle_manifest
 from tesserae.llm.packing import pack
 from tesserae.llm.suffix_dedup import suffix_dedup
 from tesserae.llm.token_counts import token_counts
@@ -70,6 +71,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(chosen, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    tampered = leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    out = merkle_manifest(docs, extra={"tampered": tampered}).withColumn("folded_root", fold(F.col("tampered"), F.col("proof")))
+    siblings = F.concat_ws("", F.transform("proof", lambda s: s["siblings"]))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -82,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack": op8_pack,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -163,5 +180,50 @@ FROM words w LEFT JOIN hit ON hit.id = w.id LEFT JOIN items ON items.id = w.id W
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    byte = "list_reduce(list_concat([xor(x, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)), lambda x, b: {byte}), 4294967295)"
+
+
+def _leaf_sql(*values: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode(({v})::VARCHAR))::VARCHAR || ':' || ({v})::VARCHAR, '-')" for v in values) + "))"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE docs AS (SELECT *, {_leaf_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+  {_leaf_sql("doc_id", "source", "lang", "n_chars", f"CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 5 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END")} AS tampered FROM documents),
+leaves AS (SELECT doc_id, source, leaf, tampered, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM docs),
+nodes AS (SELECT source, pos, leaf AS digest, 0 AS lvl FROM leaves
+  UNION ALL SELECT source, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), lvl + 1
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM nodes) WHERE n > 1 GROUP BY source, pos // 16, lvl),
+tops AS (SELECT source, max(lvl) AS height FROM nodes GROUP BY source),
+subs AS (SELECT n.source, n.digest, row_number() OVER (ORDER BY n.source NULLS FIRST) - 1 AS pos
+  FROM nodes n JOIN tops t ON n.source IS NOT DISTINCT FROM t.source AND n.lvl = t.height),
+upper_nodes AS (SELECT pos, digest, 0 AS lvl FROM subs
+  UNION ALL SELECT pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), lvl + 1
+  FROM (SELECT *, count(*) OVER () AS n FROM upper_nodes) WHERE n > 1 GROUP BY pos // 16, lvl),
+peak AS (SELECT max(lvl) AS height FROM upper_nodes),
+runs AS (SELECT source, lvl, pos // 16 AS run, list(digest ORDER BY pos) AS d FROM nodes GROUP BY source, lvl, pos // 16),
+upper_runs AS (SELECT lvl, pos // 16 AS run, list(digest ORDER BY pos) AS d FROM upper_nodes GROUP BY lvl, pos // 16),
+steps AS (SELECT l.source, l.pos, r.lvl AS k, (l.pos // (16 ** r.lvl)::BIGINT) % 16 AS i, r.d
+  FROM leaves l JOIN tops t ON l.source IS NOT DISTINCT FROM t.source
+  JOIN runs r ON r.source IS NOT DISTINCT FROM l.source AND r.lvl < t.height AND r.run = l.pos // (16 ** (r.lvl + 1))::BIGINT
+  UNION ALL SELECT l.source, l.pos, 1000 + r.lvl, (s.pos // (16 ** r.lvl)::BIGINT) % 16, r.d
+  FROM leaves l JOIN subs s ON s.source IS NOT DISTINCT FROM l.source, peak
+  JOIN upper_runs r ON r.lvl < peak.height AND r.run = s.pos // (16 ** (r.lvl + 1))::BIGINT),
+paths AS (SELECT source, pos, list({{'i': i, 'd': d}} ORDER BY k) AS path FROM steps GROUP BY source, pos),
+folded AS (SELECT l.doc_id, l.source, l.leaf, p.path, l.tampered AS digest, 1 AS up
+  FROM leaves l LEFT JOIN paths p ON p.source IS NOT DISTINCT FROM l.source AND p.pos = l.pos
+  UNION ALL SELECT doc_id, source, leaf, path, sha256(array_to_string(list_concat(list_slice((path[up]).d, 1, (path[up]).i), list_value(digest), list_slice((path[up]).d, (path[up]).i + 2, 16)), '')), up + 1
+  FROM folded WHERE up <= len(path))
+SELECT f.doc_id, f.leaf, s.digest AS subroot, u.digest AS root,
+  sha256(coalesce(array_to_string(list_transform(path, lambda x: array_to_string(list_concat(list_slice(x.d, 1, x.i), list_slice(x.d, x.i + 2, 16)), '')), ''), '')) AS proof_sha256,
+  f.digest AS folded_root, f.digest = u.digest AS verified
+FROM folded f JOIN subs s ON s.source IS NOT DISTINCT FROM f.source, upper_nodes u, peak
+WHERE u.lvl = peak.height AND f.up = coalesce(len(f.path), 0) + 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_license_scan": _op5_sql(), "op9_decontaminate": OP9_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_license_scan": _op5_sql(), "op9_decontaminate": OP9_SQL, "op13_merkle_manifest": OP13_SQL}

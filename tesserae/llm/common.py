@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_BYTES = "8MB"
@@ -71,12 +71,13 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def ordered(rows: DataFrame, keys: list[str]) -> DataFrame:
+def ordered(rows: DataFrame, keys: list[str | Column], within: list[str] | None = None) -> DataFrame:
     """The rows as a stored table with `at`, a number that ascends in the order of the keys over the whole table.
 
     Sampled ranges of the keys are sorted each on its own, so a group that fills a third of the table is spread like the others.
+    `within` gives the whole order where keys are short forms of it, since the driver samples keys.
     """
-    ranges = rows.repartitionByRange(shuffle_width(rows), *keys).sortWithinPartitions(*keys)
+    ranges = rows.repartitionByRange(shuffle_width(rows), *keys).sortWithinPartitions(*(within or keys))
     return stored(ranges.withColumn("at", F.monotonically_increasing_id()))
 
 

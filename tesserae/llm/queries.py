@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import licenses
+from tesserae.llm.conversations import audit_conversations
 from tesserae.llm.decontaminate import decontaminate
 from tesserae.llm.exact_dedup import exact_dedup
 from tesserae.llm.jaccard_join import jaccard_join
@@ -71,6 +72,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """One conversation row in twenty each dropped, emptied, stripped of its closing signs, repeated, or given to the user."""
+    full = rows.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")])
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = F.crc32(key.cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    role = F.when(kind == 4, "user").otherwise(F.col("role"))
+    return full.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    found = audit_conversations(damaged(rows)).withColumnRenamed("conv_id", "found")
+    whole = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack": op8_pack,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,
+        "op11_conversation_repair": op11_conversation_repair,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -225,5 +246,49 @@ WHERE u.lvl = peak.height AND f.up = coalesce(len(f.path), 0) + 1
 """
 
 
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+rows AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) t(copy)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, left(role, 1) AS r,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS r0,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS sign FROM n),
+g AS (SELECT *, CASE WHEN sign = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN sign NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (r0 IS NOT NULL AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({{'r': r, 'f': fault, 'role': role, 'text': text}} ORDER BY i) AS all_rows FROM g GROUP BY conv_id),
+best(conv_id, all_rows, i, state, cost, audit, body) AS (
+  SELECT conv_id, all_rows, 1, '', 0, '', '' FROM sums
+  UNION ALL
+  SELECT b.conv_id, b.all_rows, b.i + 1, w.state, min(b.cost + w.cost), arg_min(b.audit || w.edit, {{'c': b.cost + w.cost, 'a': b.audit || w.edit}}),
+    arg_min(b.body || w.body, {{'c': b.cost + w.cost, 'a': b.audit || w.edit}})
+  FROM best b, LATERAL (
+    WITH x AS (SELECT (b.all_rows[b.i]).r AS r, (b.all_rows[b.i]).f AS f, (b.all_rows[b.i]).text AS t, (b.all_rows[b.i]).role AS role, chr(10) AS nl),
+    ins AS (SELECT unnest([0, 1, 2]) AS k),
+    p AS (SELECT k, CASE WHEN k = 0 THEN b.state WHEN (k = 1) = (b.state <> 'u') THEN 'u' ELSE 'a' END AS s,
+      CASE WHEN k = 0 THEN '' WHEN b.state <> 'u' THEN 'user:' || chr(10) || CASE k WHEN 2 THEN 'assistant:' || chr(10) ELSE '' END
+        ELSE 'assistant:' || chr(10) || CASE k WHEN 2 THEN 'user:' || chr(10) ELSE '' END END AS added FROM ins)
+    SELECT s AS state, 3 * k + 4 AS cost, repeat('I', k) || 'D' AS edit, added AS body FROM p, x
+    UNION ALL SELECT CASE WHEN s = 'u' THEN 'a' ELSE 'u' END, 3 * k + 3 + CASE f WHEN 'truncated' THEN 3 ELSE 0 END, repeat('I', k) || 'R',
+      added || CASE WHEN s = 'u' THEN 'assistant' ELSE 'user' END || ':' || t || nl FROM p, x WHERE f IN ('', 'truncated')
+    UNION ALL SELECT r, 3 * k + CASE f WHEN 'truncated' THEN 3 ELSE 0 END, repeat('I', k) || 'K', added || role || ':' || t || nl
+      FROM p, x WHERE f IN ('', 'truncated') AND (s || r IN ('s', 'u', 'su', 'ua', 'au'))
+  ) w WHERE b.i <= len(b.all_rows) GROUP BY b.conv_id, b.all_rows, b.i, w.state),
+ends AS (SELECT conv_id, cost + CASE state WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END AS cost,
+  audit || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+  body || CASE state WHEN 's' THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 'u' THEN 'assistant:' || chr(10) ELSE '' END AS body
+  FROM best WHERE i = len(all_rows) + 1),
+picked AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left(body, -1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN picked p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_license_scan": _op5_sql(), "op9_decontaminate": OP9_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_license_scan": _op5_sql(), "op9_decontaminate": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op13_merkle_manifest": OP13_SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import licenses
+from tesserae.llm.block_dedup import substring_dedup
 from tesserae.llm.conversations import audit_conversations
 from tesserae.llm.decontaminate import decontaminate
 from tesserae.llm.exact_dedup import exact_dedup
@@ -91,6 +92,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_read(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -119,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_substring_dedup": op12_substring_dedup,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -290,5 +297,18 @@ LEFT JOIN picked p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
 
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 35], ' ') AS g FROM w, unnest(range(greatest(0, len(w) - 34))) t(i)),
+again AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY g) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM again, unnest(range(i, i + 35)) t(p)),
+places AS (SELECT doc_id, list(p) AS places FROM gone GROUP BY doc_id),
+kept AS (SELECT w.doc_id, list_filter(range(len(w.w)), lambda i: places IS NULL OR NOT list_contains(places, i)) AS k FROM w LEFT JOIN places p ON p.doc_id = w.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - len(k.k))::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(k.k, lambda i: w.w[i + 1]), ' '), '')) AS kept_sha256
+FROM w JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_license_scan": _op5_sql(), "op9_decontaminate": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_license_scan": _op5_sql(), "op9_decontaminate": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}

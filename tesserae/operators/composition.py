@@ -132,17 +132,50 @@ def matched_source(stats: DataFrame, reference: str) -> DataFrame:
     return gaps.withColumn("matched", F.row_number().over(order) == 1)
 
 
+# How near the ends of what depths allow a bulk share may lie, how far it may be moved (L1), and what either moment may miss.
+MARGIN, MOST_MOVED, MOST_MISSED = 0.01, 0.03, 1e-3
+
+
+def nearest_reachable(bulk: np.ndarray, share: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The multiple of `bulk`, cut to what relative depths z allow each gene with that share, that sums to one.
+
+    The sum is piecewise linear in the factor, with a corner where a gene leaves its least or meets its greatest share; its corners are
+    sorted and the factor is read between two of them.
+    """
+    low, high = ((e + MARGIN * (1 - e)) * share for e in (z.min(), z.max()))
+    on = bulk > 0
+    at = np.concatenate((low[on] / bulk[on], high[on] / bulk[on]))
+    order = np.argsort(at, kind="stable")
+    slope = np.cumsum(np.concatenate((bulk[on], -bulk[on]))[order])
+    total = low.sum() + np.concatenate(([0.0], np.cumsum(slope[:-1] * np.diff(at[order]))))
+    if not len(total) or total[-1] < 1 - 1e-9:
+        raise ValueError("no multiple of the bulk composition is within what depths allow")
+    return np.clip(bulk * np.interp(1.0, np.maximum.accumulate(total), at[order]), low, high)
+
+
 def fit_two_moments(base: np.ndarray, share: np.ndarray, bulk: np.ndarray, depth: np.ndarray, steps: int = 200, tolerance: float = 1e-7) -> np.ndarray:
     """Cell compositions near `base` whose plain mean is `share` and whose depth-weighted mean is `bulk`.
 
     Every gene carries a factor exp(a + b * z), z the relative depth; a Newton step for each gene moves both of its sums to what is wanted,
-    rows are scaled back to one, and this repeats. A bulk share that lies outside what depths allow is moved to the nearest that they do.
+    rows are scaled back to one, and this repeats. A bulk composition that depths do not allow is moved to the nearest that they do; one
+    that would move by more than MOST_MOVED, and moments that are missed by more than MOST_MISSED, are errors, as are compositions
+    that do not sum to one, negative or missing values and cells without mass. Equal depths allow the plain mean only.
     """
+    for v in (base, share, bulk, depth):
+        if not np.isfinite(v).all() or (v < 0).any():
+            raise ValueError("compositions and depths must be finite and not negative")
+    if (depth < 1).any() or (base.sum(axis=1) <= 0).any():
+        raise ValueError("cells must have depth and mass")
+    if max(abs(share.sum() - 1), abs(bulk.sum() - 1)) > 1e-8:
+        raise ValueError("compositions must sum to one")
     n, z = len(base), depth / depth.mean()
-    x = base / np.maximum(base.sum(axis=1, keepdims=True), 1e-30)
+    reach = nearest_reachable(bulk, share, z) if np.ptp(depth) else share
+    moved = float(np.abs(reach - bulk).sum())
+    if moved > MOST_MOVED:
+        raise ValueError(f"depths do not allow the bulk composition: the nearest is {moved:.3g} away")
+    x = base / base.sum(axis=1, keepdims=True)
     x = 0.999 * x + 0.001 * share
-    first = n * share
-    second = n * (np.clip(bulk, share * (z.min() + 0.02 * (1 - z.min())), share * (z.max() - 0.02 * (z.max() - 1))) if np.ptp(z) else share)
+    first, second = n * share, n * reach
     for _ in range(steps):
         s0, s1, s2 = x.sum(axis=0), z @ x, (z * z) @ x
         det = s0 * s2 - s1 * s1
@@ -153,8 +186,11 @@ def fit_two_moments(base: np.ndarray, share: np.ndarray, bulk: np.ndarray, depth
         a = np.where(whole, (s2 * e0 - s1 * e1) / safe, e0 / np.maximum(s0, 1e-300))
         x *= np.exp(np.clip(a + b * z[:, None], -2.0, 2.0))
         x /= np.maximum(x.sum(axis=1, keepdims=True), 1e-30)
-        if max(np.abs(x.mean(axis=0) - share).sum(), np.abs(z @ x / n - second / n).sum()) < tolerance:
+        missed = max(np.abs(x.mean(axis=0) - share).sum(), np.abs(z @ x / n - reach).sum())
+        if missed < tolerance:
             break
+    if missed > MOST_MISSED:
+        raise ValueError(f"moments are missed by {missed:.3g}")
     return x
 
 
@@ -162,8 +198,11 @@ def whole_counts(expected: np.ndarray, depth: np.ndarray, rng: np.random.Generat
     """Integers near `expected` with every row's sum its depth and every column's sum its rounded expectation.
 
     Rows are rounded down and filled at random by their fractions; then single counts move within rows from columns with too many to columns
-    with too few, each in the row where that changes the distance from the expectation least.
+    with too few, each in the row where that changes the distance from the expectation least. Expectations whose total is not that of the
+    depths are refused.
     """
+    if not np.isfinite(expected).all() or (expected < 0).any() or abs(expected.sum() - depth.sum()) > 0.5 or (np.abs(expected.sum(axis=1) - depth) > 0.5).any():
+        raise ValueError("expected counts and depths differ")
     out = np.floor(expected).astype(np.int64)
     left = depth - out.sum(axis=1)
     part = expected - out
@@ -192,7 +231,7 @@ def dual_moment_counts(template: DataFrame, seed: int) -> DataFrame:
     """target, cell, gene, value: whole counts with exact depths whose plain and depth-weighted mean compositions are those wanted.
 
     template: target, block, cell, depth, genes ARRAY, base ARRAY (starting composition), share ARRAY, bulk ARRAY. A block is a bounded
-    number of cells of one target; every block meets the moments by itself.
+    number of cells of one target; every block meets the moments by itself, or the job fails and says by how much.
     """
 
     def emit(g: pd.DataFrame) -> pd.DataFrame:
@@ -200,7 +239,7 @@ def dual_moment_counts(template: DataFrame, seed: int) -> DataFrame:
             raise ValueError(f"a block of {len(g)} cells; at most {MAX_BLOCK} are made together")
         g = g.sort_values("cell")
         depth, share, bulk = g["depth"].to_numpy(dtype=np.int64), *(np.asarray(g[c].iloc[0], dtype=float) for c in ("share", "bulk"))
-        x = fit_two_moments(np.array(g["base"].tolist(), dtype=float), share / share.sum(), bulk / bulk.sum(), depth)
+        x = fit_two_moments(np.array(g["base"].tolist(), dtype=float), share, bulk, depth)
         rng = np.random.default_rng(seed_of(seed, g["target"].iloc[0], g["block"].iloc[0]))
         counts = whole_counts(x * depth[:, None], depth, rng)
         row, col = np.nonzero(counts)

@@ -27,6 +27,44 @@ def test_two_moments_and_exact_sums(rng):
     assert np.abs(counts - x * depth[:, None]).mean() < 1
 
 
+@pytest.mark.parametrize(("lean", "fits"), [(0.02, True), (0.3, True), (6.0, False)])
+def test_bulk_share_is_met_or_refused(rng, lean, fits):
+    depth = rng.integers(100, 3000, 80)
+    share = rng.dirichlet(np.ones(30) * 5)
+    bulk = share * np.exp(rng.normal(size=30) * lean)
+    bulk /= bulk.sum()
+    z = depth / depth.mean()
+    if not fits:
+        with pytest.raises(ValueError, match="depths do not allow|no multiple"):
+            P.fit_two_moments(rng.dirichlet(share * 40, 80), share, bulk, depth)
+        return
+    x = P.fit_two_moments(rng.dirichlet(share * 40, 80), share, bulk, depth)
+    assert np.abs(x.mean(axis=0) - share).sum() < 1e-3 and np.abs(z @ x / 80 - P.nearest_reachable(bulk, share, z)).sum() < 1e-3
+
+
+def test_reachable_share_sums_to_one_within_its_bounds(rng):
+    z = np.array([0.5, 1.0, 1.5])
+    share = rng.dirichlet(np.ones(12))
+    bulk = share * np.exp(rng.normal(size=12))
+    got = P.nearest_reachable(bulk / bulk.sum(), share, z)
+    ratio = got / share
+    assert abs(got.sum() - 1) < 1e-9 and ratio.min() >= 0.505 - 1e-9 and ratio.max() <= 1.495 + 1e-9
+    free = (ratio > 0.505 + 1e-6) & (ratio < 1.495 - 1e-6)
+    assert np.ptp((got / bulk)[free]) < 1e-9  # the others are one multiple
+    assert np.allclose(P.nearest_reachable(share, share, z), share)
+
+
+def test_equal_depths_allow_the_plain_mean_only(rng):
+    share, bulk = np.array([0.5, 0.3, 0.2]), np.array([0.4, 0.4, 0.2])
+    with pytest.raises(ValueError, match="depths do not allow"):
+        P.fit_two_moments(np.ones((4, 3)), share, bulk, np.full(4, 9))
+    for bad in (np.array([0.5, 0.5, 0.1]), np.array([0.6, 0.5, -0.1]), np.array([np.nan, 0.5, 0.5])):
+        with pytest.raises(ValueError, match="sum to one|finite"):
+            P.fit_two_moments(np.ones((4, 3)), bad, bulk, np.full(4, 9))
+    with pytest.raises(ValueError, match="differ"):
+        P.whole_counts(np.ones((4, 3)), np.full(4, 9), rng)
+
+
 def test_equal_depths_and_genes_without_mass(rng):
     share = np.array([0.5, 0.5, 0.0])
     x = P.fit_two_moments(np.ones((5, 3)), share, share, np.full(5, 100))

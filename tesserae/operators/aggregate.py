@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import cp_k
+from tesserae.operators.quantiles import exact_quantiles
 
 QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
@@ -45,26 +46,24 @@ def cell_profile(cells: DataFrame, expr: DataFrame) -> DataFrame:
 def context_summary(cells: DataFrame, expr: DataFrame) -> DataFrame:
     """Per context: cells, genes, depth statistics, sparsity, genes detected."""
     genes = expr.agg(F.countDistinct("gene").alias("n_genes"))
-    per = cell_profile(cells, expr).groupBy("context").agg(
+    profile = cell_profile(cells, expr)
+    per = profile.groupBy("context").agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.avg("depth").alias("mean_depth"),
-        F.expr("percentile(depth, 0.5)").alias("median_depth"),
         F.min("depth").alias("min_depth"),
         F.max("depth").alias("max_depth"),
         F.avg("detected").alias("mean_detected"),
         F.sum("detected").alias("nonzero"),
     )
+    middle = exact_quantiles(profile, ["context"], "depth", (0.5,)).select("context", F.col("q")[0].alias("median_depth"))
+    per = per.join(middle, "context")
     return per.crossJoin(F.broadcast(genes)).withColumn("sparsity", 1 - F.col("nonzero") / (F.col("n_cells") * F.col("n_genes"))).drop("nonzero")
 
 
 def depth_quantiles(profile: DataFrame, thresholds: tuple[float, ...] = (50.0, 100.0)) -> DataFrame:
     """Per context: exact linear quantiles of depth, coefficient of variation, cells below thresholds."""
-    quantiles = F.expr(f"percentile(depth, array({', '.join(map(str, QUANTILES))}))")
-    out = profile.groupBy("context").agg(
-        quantiles.alias("q"),
-        (F.stddev_pop("depth") / F.avg("depth")).alias("cv"),
-        *[F.count_if(F.col("depth") < t).alias(f"below_{t:g}") for t in thresholds],
-    )
+    spread = profile.groupBy("context").agg((F.stddev_pop("depth") / F.avg("depth")).alias("cv"), *[F.count_if(F.col("depth") < t).alias(f"below_{t:g}") for t in thresholds])
+    out = exact_quantiles(profile, ["context"], "depth", QUANTILES).join(spread, "context")  # one row a context
     return out.select("context", *[F.col("q")[i].alias(f"q{int(q * 100):03d}") for i, q in enumerate(QUANTILES)], "cv", *[f"below_{t:g}" for t in thresholds])
 
 

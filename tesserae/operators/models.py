@@ -121,3 +121,27 @@ def kernel_ridge(rows: DataFrame, keys: list[str], alpha: float, schema: str) ->
         return g[[*keys, "id", "predicted"]]
 
     return rows.groupBy(*keys).applyInPandas(solve, schema)
+
+
+def subspace_map(alphas: DataFrame, deviations: DataFrame, target: DataFrame, n_components: int = 2, ridge: float = 1.0, tolerance: float = 1e-10) -> DataFrame:
+    """gene, predicted: a target's response template from its basal deviation, by ridge on the low-rank space of the sources' deviations.
+
+    alphas: source, gene, alpha; deviations: source, gene, dev; target: gene, dev. Sources are few and genes many, so singular vectors
+    come from the products of sources with each other, and the map is one coefficient a source; nothing of genes x genes exists.
+    Directions without length (a rank below the number of sources) carry nothing. A gene that a source lacks counts as zero.
+    """
+    both = deviations.select("source", "gene", "dev").unionByName(target.select(F.lit(None).cast("string").alias("source"), "gene", "dev"))
+    names = sorted(r[0] for r in deviations.select("source").distinct().collect())  # an axis of sources
+    wide = both.groupBy("gene").agg(*[F.sum(F.when(F.col("source") == n, F.col("dev")).otherwise(0.0)).alias(f"x{i}") for i, n in enumerate(names)], F.sum(F.when(F.col("source").isNull(), F.col("dev")).otherwise(0.0)).alias("t"))
+    k = len(names)
+    cols = [F.col(f"x{i}") for i in range(k)] + [F.col("t")]
+    centre = sum(cols[:k], F.lit(0.0)) / k
+    c = wide.select(*[(x - centre).alias(f"c{i}") for i, x in enumerate(cols)])
+    r = c.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i in range(k + 1) for j in range(i + 1)]).first()
+    p = np.array([[r[f"p{max(i, j)}_{min(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], dtype=float)
+    square, u = np.linalg.eigh(p[:k, :k])
+    keep = [i for i in np.argsort(-square, kind="stable")[: min(n_components, k)] if square[i] > tolerance * max(square.max(), 1e-300)]
+    # Coordinates of the target are u' c(t) / s, the map has s / (s^2 + ridge): the lengths s cancel.
+    coefficient = u[:, keep] @ ((u[:, keep].T @ p[:k, k]) / (square[keep] + ridge))
+    weights = alphas.sparkSession.createDataFrame(list(zip(names, map(float, coefficient), strict=True)), "source string, w double")
+    return alphas.join(F.broadcast(weights), "source").groupBy("gene").agg(F.sum(F.col("w") * F.col("alpha")).alias("predicted"))

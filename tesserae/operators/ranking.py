@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.order import in_order
+from tesserae.operators.quantiles import exact_quantiles
 
 COVERAGES = (1.0, 0.75, 0.5, 0.25, 0.1)
 
@@ -15,7 +16,10 @@ def risk_coverage(rows: DataFrame, group: list[str], coverages: tuple[float, ...
     ranked = in_order(rows, group, "confidence", "id", descending=True)
     wide = ranked.withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in coverages])))
     kept = wide.filter(F.col("position") <= F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("size"))))
-    return kept.groupBy(*group, "coverage").agg(F.avg("risk").alias("mean_risk"), F.expr("percentile(risk, 0.5)").alias("median_risk"), F.count(F.lit(1)).alias("kept"))
+    keys = [*group, "coverage"]
+    middle = exact_quantiles(kept, keys, "risk", (0.5,)).select(*keys, F.col("q")[0].alias("median_risk"))
+    means = kept.groupBy(*keys).agg(F.avg("risk").alias("mean_risk"), F.count(F.lit(1)).alias("kept"))
+    return means.join(middle, keys, "left").select(*keys, "mean_risk", "median_risk", "kept")
 
 
 def area_under_risk_coverage(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -42,13 +46,16 @@ def quantile_bin(value: Column, edges: Column, bins: int) -> Column:
 
 def calibration(rows: DataFrame, bins: int = 5) -> DataFrame:
     """Per quantile bin of confidence: rows, mean confidence, mean and median quality."""
-    steps = ", ".join(str(i / bins) for i in range(bins + 1))
-    edges = rows.agg(F.expr(f"percentile(confidence, array({steps}))").alias("edges"))
-    binned = rows.crossJoin(F.broadcast(edges)).withColumn("bin", quantile_bin(F.col("confidence"), F.col("edges"), bins))
-    return binned.groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"), F.avg("quality").alias("quality"),
-        F.expr("percentile(quality, 0.5)").alias("median_quality"),
-    )
+    binned = in_quantile_bins(rows, "confidence", bins)
+    middle = exact_quantiles(binned, ["bin"], "quality", (0.5,)).select("bin", F.col("q")[0].alias("median_quality"))
+    means = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"), F.avg("quality").alias("quality"))
+    return means.join(middle, "bin", "left")
+
+
+def in_quantile_bins(rows: DataFrame, value: str, bins: int) -> DataFrame:
+    """Adds bin, from 0, between exact quantiles of the value over all rows."""
+    edges = exact_quantiles(rows, [], value, tuple(i / bins for i in range(bins + 1))).select(F.col("q").alias("edges"))  # one row
+    return rows.crossJoin(F.broadcast(edges)).withColumn("bin", quantile_bin(F.col(value), F.col("edges"), bins)).drop("edges")
 
 
 def first_crossing(curve: DataFrame, group: list[str], threshold: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,48 @@ def permutation_test(rows: DataFrame, flag: str, value: str, draws: int, seed: i
         F.stddev_samp("null").alias("null_sd"),
         ((F.count_if(F.col("null") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"),
     )
+
+
+BLOCK_ROWS = 100_000  # rows whose counts of a draw are made together
+MAX_BLOCKS = 100_000
+
+
+def bootstrap_sums(rows: DataFrame, key: str, values: list[str], draws: int, seed: int, blocks: int | None = None) -> DataFrame:
+    """draw, n and the sum of each value over as many rows as there are, taken with replacement; draw -1 is the rows themselves.
+
+    A draw is a number for every row, multinomial over all rows: the total is split over blocks of rows by a multinomial that every
+    task makes alike from the sizes of blocks, and a block's share over its rows. No draw is a list of slots and none is joined; the
+    cost is rows x draws, in memory a block. Rows are dealt to blocks by their key and ordered by it, so that a draw repeats.
+    """
+    total = rows.count()
+    blocks = blocks or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_ROWS))
+    if blocks > MAX_BLOCKS:
+        raise ValueError(f"{blocks} blocks are more than {MAX_BLOCKS}")
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.col(key).alias("key"), *[F.col(v).cast("double").alias(v) for v in values])
+    size = np.zeros(blocks, dtype=np.int64)
+    for r in dealt.groupBy("block").count().collect():  # one number a block
+        size[r["block"]] = r["count"]
+
+    def take(g: pd.DataFrame) -> pd.DataFrame:
+        block = int(g["block"].iloc[0])
+        x = g.sort_values(["key", *values])[values].to_numpy()
+        out = np.empty((draws + 1, len(values) + 1))
+        out[0] = len(x), *x.sum(axis=0)
+        for d in range(draws):
+            mine = np.random.default_rng([seed, d]).multinomial(total, size / total)[block]
+            count = np.random.default_rng([seed, d, block]).multinomial(mine, np.full(len(x), 1 / len(x)))
+            out[d + 1] = mine, *(count @ x)
+        return pd.DataFrame(out, columns=["n", *values]).assign(draw=np.arange(-1, draws))
+
+    schema = "n double, " + ", ".join(f"`{v}` double" for v in values) + ", draw long"
+    parts = dealt.groupBy("block").applyInPandas(take, schema)
+    return parts.groupBy("draw").agg(F.sum("n").cast("bigint").alias("n"), *[F.sum(v).alias(v) for v in values])
+
+
+def interval(draws: DataFrame, statistic: Column, level: float = 0.95) -> DataFrame:
+    """One row estimate, low, high of a statistic of the sums that bootstrap_sums returns."""
+    each = draws.select("draw", statistic.alias("s"))
+    tail = (1 - level) / 2
+    return each.agg(
+        F.max(F.when(F.col("draw") < 0, F.col("s"))).alias("estimate"), F.expr(f"percentile(CASE WHEN draw >= 0 THEN s END, array({tail}, {1 - tail}))").alias("q")
+    ).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # one row a draw

@@ -329,9 +329,7 @@ def calibration_bins(spark, sf_dir):
 b AS (SELECT *, {"CASE " + " ".join(f"WHEN confidence < e[{i + 2}] THEN {i}" for i in range(9)) + " ELSE 9 END"} AS bin FROM rr, e)
 SELECT bin, count(*) AS n, round({sql_pearson('confidence', 'risk')}, 6) AS r, round(avg(CASE WHEN risk > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive FROM b GROUP BY 1""")
 def decile_table(spark, sf_dir):
-    rows = risks(spark, sf_dir)
-    edges = rows.agg(F.expr(f"percentile(confidence, array({', '.join(str(i / 10) for i in range(11))}))").alias("edges"))
-    b = rows.crossJoin(F.broadcast(edges)).withColumn("bin", K.quantile_bin(F.col("confidence"), F.col("edges"), 10))
+    b = K.in_quantile_bins(risks(spark, sf_dir), "confidence", 10)
     return b.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), r6(pearson(F.col("confidence"), F.col("risk"))).alias("r"), r6(F.avg((F.col("risk") > 0).cast("double"))).alias("positive")
     )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import assembly, decomposition, emission, measurement, modelling, residuals, scoring, transfer
+from tesserae.plans import assembly, decomposition, emission, inference, measurement, modelling, residuals, scoring, transfer
 
-FAMILIES = (decomposition, measurement, scoring, assembly, transfer, modelling, residuals, emission)
+FAMILIES = (decomposition, measurement, scoring, assembly, transfer, modelling, residuals, emission, inference)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,7 +184,7 @@ def test_license_tags_and_odd_tables(spark):
     ]
     table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "1 rest", "'x' hits", "null sentence_ids")
     got = sorted((r.doc_id, r.licenses, r.permissive) for r in license_scan(table).collect())
-    assert got == [(1, ["MIT"], True), (1, ["MIT"], True), (2, ["GPL-2.0-or-later"], False), (3, ["Apache-2.0"], True), (4, [], False), (5, [], False), (6, [], False)]
+    assert got == [(1, ["MIT"], True), (1, ["MIT"], True), (2, ["GPL-2.0-or-later"], False), (3, ["Apache-2.0"], True), (4, ["MIT", "Apache-2.0"], True), (5, [], False), (6, [], False)]
     assert license_scan(table.limit(0)).count() == 0
 
 
@@ -209,6 +209,53 @@ def test_license_scan_of_wrapped_notices(spark, width):
     assert {r.doc_id: (r.licenses, r.sentence_ids) for r in got} == want
 
 
+def clause(three):
+    return BSD[: BSD.index("3. Neither")] + three + "\n\n" + BSD[BSD.index("THIS SOFTWARE") :]
+
+
+END = "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+OTHER_NOTICES = [  # what each is, by hand
+    (clause("3. Neither the name of Google Inc. " + END), ["BSD-3-Clause"]),
+    (clause("3. Neither the name of the University " + END), ["BSD-3-Clause"]),
+    (clause("* Neither the name of the <organization>, Foo & Co. Ltd., " + END), ["BSD-3-Clause"]),
+    (clause("3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."), ["BSD-3-Clause"]),
+    (clause("3. Nobody's name may in any way help to endorse or promote products made with this."), ["LicenseRef-BSD-endorsement"]),
+    (clause(""), ["BSD-2-Clause"]),
+    (clause("3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software "
+            "developed by the organization.\n\n4. Neither the name of the organization " + END), ["BSD-4-Clause"]),
+    ("Apache License\n\nVersion 2.0, January 2004\n\nhttp://www.apache.org/licenses/", []),  # a blank line parts the head
+    ("Apache License Version 2.0, January 2004\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", ["Apache-2.0"]),
+    ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>", ["GPL-3.0-only"]),
+    ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", ["LGPL-2.1-only"]),
+    ("This software is provided 'as-is', without any express or implied warranty.\n\nPermission is granted to anyone to use this software for any purpose, including "
+     "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin must not be misrepresented.", ["Zlib"]),
+    ("Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted", ["BSL-1.0"]),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)", ["BSL-1.0"]),
+    ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", ["LicenseRef-BSD-style"]),
+    ("To the extent possible under law, Jane Q. Public has waived all copyright and related or neighboring rights to This Work.", ["CC0-1.0"]),
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: (MIT AND BSD-3-Clause)", ["MIT", "BSD-3-Clause"]),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only"]),
+    ("The apache helicopter has a license and the mit has a lab. Neither the name of the rose nor the names of its friends matter.", []),
+    ("We do not endorse or promote products. This software is not licensed to anyone.", []),
+    ("To the extent possible under law, we will waive fees.", []),
+]
+
+
+@pytest.mark.parametrize("width", [50, 79, 10_000])
+def test_other_notices_have_the_licence_that_they_state(spark, width):
+    docs, want = [], {}
+    for text, names in OTHER_NOTICES:
+        for mark in ("", " * ", "// "):
+            blocks = [textwrap.wrap(" ".join(b.split()), width) for b in text.split("\n\n")]
+            if text.startswith("SPDX"):
+                blocks = [[text]]  # a tag stands on one line
+            want[len(docs)] = names
+            docs.append((len(docs), "\n".join(mark + x for b in blocks for x in [*b, ""])))
+    got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_license_scan_does_not_join_over_blank_lines_or_within_sentences(spark):
     docs = [
         (1, "released under\n\nthe mit license"), (2, "it is not\nreleased under the mit license or so"), (3, "all\nrights\nreserved"),

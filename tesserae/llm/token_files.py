@@ -24,13 +24,9 @@ MAGIC = b"TSRTOK01"
 HEADER = 3 * 8
 
 
-def _put(fs: pafs.FileSystem, path: str, attempt: str, write) -> None:
-    """Write under a name of this attempt, then move into place: a repeated task replaces whole files only."""
-    with fs.open_output_stream(f"{path}.{attempt}") as out:
+def _put(fs: pafs.FileSystem, path: str, write) -> None:
+    with fs.open_output_stream(path) as out:
         write(out)
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:  # not every store moves onto a file that is there
-        fs.delete_file(path)
-    fs.move(f"{path}.{attempt}", path)
 
 
 def _writer(model: str, folder: str, end_id: int):
@@ -39,8 +35,8 @@ def _writer(model: str, folder: str, end_id: int):
 
         task = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(folder)
-        name = f"{root}/part-{task.partitionId():06d}"
-        attempt = f"{task.taskAttemptId()}.tmp"
+        own = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        name = f"{root}/{own}"
         first = next((b for b in batches if len(b)), None)
         if first is None:
             return
@@ -60,12 +56,12 @@ def _writer(model: str, folder: str, end_id: int):
                     out.write(np.insert(ids, offsets[1:], end_id).astype(f"<u{width}").tobytes())
                 batch = next(batches, None)
 
-        _put(fs, f"{name}.bin", attempt, body)
+        _put(fs, f"{name}.bin", body)
         upto = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype("<i8")
         head = np.array([width, len(upto) - 1], dtype="<i8")
-        _put(fs, f"{name}.idx", attempt, lambda out: out.write(b"".join([MAGIC, *(x.tobytes() for x in (head, upto, *docs, *nulls))])))
+        _put(fs, f"{name}.idx", lambda out: out.write(b"".join([MAGIC, *(x.tobytes() for x in (head, upto, *docs, *nulls))])))
         yield pa.RecordBatch.from_pydict(
-            {"part": pa.array([task.partitionId()], pa.int64()), "n_docs": pa.array([len(upto) - 1], pa.int64()), "n_tokens": pa.array([int(upto[-1])], pa.int64())}
+            {"part": pa.array([task.partitionId()], pa.int64()), "path": pa.array([f"{folder}/{own}"]), "n_docs": pa.array([len(upto) - 1], pa.int64()), "n_tokens": pa.array([int(upto[-1])], pa.int64())}
         )
 
     return run
@@ -78,19 +74,20 @@ def write_token_files(
 
     Returns the manifest: part, path, n_docs, n_tokens, doc_base, token_base; bases are prefix sums over the parts, so the
     parts read one after another are one array. `folder` is a URI that all workers can write to and pyarrow can open; unset, a new one below the
-    shared folder. Ids take two bytes if the vocabulary allows it, else four. Parts are ranges of document ids; a task that
-    runs again replaces its files as a whole.
+    shared folder. Ids take two bytes if the vocabulary allows it, else four. Parts are ranges of document ids. File names
+    carry the attempt that wrote them and no attempt touches another's files: the manifest has those of the attempt whose result counts,
+    and what a lost or slower attempt left is named nowhere.
 
     Null text counts as empty (the end id only). Repeated ids are ordered by a hash of the text. An empty table writes nothing.
     """
     folder = folder or fresh_dir(docs.sparkSession, "tokens")
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange(shuffle_width(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    parts = cut(dealt.mapInArrow(_writer(model, folder, end_id), "part bigint, n_docs bigint, n_tokens bigint"))
+    parts = cut(dealt.mapInArrow(_writer(model, folder, end_id), "part bigint, path string, n_docs bigint, n_tokens bigint"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     return parts.select(
         "part",
-        F.format_string(f"{folder}/part-%06d", "part").alias("path"),
+        "path",
         "n_docs",
         "n_tokens",
         F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("doc_base"),

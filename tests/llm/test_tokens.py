@@ -150,3 +150,41 @@ def test_plan_is_no_worse_than_best_fit():
             else:
                 bins[k] -= n
         assert packing.plan_packing(counts, 1024).sequences <= len(bins)
+
+
+def test_two_attempts_of_a_task_do_not_touch_each_other(spark, tmp_path, monkeypatch):
+    import pyspark
+
+    from tesserae.llm import token_files
+
+    class Context:
+        def __init__(self, attempt):
+            self.attempt = attempt
+
+        def partitionId(self):
+            return 3
+
+        def taskAttemptId(self):
+            return self.attempt
+
+    folder = f"file://{tmp_path}/files"
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": pa.array(["hello world", "x"])})
+    opened = []
+
+    def input_of(attempt):  # the second attempt runs whole while the first is in the midst of its file
+        yield batch
+        if attempt == 1:
+            monkeypatch.setattr(pyspark.TaskContext, "get", lambda: Context(2))
+            opened.extend(token_files._writer(WORDS, folder, 1)(iter([batch, batch])))
+        yield batch
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: Context(1))
+    opened.extend(token_files._writer(WORDS, folder, 1)(input_of(1)))
+    paths = [b["path"][0].as_py() for b in opened]
+    assert len(set(paths)) == 2
+    for path in paths:
+        part = token_files.TokenFile(path)
+        assert part.doc_ids.tolist() == [1, 2, 1, 2] and part.ids(0, 2).tolist() == ids_of("hello world") + ids_of("x")
+    (tmp_path / "files" / f"{paths[0].rsplit('/', 1)[1]}.bin").unlink()  # the loser's files may go
+    rows = spark.createDataFrame([(3, paths[1], 0)], "part long, path string, token_base long")
+    assert [r.doc_id for r in read_token_files(rows).collect()] == [1, 2, 1, 2]

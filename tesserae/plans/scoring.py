@@ -9,6 +9,7 @@ from tesserae.functions.scalars import pearson, r6
 from tesserae.operators import ranking as K
 from tesserae.operators import similarity as S
 from tesserae.operators import stats as T
+from tesserae.operators.neighbours import exact_nearest, searched
 from tesserae.plans.base_sql import CELLS, OBS, PARTS, RESP
 from tesserae.plans.decomposition import HALVES, half_responses
 from tesserae.sources.tables import CONTROL, cells, expression, observations, responses, table
@@ -85,29 +86,36 @@ r AS (SELECT vec_id AS ref_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 c AS (SELECT query_id, q.label AS query_label, ref_id, r.label AS ref_label, round(list_cosine_similarity(q.v, r.v), 6) AS cos FROM q, r)"""
 
 
-def cosines(spark, sf_dir):
+def neighbours(spark, sf_dir, k):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    c = S.packed_cosine(e.filter("id % 100 = 0"), e)  # the stated query set: every id divisible by 100, against all rows
-    return c.withColumn("cos", r6("cos"))
+    n = exact_nearest(e.filter("id % 100 = 0"), e, k)  # the stated query set: every id divisible by 100, against all rows
+    return n.withColumn("cos", r6("cos"))
 
 
 @query(f"""WITH {EMB} SELECT query_id, ref_id, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, ref_id) AS position FROM c WHERE query_id <> ref_id
 QUALIFY position <= 5""")
 def knn_topk_cosine(spark, sf_dir):
-    return S.nearest(cosines(spark, sf_dir).filter("query_id <> ref_id"), 5).withColumn("position", F.col("position").cast("bigint"))
+    return neighbours(spark, sf_dir, 5).withColumn("position", F.col("position").cast("bigint"))
+
+
+@query()
+def nearest_parts_searched(spark, sf_dir):
+    """How many parts of clusters each query is compared with, of how many."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return searched(e.filter("id % 100 = 0"), e, 5)
 
 
 @query(f"""WITH {EMB}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, ref_id) AS position FROM c WHERE query_id <> ref_id QUALIFY position <= 5)
 SELECT query_id, round(CASE WHEN sum(greatest(cos, 0)) > 0 THEN sum(greatest(cos, 0) * ref_label) / sum(greatest(cos, 0)) ELSE 0 END, 6) AS predicted FROM n GROUP BY 1""")
 def knn_predict(spark, sf_dir):
-    n = S.nearest(cosines(spark, sf_dir).filter("query_id <> ref_id"), 5)
+    n = neighbours(spark, sf_dir, 5)
     values = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), F.col("label").cast("double").alias("value"))
     return S.knn_predict(n, values).withColumn("predicted", r6("predicted"))
 
 
 @query(f"""WITH {EMB} SELECT query_id, arg_max(ref_id, cos * 1e6 - ref_id * 1e-9) AS nearest, max(cos) AS cos FROM c WHERE query_id <> ref_id GROUP BY 1""")
 def nearest_neighbour(spark, sf_dir):
-    n = S.nearest(cosines(spark, sf_dir).filter("query_id <> ref_id"), 1)
+    n = neighbours(spark, sf_dir, 1)
     return n.select("query_id", F.col("ref_id").alias("nearest"), "cos")
 
 
@@ -115,7 +123,7 @@ def nearest_neighbour(spark, sf_dir):
 SELECT a.query_id, round(avg(list_cosine_similarity(x.v, y.v)), 5) AS agreement FROM n a JOIN n b ON a.query_id = b.query_id AND a.ref_id < b.ref_id
 JOIN r x ON x.ref_id = a.ref_id JOIN r y ON y.ref_id = b.ref_id GROUP BY 1""")
 def neighbour_agreement(spark, sf_dir):
-    n = S.nearest(cosines(spark, sf_dir).filter("query_id <> ref_id"), 5)
+    n = neighbours(spark, sf_dir, 5)
     vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
     long = n.select("query_id", "ref_id").join(vec, "ref_id")
     each = S.pairs_within(long, ["query_id"], "ref_id", "i", "v").groupBy("query_id", "a", "b")

@@ -8,6 +8,7 @@ from tesserae.functions.scalars import r6
 from tesserae.operators import aggregate as A
 from tesserae.operators import models as M
 from tesserae.operators import nulls as N
+from tesserae.operators import panels as P
 from tesserae.operators import resample as R
 from tesserae.operators import stats as T
 from tesserae.operators import tiers as S
@@ -176,3 +177,26 @@ def subspace_map(spark, sf_dir):
     dev = control.select(F.col("context").alias("source"), "gene", F.col("mean").alias("dev"))
     asia = F.col("source") == "ASIA"
     return M.subspace_map(alpha.filter(~asia), dev.filter(~asia), dev.filter(asia).drop("source"))
+
+
+PANEL = RESP + """, sh AS (SELECT context, perturbation, gene, delta - 25 AS delta FROM resp), mm AS (SELECT context, gene, avg(delta) AS m FROM sh GROUP BY ALL), e AS (SELECT context, perturbation, gene, delta, m, delta - m AS e FROM sh JOIN mm USING (context, gene)),
+c AS (SELECT DISTINCT context FROM sh), pr AS (SELECT t.context AS target, s.context AS src, row_number() OVER (PARTITION BY t.context ORDER BY s.context) AS nth FROM c t, c s WHERE t.context <> s.context),
+b AS (SELECT target, perturbation, gene, avg(m) AS main, avg(CASE WHEN nth <= 2 THEN e END) AS b2, avg(CASE WHEN nth = 1 THEN e END) AS b1 FROM pr JOIN e ON src = context GROUP BY ALL),
+w AS (SELECT target, tier, b.perturbation, b.gene, x.delta AS t, main + CASE tier WHEN 2 THEN 0.75 * b2 WHEN 1 THEN 0.5 * b1 ELSE 0 END AS p FROM b JOIN sh x ON x.context = target AND x.perturbation = b.perturbation AND x.gene = b.gene, (VALUES (2), (1), (0)) k(tier)),
+mt AS (SELECT target, tier, perturbation, CASE WHEN sqrt(var_pop(p) * var_pop(t)) * count(*) > 1e-12 THEN corr(p, t) END AS r, sum(p * t) / sqrt(sum(p * p) * sum(t * t)) AS cs, avg(pow(t - p, 2)) AS mse, sum(pow(t - p, 2)) AS re, sum(t * t) AS en FROM w GROUP BY ALL),
+d AS (SELECT a.target, a.tier, a.perturbation, q.perturbation AS other, round(1 - sum(a.p * q.t) / sqrt(sum(a.p * a.p) * sum(q.t * q.t)), 9) AS d FROM w a JOIN w q ON a.target = q.target AND a.gene = q.gene AND q.tier = 0 WHERE a.gene <> 'PROMO' GROUP BY ALL),
+o AS (SELECT target, tier, perturbation, d AS own FROM d WHERE other = perturbation),
+pd AS (SELECT target, tier, perturbation, 1 - (count(*) FILTER (WHERE d < own) + 0.5 * (count(*) FILTER (WHERE d = own) - 1)) / (count(*) - 1) AS pds FROM d JOIN o USING (target, tier, perturbation) GROUP BY ALL),
+dr AS (SELECT draw, perturbation, ('0x' || md5('73:' || draw || ':' || perturbation)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT perturbation FROM sh), range(6) x(draw)),
+pn AS (SELECT draw, perturbation, CASE WHEN u < 0.25 THEN 2 WHEN u < 0.6 THEN 1 ELSE 0 END AS tier FROM dr)"""
+
+
+@query(f"""WITH {PANEL} SELECT target, draw, count(*) FILTER (WHERE tier = 2) AS n_tier2, count(*) FILTER (WHERE tier = 1) AS n_tier1, count(*) FILTER (WHERE tier = 0) AS n_tier0, round(quantile_cont(r, 0.5), 5) AS pearson_median,
+round(quantile_cont(cs, 0.5), 5) AS cosine_median, round(avg(mse), 5) AS mse_mean, round(1 - sum(re) / sum(en), 5) AS energy_explained, round(avg(pds), 5) AS pds_mean FROM pn JOIN mt USING (tier, perturbation) JOIN pd USING (target, tier, perturbation) GROUP BY target, draw""")
+def mixed_panel_score(spark, sf_dir):
+    """Every region predicted from the others by panels that mix tiers of support."""
+    r = responses(spark, sf_dir).withColumn("delta", F.col("delta") - 25)
+    weights = r.select(F.col("context").alias("target")).distinct().crossJoin(spark.createDataFrame([(2, 0.75), (1, 0.5)], "tier int, weight double"))
+    out = P.mixed_panel(r, weights, {2: 0.25, 1: 0.35, 0: 0.4}, 6, 73, ("PROMO",))
+    five = [F.round(c, 5).alias(c) for c in ("pearson_median", "cosine_median", "mse_mean", "energy_explained", "pds_mean")]
+    return out.select("target", F.col("draw").cast("bigint").alias("draw"), "n_tier2", "n_tier1", "n_tier0", *five)

@@ -10,6 +10,7 @@ from tesserae.operators import ranking as K
 from tesserae.operators import similarity as S
 from tesserae.operators import stats as T
 from tesserae.operators.neighbours import exact_nearest, searched
+from tesserae.operators.panels import discrimination
 from tesserae.plans.base_sql import CELLS, OBS, PARTS, RESP
 from tesserae.plans.decomposition import HALVES, half_responses
 from tesserae.sources.tables import CONTROL, cells, expression, observations, responses, table
@@ -141,10 +142,9 @@ def pds_cosine(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
     x = e.select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     means = x.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
-    c = S.packed_cosine(means.select(F.col("label").alias("id"), "vec"), e.select(F.col("vec_id").alias("id"), "vec"))
-    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    asked = c.select(F.col("query_id").alias("label"), "ref_id", r6("cos").alias("cos")).join(queries, "label")
-    return S.discrimination(asked.drop("label")).withColumn("score", r6("score"))
+    predicted = e.filter("vec_id % 100 = 0").join(means.withColumnRenamed("vec", "mean"), "label").select(F.col("vec_id").alias("id"), F.col("mean").alias("vec"))
+    out = discrimination(predicted, e.select(F.col("vec_id").alias("id"), "vec"), [], digits=6)
+    return out.select(F.col("id").alias("query_id"), r6("score").alias("score"))
 
 
 @query(f"""WITH {PAIRS} SELECT context, perturbation, round(avg(CASE WHEN sign(x) = sign(y) THEN 1.0 ELSE 0.0 END), 6) AS sign_agreement FROM

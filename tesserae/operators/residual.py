@@ -214,9 +214,12 @@ def nested_selection(rows: DataFrame, moments: tuple | None = None) -> DataFrame
 
 
 def outer_prediction(rows: DataFrame) -> DataFrame:
-    """outer, perturbation, pathway, b, r_hat, predicted: the chosen model of each outer context, refitted on all its pseudo-targets.
+    """outer, perturbation, pathway, b, r_hat, predicted, lambda_theory, predicted_theory: the chosen model of each outer context, refitted
+    on all its pseudo-targets.
 
-    The outer context's own responses are not read.
+    The outer context's own responses are not read. Beside the weight that was selected stands the one that theory gives a clean target:
+    of n sources, whose interactions and the target's sum to zero, the mean carries minus one n-th of the target's, so that what is
+    left beyond a mean scaled by s is (n + s) / (n + 1) of what models are fitted to.
     """
     shift, found = fold_moments(rows)
     picks = nested_selection(rows, (shift, found)).filter("chosen").collect()  # one row a context
@@ -224,10 +227,14 @@ def outer_prediction(rows: DataFrame) -> DataFrame:
     for s in picks:
         whole = sum(m for (o, _), m in found.items() if o == s.outer)
         models.append((s.outer, s.outer, s.family, s.alpha, fit_family(s.family, s.alpha, whole, shift).tolist()))
-        lams.append((s.outer, s.lam))
-    lam = F.broadcast(rows.sparkSession.createDataFrame(lams, "outer string, lam double"))
+        lams.append((s.outer, s.lam, sum(o == s.outer for o, _ in found)))
+    lam = F.broadcast(rows.sparkSession.createDataFrame(lams, "outer string, lam double, n int"))
     out = with_models(rows.filter("outer = target").drop("y", "r"), models).join(lam, "outer")
-    return out.select("outer", "perturbation", "pathway", "b", "r_hat", (F.col("b") + F.col("lam") * F.col("r_hat")).alias("predicted"))
+    theory = (F.col("n") + F.col("scale")) / (F.col("n") + 1)
+    return out.select(
+        "outer", "perturbation", "pathway", "b", "r_hat", (F.col("b") + F.col("lam") * F.col("r_hat")).alias("predicted"),
+        theory.alias("lambda_theory"), (F.col("b") + theory * F.col("r_hat")).alias("predicted_theory"), "scale",
+    )
 
 
 def confidence(fold: DataFrame, y: DataFrame, halves: DataFrame, stats: DataFrame, pairs: DataFrame, similarity: DataFrame) -> DataFrame:

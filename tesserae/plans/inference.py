@@ -11,6 +11,7 @@ from tesserae.operators import nulls as N
 from tesserae.operators import panels as P
 from tesserae.operators import resample as R
 from tesserae.operators import stats as T
+from tesserae.operators import structure as V
 from tesserae.operators import tiers as S
 from tesserae.operators import unseen as U
 from tesserae.plans.base_sql import CELLS, RESP
@@ -200,3 +201,24 @@ def mixed_panel_score(spark, sf_dir):
     out = P.mixed_panel(r, weights, {2: 0.25, 1: 0.35, 0: 0.4}, 6, 73, ("PROMO",))
     five = [F.round(c, 5).alias(c) for c in ("pearson_median", "cosine_median", "mse_mean", "energy_explained", "pds_mean")]
     return out.select("target", F.col("draw").cast("bigint").alias("draw"), "n_tier2", "n_tier1", "n_tier0", *five)
+
+
+@query(f"""WITH {CELLS}, g AS (SELECT count(*) AS k FROM genes), pc AS (SELECT cell, sum(value) AS depth, count(*) AS det FROM expr GROUP BY 1),
+kn AS (SELECT context AS grp, cell, coalesce(depth, 0) AS depth, coalesce(det, 0) AS det FROM cells LEFT JOIN pc USING (cell)),
+lg AS (SELECT grp, cell, gene, ln(1 + value * 1e4 / depth) AS x FROM expr JOIN kn USING (cell)), nn AS (SELECT grp, count(*) AS n FROM kn GROUP BY 1),
+ce AS (SELECT grp, gene, sum(x) / any_value(n) AS c FROM lg JOIN nn USING (grp) GROUP BY ALL),
+di AS (SELECT kn.grp, kn.cell, sqrt(sum(pow(coalesce(lg.x, 0) - ce.c, 2))) AS d FROM kn JOIN ce ON ce.grp = kn.grp LEFT JOIN lg ON lg.cell = kn.cell AND lg.gene = ce.gene GROUP BY ALL),
+sa AS (SELECT grp, cell FROM (SELECT grp, cell, row_number() OVER (PARTITION BY grp ORDER BY md5('79:' || cell)) AS k FROM kn) WHERE k <= 30),
+un AS (SELECT grp, cell, gene, x / sqrt(sum(x * x) OVER (PARTITION BY grp, cell)) AS x FROM lg JOIN sa USING (grp, cell)),
+pa AS (SELECT a.grp, a.cell AS a, b.cell AS b FROM sa a JOIN sa b ON a.grp = b.grp AND a.cell < b.cell),
+pd AS (SELECT pa.grp, pa.a, pa.b, 1 - coalesce(sum(u.x * v.x), 0) AS d FROM pa LEFT JOIN un u ON u.cell = pa.a LEFT JOIN un v ON v.cell = pa.b AND v.gene = u.gene GROUP BY ALL),
+q AS (SELECT grp, quantile_cont(depth, [0.5, 0.1, 0.9]) AS l, quantile_cont(det, [0.5, 0.1, 0.9]) AS t, count(*) AS n_cells, sum(det) AS nz FROM kn GROUP BY 1)
+SELECT q.grp AS context, n_cells, round(1 - nz / (n_cells * k), 6) AS sparsity, round(l[1], 6) AS library_median, round(l[2], 6) AS library_q10, round(l[3], 6) AS library_q90, round(t[1], 6) AS detected_median, round(t[2], 6) AS detected_q10,
+  round(t[3], 6) AS detected_q90, round((SELECT quantile_cont(d, 0.5) FROM di WHERE di.grp = q.grp), 5) AS heterogeneity_median, round((SELECT quantile_cont(d, 0.5) FROM pd WHERE pd.grp = q.grp), 5) AS cosine_distance_median FROM q, g""")
+def spread_within_contexts(spark, sf_dir):
+    values = expression(spark, sf_dir)
+    n = values.select("gene").distinct().count()
+    out = V.spread_summary(cells(spark, sf_dir).select(F.col("context").alias("group"), "cell"), values, n, 79, n=30)
+    last = ("heterogeneity_median", "cosine_distance_median")
+    six = [r6(c).alias(c) for c in ("sparsity", *[f"{a}_{b}" for a in ("library", "detected") for b in ("median", "q10", "q90")])]
+    return out.select(F.col("group").alias("context"), "n_cells", *six, *[F.round(c, 5).alias(c) for c in last])

@@ -122,7 +122,7 @@ def outer_prediction(spark, sf_dir):
 def clean_gamma_prediction(spark, sf_dir):
     """The same with the interaction itself, free of the shared part, as what models are fitted to."""
     out = N.outer_prediction(design(spark, sf_dir, clean=True).cache())
-    return out.select("outer", "perturbation", "pathway", *[r6(c).alias(c) for c in ("b", "r_hat", "predicted")])
+    return out.select("outer", "perturbation", "pathway", *[r6(c).alias(c) for c in ("b", "r_hat", "predicted", "lambda_theory", "predicted_theory")])
 
 
 @query(f"""WITH {BASE}, a AS (SELECT target, perturbation, gene, avg(y) AS a, stddev_pop(y) AS sd, avg(abs(y)) AS mag, avg(h1) AS h1, avg(h2) AS h2 FROM cx JOIN g ON context <> target GROUP BY ALL),

@@ -122,6 +122,8 @@ def test_design_selection_and_prediction_equal_dense(spark, rng, clean):
     picks = {}
     for r in N.nested_selection(rows).collect():
         picks.setdefault(r.outer, {})[r.family, r.alpha, r.lam] = r.score, r.chosen
+    for r in N.outer_prediction(rows).collect():  # three sources: (3 + s) / 4
+        assert np.isclose(r.lambda_theory, (3 + r.scale) / 4) and np.isclose(r.predicted_theory, r.b + (3 + r.scale) / 4 * r.r_hat)
     predicted = {(r.outer, r.perturbation, r.pathway): r.predicted for r in N.outer_prediction(rows).collect()}
     for o in range(C):
         scores, best, want = dense_outer(d, o, clean)

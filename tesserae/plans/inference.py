@@ -9,6 +9,7 @@ from tesserae.operators import aggregate as A
 from tesserae.operators import models as M
 from tesserae.operators import nulls as N
 from tesserae.operators import panels as P
+from tesserae.operators import replicates as E
 from tesserae.operators import resample as R
 from tesserae.operators import stats as T
 from tesserae.operators import structure as V
@@ -222,3 +223,31 @@ def spread_within_contexts(spark, sf_dir):
     last = ("heterogeneity_median", "cosine_distance_median")
     six = [r6(c).alias(c) for c in ("sparsity", *[f"{a}_{b}" for a in ("library", "detected") for b in ("median", "q10", "q90")])]
     return out.select(F.col("group").alias("context"), "n_cells", *six, *[F.round(c, 5).alias(c) for c in last])
+
+
+@query()
+def replicate_anchor(spark, sf_dir):
+    """Half of each market segment's orders scored as a prediction of the other half; tested against scoring the halves one by one."""
+    lab = cells(spark, sf_dir).select("cell", F.col("perturbation").alias("target"))
+    return E.replicate_anchor(lab, expression(spark, sf_dir), CONTROL, 83, ("Brand#11",))
+
+
+COVARIATES = RESP + """, v AS (SELECT context, perturbation, gene, round(delta, 6) AS delta, n_cells, round(avg(delta) OVER (PARTITION BY perturbation, gene), 6) AS mean FROM resp)"""
+
+
+@query(f"""WITH {COVARIATES}, c AS (SELECT perturbation, context, delta - avg(delta) OVER (PARTITION BY gene) AS y, n_cells - avg(n_cells) OVER (PARTITION BY gene) AS x, (context = 'ASIA')::INT - avg((context = 'ASIA')::INT) OVER (PARTITION BY gene) AS s
+  FROM v WHERE context IN ('ASIA', 'EUROPE')), t AS (SELECT sum(s * s) AS ss, sum(x * x) AS xx, sum(s * x) AS sx, sum(s * y) AS sy, sum(x * y) AS xy FROM c)
+SELECT 'ASIA' AS source, round((xx * sy - sx * xy) / (ss * xx - sx * sx), 6) AS contrast FROM t""")
+def source_contrast(spark, sf_dir):
+    """How far ASIA's responses lie from EUROPE's for the same gene, beyond what numbers of cells explain."""
+    r = responses(spark, sf_dir).filter(F.col("context").isin("ASIA", "EUROPE")).withColumn("delta", r6("delta"))
+    return T.fixed_effect_contrasts(r, "gene", "context", "EUROPE", "delta", ["n_cells"]).withColumn("contrast", r6("contrast"))
+
+
+@query()
+def partial_ranks(spark, sf_dir):
+    """Rank correlation of responses with the shared mean, without numbers of cells and names' order; tested against dense inverses."""
+    r = responses(spark, sf_dir)
+    shared = r.groupBy("perturbation", "gene").agg(F.avg("delta").alias("mean"))
+    rows = r.join(shared, ["perturbation", "gene"]).withColumn("size", F.length("gene").cast("double"))
+    return T.partial_rank_correlation(rows, ["context"], "delta", "mean", ["n_cells", "size"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import pearson, r6
 from tesserae.operators import residual as N
+from tesserae.operators.lineage import cut
 from tesserae.plans.base_sql import OBS
 from tesserae.sources.tables import observations, table
 
@@ -39,7 +40,8 @@ def source_statistics(spark, sf_dir):
     ret = F.col("flag") == "R"
     both = obs.groupBy(*keys).agg(
         F.avg("value").alias("delta"), F.count(F.lit(1)).alias("n_cells"), F.sum(F.col("price") / 1000).alias("price"), F.avg(F.when(ret, F.col("value"))).alias("h1"), F.avg(F.when(~ret, F.col("value"))).alias("h2")
-    ).withColumns({"h1": F.coalesce("h1", "delta") - 25, "h2": F.coalesce("h2", "delta") - 25, "y": F.col("delta") - 25}).cache()  # one value a context, perturbation and gene; all that follows reads it
+    ).withColumns({"h1": F.coalesce("h1", "delta") - 25, "h2": F.coalesce("h2", "delta") - 25, "y": F.col("delta") - 25})
+    both = cut(both)  # one value a context, perturbation and gene; all that follows reads it
     y = both.select(*keys, "y")
     stats = both.groupBy("context", "perturbation").agg(
         pearson(F.col("h1"), F.col("h2")).alias("reliability"), F.sum("n_cells").cast("double").alias("cells"), F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("magnitude")
@@ -108,20 +110,20 @@ def residual_features(spark, sf_dir):
 @query()
 def nested_selection(spark, sf_dir):
     """Every model of the grid by outer region, with its score; tested against dense brute force."""
-    return N.nested_selection(design(spark, sf_dir).cache()).withColumn("score", r6("score"))
+    return N.nested_selection(cut(design(spark, sf_dir))).withColumn("score", r6("score"))
 
 
 @query()
 def outer_prediction(spark, sf_dir):
     """Predictions for each region by the model that its sources chose; tested against dense brute force."""
-    out = N.outer_prediction(design(spark, sf_dir).cache())
+    out = N.outer_prediction(cut(design(spark, sf_dir)))
     return out.select("outer", "perturbation", "pathway", *[r6(c).alias(c) for c in ("b", "r_hat", "predicted")])
 
 
 @query()
 def clean_gamma_prediction(spark, sf_dir):
     """The same with the interaction itself, free of the shared part, as what models are fitted to."""
-    out = N.outer_prediction(design(spark, sf_dir, clean=True).cache())
+    out = N.outer_prediction(cut(design(spark, sf_dir, clean=True)))
     return out.select("outer", "perturbation", "pathway", *[r6(c).alias(c) for c in ("b", "r_hat", "predicted", "lambda_theory", "predicted_theory")])
 
 

@@ -181,7 +181,7 @@ def _edited(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_c
     signs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sign"))), lambda x: x["sign"]), "")
     pieces = stored(_faulted(table).groupBy("conv", F.floor(F.col("at") / PIECE).alias("piece")).agg(signs.alias("signature"), *counts))
     # The floor keeps a conversation's pieces in order; a signature has at most PIECE signs.
-    spread = pieces.select("signature").repartition(shuffle_width(rows), "signature").distinct()
+    spread = pieces.select("signature").distinct().repartition(shuffle_width(rows))  # few after the distinct, each dear
     solved = stored(spread.mapInArrow(_solve_all, f"signature string, ways {WAYS}"))
     heads = pieces.join(solved, "signature").select("conv", F.lit(0).alias("kind"), F.col("piece").alias("at"), "ways", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"))
     body = table.select("conv", F.lit(1).alias("kind"), "at", F.lit(None).cast(WAYS).alias("ways"), "role", "text")

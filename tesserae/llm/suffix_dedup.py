@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, id_and_text, shuffle_width, stored
+from tesserae.llm.common import cut, discard, id_and_text, shuffle_width, stored
 from tesserae.llm.shingles import BASE, BYTE, _powers, mix
 
 LENGTH = 200
@@ -527,9 +527,11 @@ def suffix_dedup(
     if hot.isEmpty():
         whole, asked = _settle_in_windows(anchors, split_rows)
     else:
+        anchors = stored(anchors)
         cold = anchors.join(hot.withColumn("hot", F.lit(True)), "ah", "left").filter("done or hot is null").select(*ANCHOR)
         sides = [_settle_in_windows(cold, split_rows), _settle_by_sums(anchors.filter("not done").join(hot, "ah", "left_semi"), split_rows)]
         whole, asked = (x.union(y) for x, y in zip(*sides, strict=True))
+        discard(anchors)  # both sides keep what they need of them
     want = asked.groupBy("t1", "t2").agg(F.collect_list("w").alias("want"))
     one = texts.withColumn("nth", F.row_number().over(Window.partitionBy("t1", "t2").orderBy(F.octet_length("text")))).filter("nth = 1")
     pieces = one.join(want, ["t1", "t2"]).select("t1", "t2", "text", "want").mapInArrow(

@@ -15,6 +15,7 @@ from tesserae.llm.shingles import BYTE, mix
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20  # item text that is searched for at once
+BLOCKS_TOGETHER = 4  # blocks whose tables a task holds, so that one read of the texts serves them all
 PIECE_WORDS = 4096  # words of an item that stay together
 LANE = 512  # bytes of text that one scanning lane covers
 CHUNK = 1 << 20  # bytes of text scanned together
@@ -297,17 +298,18 @@ def _scan_all(sent):
     return run
 
 
-def _scan_block(sent):
-    """Of texts with hits of this block: digest, spans, items."""
+def _scan_blocks(sent: list):
+    """Of texts with hits of these blocks: digest, spans, items. Every block searches a batch before the next batch is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = _searcher(sent.value)
+        searchers = [_searcher(s.value) for s in sent]
         for batch in batches:
-            _, spans, items = searcher.texts(batch["text"])
-            some = pa.array([i for i, s in enumerate(spans) if s], pa.int64())
-            cols = [batch["t1"].take(some), batch["t2"].take(some)]
-            cols += [pa.array(spans, pa.list_(pa.int64())).take(some), pa.array(items, pa.list_(pa.string())).take(some)]
-            yield pa.RecordBatch.from_arrays(cols, names=["t1", "t2", "spans", "items"])
+            for searcher in searchers:
+                _, spans, items = searcher.texts(batch["text"])
+                some = pa.array([i for i, s in enumerate(spans) if s], pa.int64())
+                cols = [batch["t1"].take(some), batch["t2"].take(some)]
+                cols += [pa.array(spans, pa.list_(pa.int64())).take(some), pa.array(items, pa.list_(pa.string())).take(some)]
+                yield pa.RecordBatch.from_arrays(cols, names=["t1", "t2", "spans", "items"])
 
     return run
 
@@ -333,6 +335,7 @@ def decontaminate(
     width: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     piece_words: int = PIECE_WORDS,
+    blocks_together: int = BLOCKS_TOGETHER,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans.
 
@@ -341,8 +344,8 @@ def decontaminate(
 
     Texts are scanned where they are read. Items are cut into overlapping pieces of at most `piece_words` words and the pieces dealt over
     blocks of about block_bytes of text. With one block, the scan gives the result and nothing is shuffled. With more, the
-    texts are scanned once for each block; hits of a block are written to the shared folder before the next one begins, so that
-    driver and tasks hold the tables of one block at a time, and meet by a 128-bit digest of their text.
+    texts are scanned once for every `blocks_together` blocks; hits are written to the shared folder before the next ones begin, so that
+    driver and tasks hold the tables of that many blocks at a time, and meet by a 128-bit digest of their text.
 
     Null or wordless texts have no words and no hits; null or wordless items have no windows. A null item id counts as the
     string None. Repeated items count once by id. Repeated documents and null ids each get a row; other columns of either table
@@ -365,10 +368,11 @@ def decontaminate(
         return rows.mapInArrow(_scan_all(send(0)), f"doc_id {kind}, {RESULT}")
     rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     found = None
-    for k in range(blocks):
-        sent = send(k)
-        hits = cut(rows.select("t1", "t2", "text").mapInArrow(_scan_block(sent), "t1 bigint, t2 bigint, spans array<bigint>, items array<string>"))
-        sent.destroy()
+    for k in range(0, blocks, blocks_together):
+        sent = [send(j) for j in range(k, min(k + blocks_together, blocks))]
+        hits = cut(rows.select("t1", "t2", "text").mapInArrow(_scan_blocks(sent), "t1 bigint, t2 bigint, spans array<bigint>, items array<string>"))
+        for s in sent:
+            s.destroy()
         found = hits if found is None else found.union(hits)
     by_text = found.groupBy("t1", "t2").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
     counted = rows.select("doc_id", "t1", "t2", F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words"))

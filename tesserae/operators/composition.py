@@ -22,11 +22,46 @@ def expected_composition(rows: DataFrame, space: str, amplitude: float | None =
     log2fc multiplies by a power of two; bulk_delta adds to log1p of the scaled profile, not below zero. A target whose shares cannot be
     normalised raises an error.
     """
+    moved = moved_share(F.col("control"), F.col("effect"), space, amplitude, clip)
+    return shares(rows.withColumn("raw", moved), "raw").select("target", "gene", "share")
+
+
+def moved_share(control: Column, effect: Column, space: str, amplitude: float | None = None, clip: float = CLIP) -> Column:
     if space not in AMPLITUDE:
         raise ValueError(f"unknown space {space}")
-    e = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("effect") * (AMPLITUDE[space] if amplitude is None else amplitude)))
-    moved = F.col("control") * F.pow(F.lit(2.0), e) if space == "log2fc" else F.expm1(F.greatest(F.log1p(F.col("control") * BULK_SCALE) + e, F.lit(0.0)))
-    return shares(rows.withColumn("raw", moved), "raw").select("target", "gene", "share")
+    e = F.greatest(F.lit(-clip), F.least(F.lit(clip), effect * (AMPLITUDE[space] if amplitude is None else amplitude)))
+    return control * F.pow(F.lit(2.0), e) if space == "log2fc" else F.expm1(F.greatest(F.log1p(control * BULK_SCALE) + e, F.lit(0.0)))
+
+
+def expected_moments(rows: DataFrame, shrink: DataFrame | None = None, neighbours: DataFrame | None = None) -> DataFrame:
+    """target, gene, cpm_share, bulk_share: the two compositions that a target's counts must meet, from one pass over its effects.
+
+    rows: target, gene, cpm_control, cpm_effect, bulk_control, bulk_effect. shrink: target, factor, which multiplies a target's effects before
+    amplitude and bound; a target without one keeps its effects. neighbours: target, gene, distance; genes next to a target's promoter keep at
+    most their ceiling in either space, and shares sum to one again.
+    """
+    r = rows
+    if shrink is not None:
+        r = r.join(shrink.select("target", "factor"), "target", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    factor = F.col("factor") if shrink is not None else F.lit(1.0)
+    if neighbours is not None:
+        near = neighbours.filter("target != gene").groupBy("target", "gene").agg(F.min("distance").alias("distance"))
+        r = r.join(near, ["target", "gene"], "left")
+    spaces = (("cpm", "log2fc"), ("bulk", "bulk_delta"))
+    raw = {f"{n}_raw": moved_share(F.col(f"{n}_control"), factor * F.col(f"{n}_effect"), space) for n, space in spaces}
+    r = r.withColumns(raw)
+    by = Window.partitionBy("target")
+
+    def normal(column: str) -> Column:
+        total = F.sum(column).over(by)
+        return F.col(column) / F.when(total > 0, total).otherwise(F.raise_error(F.lit("a composition without mass")).cast("double"))
+
+    r = r.withColumns({f"{n}_share": normal(f"{n}_raw") for n, _ in spaces})
+    if neighbours is not None:
+        ceiling = lambda n: F.when(F.col("distance").isNotNull(), neighbour_ceiling(F.col(f"{n}_control"), F.col("distance")))
+        r = r.withColumns({f"{n}_raw": F.least(f"{n}_share", ceiling(n)) for n, _ in spaces})
+        r = r.withColumns({f"{n}_share": normal(f"{n}_raw") for n, _ in spaces})
+    return r.select("target", "gene", "cpm_share", "bulk_share")
 
 
 def shares(rows: DataFrame, value: str) -> DataFrame:

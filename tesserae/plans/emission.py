@@ -48,9 +48,26 @@ ex AS (SELECT target, gene, raw / sum(raw) OVER (PARTITION BY target) AS share,
 
 @query(f"""WITH {EFFECTS} SELECT target, gene, round(share, 9) AS cpm_share, round(share_b, 9) AS bulk_share FROM ex""")
 def expected_composition(spark, sf_dir):
+    e = both_spaces(effects(spark, sf_dir))
+    return P.expected_moments(e).select("target", "gene", *[F.round(c, 9).alias(c) for c in ("cpm_share", "bulk_share")])
+
+
+def both_spaces(e):
+    return e.select("target", "gene", *[F.col(c).alias(f"{n}_{c}") for n in ("cpm", "bulk") for c in ("control", "effect")])
+
+
+@query(f"""WITH {EFFECTS}, f AS (SELECT *, CASE WHEN target = 'BUILDING' THEN 1.0 ELSE length(target) / 20.0 END AS f FROM ef),
+m AS (SELECT target, gene, control, control * pow(2, greatest(-3, least(3, 0.6 * f * effect))) AS a, exp(greatest(ln(1 + 50000 * control) + greatest(-3, least(3, 0.3 * f * effect)), 0)) - 1 AS b,
+  abs(replace(gene, 'Brand#', '')::INT * 700 - length(target) * 1000) AS d FROM f),
+n AS (SELECT *, a / sum(a) OVER (PARTITION BY target) AS sa, b / sum(b) OVER (PARTITION BY target) AS sb, CASE WHEN d <= 5000 THEN control * (0.15 + 0.85 * least(1, greatest(0, log10(greatest(d, 500) / 500.0)))) END AS c FROM m)
+SELECT target, gene, round(coalesce(least(sa, c), sa) / sum(coalesce(least(sa, c), sa)) OVER (PARTITION BY target), 9) AS cpm_share, round(coalesce(least(sb, c), sb) / sum(coalesce(least(sb, c), sb)) OVER (PARTITION BY target), 9) AS bulk_share FROM n""")
+def expected_moments(spark, sf_dir):
+    """Both compositions with effects shrunk by a factor for each target but one, and neighbours' ceilings."""
     e = effects(spark, sf_dir)
-    a, b = (P.expected_composition(e, space).withColumnRenamed("share", name) for space, name in (("log2fc", "cpm_share"), ("bulk_delta", "bulk_share")))
-    return a.join(b, ["target", "gene"]).select("target", "gene", F.round("cpm_share", 9).alias("cpm_share"), F.round("bulk_share", 9).alias("bulk_share"))
+    distance = F.abs(F.replace("gene", F.lit("Brand#"), F.lit("")).cast("int") * 700 - F.length("target") * 1000)
+    near = e.select("target", "gene", distance.alias("distance")).filter("distance <= 5000")
+    factors = e.select("target").distinct().filter("target <> 'BUILDING'").select("target", (F.length("target") / 20.0).alias("factor"))
+    return P.expected_moments(both_spaces(e), factors, near).select("target", "gene", *[F.round(c, 9).alias(c) for c in ("cpm_share", "bulk_share")])
 
 
 @query(f"""WITH {EFFECTS}, d AS (SELECT target, gene, abs(replace(gene, 'Brand#', '')::INT * 700 - length(target) * 1000) AS distance FROM ex),

@@ -34,10 +34,13 @@ def ridge_fit(spark, sf_dir):
     return spark.createDataFrame([(round(float(beta[0]), 4), round(float(beta[1]), 4))], "intercept double, slope double")
 
 
-@query()
+@query("""WITH o AS (SELECT l_quantity AS x, avg(l_extendedprice) AS y FROM lineitem GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY x) AS i FROM o),
+ab AS (SELECT a.i AS a, b.i AS b, avg(c.y) AS m FROM n a JOIN n b ON a.i <= b.i JOIN n c ON c.i BETWEEN a.i AND b.i GROUP BY ALL),
+lo AS (SELECT n.i, ab.a, min(m) AS lo FROM n JOIN ab ON ab.a <= n.i AND ab.b >= n.i GROUP BY ALL), f AS (SELECT i, max(lo) AS fitted FROM lo GROUP BY 1)
+SELECT x, round(y, 4) AS y, round(fitted, 4) AS fitted FROM n JOIN f USING (i)""")  # the greatest of the least means of ranges around a value
 def isotonic_fit(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("x")).agg(F.avg("l_extendedprice").alias("y"))
-    return M.fit_isotonic(o, "x", "y").select("x", r6("y").alias("y"), r6("fitted").alias("fitted"))
+    return M.fit_isotonic(o, "x", "y").select("x", F.round("y", 4).alias("y"), F.round("fitted", 4).alias("fitted"))
 
 
 @query()

@@ -73,7 +73,7 @@ def unseen_evaluation(spark, sf_dir):
     return U.evaluate_unseen(p, r)
 
 
-@query(f"""WITH {RESP}, mm AS (SELECT context, gene, avg(delta) AS m FROM resp GROUP BY ALL), e AS (SELECT context, perturbation, gene, delta, m, delta - m AS e FROM resp JOIN mm USING (context, gene)),
+TIERS = RESP + """, mm AS (SELECT context, gene, avg(delta) AS m FROM resp GROUP BY ALL), e AS (SELECT context, perturbation, gene, delta, m, delta - m AS e FROM resp JOIN mm USING (context, gene)),
 c AS (SELECT DISTINCT context FROM resp), th AS (SELECT t.context AS target, h.context AS held FROM c t, c h WHERE t.context <> h.context),
 i AS (SELECT target, held, context AS src FROM th, c WHERE context NOT IN (target, held)),
 sb AS (SELECT target, held, 1 AS tier, src AS a, src AS b FROM i UNION ALL SELECT x.target, x.held, 2, x.src, y.src FROM i x JOIN i y ON x.target = y.target AND x.held = y.held AND x.src < y.src),
@@ -81,15 +81,20 @@ mh AS (SELECT target, held, gene, avg(m) AS mh FROM i JOIN mm ON context = src G
 er AS (SELECT sb.target, sb.held, tier, sb.a, sb.b, w, avg(pow(tr.delta - mh - w * (x.e + y.e) / 2, 2)) AS err FROM sb JOIN mh ON sb.target = mh.target AND sb.held = mh.held
   JOIN e tr ON tr.context = sb.held AND tr.gene = mh.gene JOIN e x ON x.context = sb.a AND x.gene = mh.gene AND x.perturbation = tr.perturbation
   JOIN e y ON y.context = sb.b AND y.gene = mh.gene AND y.perturbation = tr.perturbation, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) g(w) GROUP BY ALL),
-su AS (SELECT target, held, tier, w, avg(err) AS err FROM er GROUP BY ALL), al AS (SELECT target, tier, w AS weight, avg(err) AS error FROM su GROUP BY ALL)
-SELECT target, tier, weight, round(error, 6) AS error, row_number() OVER (PARTITION BY target, tier ORDER BY round(error, 12), weight) = 1 AS chosen FROM al""")
+su AS (SELECT target, held, tier, w, avg(err) AS err FROM er GROUP BY ALL), al AS (SELECT target, tier, w AS weight, avg(err) AS error FROM su GROUP BY ALL),
+ch AS (SELECT target, tier, weight FROM al QUALIFY row_number() OVER (PARTITION BY target, tier ORDER BY round(error, 12), weight) = 1)"""
+
+
+@query(f"""WITH {TIERS} SELECT target, tier, weight, round(error, 6) AS error, row_number() OVER (PARTITION BY target, tier ORDER BY round(error, 12), weight) = 1 AS chosen FROM al""")
 def tier_shrinkage(spark, sf_dir):
     return S.tier_shrinkage(responses(spark, sf_dir)).withColumn("error", r6("error"))
 
 
-@query()
+@query(f"""WITH {TIERS}, mn AS (SELECT gene, avg(m) AS mh FROM mm WHERE context <> 'ASIA' GROUP BY 1), br AS (SELECT DISTINCT perturbation, CASE WHEN perturbation < 'Brand#15' THEN 2 WHEN perturbation < 'Brand#2' THEN 1 ELSE 0 END AS tier FROM resp),
+bt AS (SELECT perturbation, gene, avg(e) AS beta FROM e JOIN br USING (perturbation) WHERE (tier = 2 AND context IN ('AFRICA', 'EUROPE')) OR (tier = 1 AND context = 'EUROPE') GROUP BY ALL)
+SELECT perturbation, gene, round(mh + coalesce(weight * beta, 0), 6) AS predicted FROM br CROSS JOIN mn LEFT JOIN bt USING (perturbation, gene) LEFT JOIN ch ON ch.target = 'ASIA' AND ch.tier = br.tier""")
 def tier_prediction(spark, sf_dir):
-    """ASIA from what others show: two sources for the first brands, one for some, none for the rest; tested against dense arithmetic."""
+    """ASIA from what others show: two sources for the first brands, one for some, none for the rest."""
     r = responses(spark, sf_dir)
     brand = r.select("perturbation").distinct()
     tier = F.when(F.col("perturbation") < "Brand#15", 2).when(F.col("perturbation") < "Brand#2", 1).otherwise(0)

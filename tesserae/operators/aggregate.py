@@ -116,16 +116,20 @@ def finish_moments(sums: DataFrame) -> DataFrame:
     return sums.withColumns({"mean": mean, "variance": var})
 
 
-def recover_counts(rows: DataFrame, tolerance: float = 0.01, max_quantum: int = 64) -> DataFrame:
+def recover_counts(rows: DataFrame, tolerance: float = 0.01, max_quantum: int = 64, strict: bool = True) -> DataFrame:
     """Whole counts from log1p(counts per ten thousand): cell, gene, count, quantum.
 
     Values over the cell's least one are multiplied by the smallest whole number up to max_quantum that makes all of them whole
-    within the tolerance; a cell without such a number is an error.
+    within the tolerance; a cell without such a number is an error or, where not strict, has no rows. Which numbers suit a value are bits
+    of a few words, which a cell's values share by `and`; no row is made for a trial.
     """
     cell = Window.partitionBy("cell")
     x = rows.withColumn("x", F.expm1("log_cp")).withColumn("x", F.col("x") / F.min("x").over(cell))
-    tried = x.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_quantum))))
-    off = F.abs(F.col("k") * F.col("x") - F.rint(F.col("k") * F.col("x")))
-    fit = tried.groupBy("cell", "k").agg(F.max(off).alias("off")).groupBy("cell").agg(F.min(F.when(F.col("off") <= tolerance, F.col("k"))).alias("quantum"))
-    found = F.when(F.col("quantum").isNull(), F.raise_error(F.lit("counts can not be recovered"))).otherwise(F.col("quantum"))
-    return x.join(fit, "cell").select("cell", "gene", F.rint(F.col("x") * found).cast("bigint").alias("count"), found.alias("quantum"))
+    off = lambda k: F.abs(k * F.col("x") - F.rint(k * F.col("x")))
+    words = [range(a, min(a + 32, max_quantum + 1)) for a in range(1, max_quantum + 1, 32)]
+    suits = [sum((F.when(off(k) <= tolerance, F.lit(1 << (k - ks[0]))).otherwise(F.lit(0)) for k in ks), F.lit(0)).cast("bigint") for ks in words]
+    x = x.withColumns({f"w{i}": s for i, s in enumerate(suits)}).withColumns({f"w{i}": F.bit_and(f"w{i}").over(cell) for i in range(len(words))})
+    lowest = lambda w: F.bit_count(w.bitwiseAND(-w) - 1)
+    quantum = F.coalesce(*[F.when(F.col(f"w{i}") > 0, lowest(F.col(f"w{i}")) + ks[0]) for i, ks in enumerate(words)])
+    fit = x.withColumn("quantum", F.coalesce(quantum, F.raise_error(F.lit("counts can not be recovered")).cast("int")) if strict else quantum)
+    return fit.filter("quantum is not null").select("cell", "gene", F.rint(F.col("x") * F.col("quantum")).cast("bigint").alias("count"), "quantum")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,10 +127,19 @@ def recover_counts(rows: DataFrame, tolerance: float = 0.01, max_quantum: int =
     """
     cell = Window.partitionBy("cell")
     x = rows.withColumn("x", F.expm1("log_cp")).withColumn("x", F.col("x") / F.min("x").over(cell))
-    off = lambda k: F.abs(k * F.col("x") - F.rint(k * F.col("x")))
     words = [range(a, min(a + 32, max_quantum + 1)) for a in range(1, max_quantum + 1, 32)]
-    suits = [sum((F.when(off(k) <= tolerance, F.lit(1 << (k - ks[0]))).otherwise(F.lit(0)) for k in ks), F.lit(0)).cast("bigint") for ks in words]
-    x = x.withColumns({f"w{i}": s for i, s in enumerate(suits)}).withColumns({f"w{i}": F.bit_and(f"w{i}").over(cell) for i in range(len(words))})
+
+    def suits(ks: range) -> Column:
+        @F.pandas_udf("bigint")
+        def bits(x: pd.Series) -> pd.Series:
+            v, out = x.to_numpy(), np.zeros(len(x), dtype=np.int64)
+            for k in ks:
+                out |= (np.abs(k * v - np.rint(k * v)) <= tolerance).astype(np.int64) << (k - ks[0])
+            return pd.Series(out)
+
+        return bits("x")
+
+    x = x.withColumns({f"w{i}": suits(ks) for i, ks in enumerate(words)}).withColumns({f"w{i}": F.bit_and(f"w{i}").over(cell) for i in range(len(words))})
     lowest = lambda w: F.bit_count(w.bitwiseAND(-w) - 1)
     quantum = F.coalesce(*[F.when(F.col(f"w{i}") > 0, lowest(F.col(f"w{i}")) + ks[0]) for i, ks in enumerate(words)])
     fit = x.withColumn("quantum", F.coalesce(quantum, F.raise_error(F.lit("counts can not be recovered")).cast("int")) if strict else quantum)

@@ -56,15 +56,30 @@ def subsample(cells: DataFrame, group: list[str], wanted: DataFrame, seed: int)
     return s.join(wanted, group).filter(F.col("nth") <= F.col("n")).drop("nth", "size", "n")
 
 
-def bootstrap_ratio(rows: DataFrame, num: str, den: str, draws: int, seed: int) -> DataFrame:
-    """One row: estimate, low and high of 1 - sum(num) / sum(den) over resampled rows (pos from 0 to n - 1).
+SLOTS = 65_536  # slots of a draw that one row stands for until a task lists them
+
 
-    Each draw takes n rows by hash; draws are rows of a table, so they spread over tasks.
+def slots(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """draw, pos: as many positions from 0 to n - 1 for each draw as there are rows, by hash.
+
+    Spark takes the size of rows that are exploded for that of the few that they come from. Joined with rows of a table, they would be
+    sent whole to the driver and every task; the hint has both sides meet by a shuffle instead.
     """
     n = rows.agg(F.count(F.lit(1)).alias("n"))
-    picks = n.crossJoin(rows.sparkSession.range(draws).withColumnRenamed("id", "draw")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    each = F.broadcast(n).crossJoin(rows.sparkSession.range(draws).withColumnRenamed("id", "draw"))
+    runs = each.filter("n > 0").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(SLOTS).cast("bigint"))))
+    last = F.least(F.col("first") + SLOTS, F.col("n")) - 1
     key = draw_key(seed, F.col("draw").cast("string"), F.col("slot").cast("string"))
-    taken = picks.withColumn("pos", draw_index(key, F.col("n"))).join(rows, "pos")
+    listed = runs.withColumn("slot", F.explode(F.sequence(F.col("first"), last)))
+    return listed.select("draw", draw_index(key, F.col("n")).alias("pos")).hint("merge")
+
+
+def bootstrap_ratio(rows: DataFrame, num: str, den: str, draws: int, seed: int) -> DataFrame:
+    """One row: estimate, low and high of 1 - sum(num) / sum(den) over resampled rows (pos from 0 to n - 1).
+
+    Each draw takes n rows by hash; draws and slots are rows of a table, so they spread over tasks.
+    """
+    taken = slots(rows, draws, seed).join(rows, "pos")
     per = taken.groupBy("draw").agg((1 - F.sum(num) / F.sum(den)).alias("m"))
     ends = per.agg(F.expr("percentile(m, array(0.025, 0.975))").alias("q"))
     point = rows.agg((1 - F.sum(num) / F.sum(den)).alias("estimate"))

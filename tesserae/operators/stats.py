@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import draw_index, draw_key, pearson
+from tesserae.functions.scalars import pearson
 from tesserae.operators.models import gram
+from tesserae.operators.resample import slots
 from tesserae.operators.similarity import average_rank
 
 
@@ -201,10 +202,7 @@ def paired_rank_difference(rows: DataFrame, draws: int, seed: int) -> DataFrame:
     rows: pos from 0 to n - 1, score, other, q. A draw takes n positions by hash; draws are groups of a table.
     """
     full = rows.dropna(subset=["score", "other", "q"])
-    n = full.agg(F.count(F.lit(1)).alias("n"))
-    slots = n.crossJoin(rows.sparkSession.range(draws).withColumnRenamed("id", "draw")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = draw_index(draw_key(seed, F.col("draw").cast("string"), F.col("slot").cast("string")), F.col("n"))
-    taken = slots.select("draw", at.alias("pos")).join(full, "pos").select("draw", "score", "other", "q")
+    taken = slots(full, draws, seed).join(full, "pos").select("draw", "score", "other", "q")
     both = taken.union(full.select(F.lit(-1).cast("bigint").alias("draw"), "score", "other", "q"))
     ranked = both.withColumns({f"r_{c}": average_rank(["draw"], c) for c in ("score", "other", "q")})
     per = ranked.groupBy("draw").agg((pearson(F.col("r_score"), F.col("r_q")) - F.abs(pearson(F.col("r_other"), F.col("r_q")))).alias("d"))

@@ -397,3 +397,30 @@ def test_estimators_see_no_target_values_off_anchors(spark, rng):
     hidden = df.withColumn("delta", F.when((F.col("context") == "c0") & ~F.col("perturbation").isin("p0", "p1", "p2"), 1e6).otherwise(F.col("delta")))
     a, b = (sorted(tuple(r) for r in B.anchored(B.source_view(d, "c0"), anchors).select("perturbation", "gene", "e0", "e0s", "e1", "e2").collect()) for d in (df, hidden))
     assert a == b
+
+
+def test_slots_are_never_broadcast(spark):
+    """Spark takes exploded slots for a few bytes; beyond its threshold they would be gathered by the driver."""
+    rows = spark.range(150_000).select(F.col("id").alias("pos"), (F.col("id") % 7 + 1.0).alias("num"), (F.col("id") % 5 + 9.0).alias("den"))
+    taken = R.slots(rows, 3, 29).join(rows, "pos")
+    plan = taken._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {tuple(r) for r in taken.groupBy("draw").count().collect()} == {(d, 150_000) for d in range(3)}  # a draw is listed in runs
+    assert R.slots(rows.limit(0), 3, 29).count() == 0
+
+
+def test_drawn_counts_of_many_cells_leave_a_task_together(spark, monkeypatch):
+    sizes = []
+    made = spark.range(0, 300, 1, 1).select(F.lit("t").alias("target"), F.col("id").alias("cell"), F.lit(30.0).alias("depth"), F.array(*map(F.lit, "abcd")).alias("genes"), F.array(*map(F.lit, (0.1, 0.2, 0.3, 0.4))).alias("shares"))
+    of = {}
+    monkeypatch.setattr(type(made), "mapInPandas", lambda df, f, schema: of.update(f=f) or df)
+    for kind in G.KINDS:
+        G.draw_counts(made, kind, 3)
+        out = list(of["f"](iter([made.toPandas(), made.limit(0).toPandas()])))
+        sizes.append(len(out))
+        got = {(r.cell, r.gene): r.value for r in out[0].itertuples()}
+        for cell in (0, 299):
+            rng, p = np.random.default_rng(G.seed_of(3, "t", cell)), np.array([0.1, 0.2, 0.3, 0.4]) / np.sum([0.1, 0.2, 0.3, 0.4])
+            x = {"multinomial": lambda: rng.multinomial(30, p), "gamma_poisson": lambda: rng.poisson(30.0 * p * rng.gamma(5.0, 0.2, 4)), "binomial": lambda: rng.binomial(30, p)}[kind]()
+            assert {g: v for (c, g), v in got.items() if c == cell} == {g: v for g, v in zip("abcd", x, strict=True) if v}
+    assert sizes == [1, 1, 1]

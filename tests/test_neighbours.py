@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tesserae.operators import neighbours as N
 from tesserae.operators.neighbours import exact_nearest, searched
 
 SCHEMA = "id long, vec array<double>"
@@ -47,3 +49,18 @@ def test_without_references_or_queries(spark):
     q = frame(spark, {1: np.ones(3)})
     assert exact_nearest(q, spark.createDataFrame([], SCHEMA), 3).count() == 0
     assert exact_nearest(spark.createDataFrame([], SCHEMA), q, 3).count() == 0
+
+
+def test_tasks_hold_few_queries_and_hand_on_few_rows(spark, monkeypatch):
+    """Every query asks every part: the rows for that leave a task in pieces, and queries meet a part in turns."""
+    monkeypatch.setattr(N, "ASKING", 9)
+    rng = np.random.default_rng(4)
+    r = dict(enumerate(rng.normal(size=(400, 6))))
+    q = {i: v for i, v in r.items() if i % 10 == 0}
+    s = N.Search(frame(spark, q), frame(spark, r), 3, 6, 4, 20)
+    assert s.turns == 5
+    asked = s.asked(s.query, True).union(s.asked(s.later(s.matched(s.asked(s.query, True))), False))
+    assert asked.count() > N.TOGETHER
+    assert asked.groupBy("cluster", "part", "turn").count().agg(F.max("count")).first()[0] < 20
+    got = exact_nearest(frame(spark, q), frame(spark, r), 3, centres=4, block=20).collect()
+    assert {(x.query_id, x.ref_id, x.position, round(x.cos, 6) + 0.0) for x in got} == brute(q, r, 3)

@@ -9,22 +9,26 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import cosine, draw_key, pearson, ratio
 
-BLOCK = 1024  # vectors that are compared together
+HELD_BYTES = 2**23  # bytes of the vectors of a block
+TOGETHER = 256  # predictions whose distances to a block are held at once
 TIERS = (2, 1, 0)  # fixed values: how many sources support a target
 
 
-def discrimination(predicted: DataFrame, truth: DataFrame, group: list[str], match: str = "id", digits: int = 9, block: int = BLOCK) -> DataFrame:
+def discrimination(predicted: DataFrame, truth: DataFrame, group: list[str], match: str = "id", digits: int = 9, block: int | None = None) -> DataFrame:
     """group..., id, score: 1 - (closer + half of the other ties) / (n - 1), over the n true vectors of the group by cosine distance.
 
     predicted: group..., id, vec and the column `match`, the id of the true vector that each is for; truth: group..., id, vec. A
     vector meets its own match by a join; blocks of both sides then count in memory how many others are closer or as close
     (distances rounded to `digits`), and the counts add up. Vectors without length have cosine 0. One true vector gives null.
+    A block has as many vectors as HELD_BYTES hold, unless `block` says. Each side is copied once for each block of the other, so
+    that few predictions copy the truth seldom.
     """
-    spark = predicted.sparkSession
     keys = [F.col(g).alias(g) for g in group]  # columns of its own for each side
     size = truth.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    most = size.agg(F.max("n")).first()[0] or 0
-    parts = max(1, -(-most // block))
+    most = truth.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).agg(F.max("n"), F.max("width")).first()
+    asked = predicted.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    block = block or max(1, HELD_BYTES // (8 * max(most[1] or 1, 1)))
+    true_parts, parts = max(1, -(-(most[0] or 0) // block)), max(1, -(-asked // block))
 
     def unit(vec: str):
         norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, v: s + v * v))
@@ -34,10 +38,10 @@ def discrimination(predicted: DataFrame, truth: DataFrame, group: list[str], mat
     t = truth.select(*keys, F.col("id").alias("true_id"), unit("vec").alias("v"))
     dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     own = p.join(t.withColumnRenamed("true_id", "own_id"), [*group, "own_id"]).withColumn("own", F.round(1 - dot, digits)).drop("v")
-    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    every = spark.range(parts).select(F.col("id").cast("int").alias("other"))
-    left = own.withColumn("pp", hashed("id")).crossJoin(F.broadcast(every.withColumnRenamed("other", "tp")))  # a number of parts
-    right = t.withColumn("tp", hashed("true_id")).crossJoin(F.broadcast(every.withColumnRenamed("other", "pp")))
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.withColumn("pp", hashed("id", parts)).withColumn("tp", each(true_parts))
+    right = t.withColumn("tp", hashed("true_id", true_parts)).withColumn("pp", each(parts))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*group, "id").schema)
 
     def count(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -46,12 +50,12 @@ def discrimination(predicted: DataFrame, truth: DataFrame, group: list[str], mat
         closer, tied = np.zeros(len(q)), np.zeros(len(q))
         if len(r):
             y, names = np.array(r["v"].tolist()), r["true_id"].to_numpy()
-            for a in range(0, len(q), BLOCK):
-                part = q.iloc[a : a + BLOCK]
+            for a in range(0, len(q), TOGETHER):
+                part = q.iloc[a : a + TOGETHER]
                 d = np.round(1 - np.array(part["u"].tolist()) @ y.T, digits)
                 mine, others = part["own"].to_numpy()[:, None], names[None, :] != part["own_id"].to_numpy()[:, None]
-                closer[a : a + BLOCK] = ((d < mine) & others).sum(axis=1)
-                tied[a : a + BLOCK] = ((d == mine) & others).sum(axis=1)
+                closer[a : a + TOGETHER] = ((d < mine) & others).sum(axis=1)
+                tied[a : a + TOGETHER] = ((d == mine) & others).sum(axis=1)
         return q[[*group, "id"]].assign(closer=closer, tied=tied)
 
     cells = [*group, "pp", "tp"]

@@ -58,3 +58,15 @@ def test_mixed_panel_equals_dense(spark):
                 ((pred - t) ** 2).mean(), 1 - ((pred - t) ** 2).sum() / (t**2).sum(), dense(pred[:, kept], t[:, kept]).mean(),
             ]
             assert np.allclose([r.pearson_median, r.cosine_median, r.mse_mean, r.energy_explained, r.pds_mean], want)
+
+
+def test_few_predictions_do_not_copy_the_truth(spark):
+    """Shuffled bytes: the truth once for each block of predictions, of which there is one here, not for each block of its own."""
+    rng = np.random.default_rng(8)
+    true = spark.createDataFrame([("a", f"p{i}", f"p{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 32)))], SCHEMA)
+    few = true.filter("id in ('p3', 'p7', 'p1999')")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: store.executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert {r.score for r in discrimination(few, true, ["g"], "own", block=100).collect()} == {1.0}
+    assert written() - before < 5 * 2000 * 32 * 8

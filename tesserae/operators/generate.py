@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BLOCK = 8192  # cells of a block whose counts are held at once
+HANDED_ON = 65_536  # counts of several cells that a task hands on at once
 KINDS = ("multinomial", "gamma_poisson", "binomial")
 
 
@@ -53,8 +54,14 @@ def draw_counts(profiles: DataFrame, kind: str, seed: int, dispersion: float = 0
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind}")
 
+    def together(drawn):
+        target, cell, gene, value = zip(*drawn, strict=True)
+        size = [len(v) for v in value]
+        return pd.DataFrame({"target": np.repeat(np.array(target, dtype=object), size), "cell": np.repeat(np.array(cell), size), "gene": np.concatenate(gene), "value": np.concatenate(value).astype("int64")})
+
     def draw(batches):
         for b in batches:
+            drawn, held = [], 0
             for target, cell, depth, genes, shares in b[["target", "cell", "depth", "genes", "shares"]].itertuples(index=False):
                 rng = np.random.default_rng(seed_of(seed, target, cell))
                 p = np.maximum(np.asarray(shares, dtype=float), 0)
@@ -66,7 +73,13 @@ def draw_counts(profiles: DataFrame, kind: str, seed: int, dispersion: float = 0
                 else:
                     x = rng.binomial(int(depth), np.minimum(p, 1))
                 at = np.flatnonzero(x)
-                yield pd.DataFrame({"target": target, "cell": cell, "gene": np.asarray(genes, dtype=object)[at], "value": x[at].astype("int64")})
+                drawn.append((target, cell, np.asarray(genes, dtype=object)[at], x[at]))
+                held += len(at)
+                if held >= HANDED_ON:
+                    yield together(drawn)
+                    drawn, held = [], 0
+            if drawn:
+                yield together(drawn)
 
     return profiles.mapInPandas(draw, "target string, cell long, gene string, value long")
 

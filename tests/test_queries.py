@@ -49,3 +49,9 @@ def test_query_without_sql_runs(spark, name):
 def test_flagship_shares_sum_to_one(spark):
     r = catalog.flagship(spark, "/root/testdata/sf0.001").first()
     assert abs(r.mu_share + r.alpha_share + r.beta_share + r.gamma_share - 1) < 1e-5
+
+
+@pytest.mark.parametrize(("name", "scans"), [("per_gene_ridge", 0), ("anchored_estimators", 0), ("metric_terms", 2), ("mixed_panel_score", 0), ("spread_within_contexts", 0)])
+def test_steps_read_what_is_kept_and_not_the_lines_again(spark, name, scans):
+    leaves = catalog.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert sum("l_quantity" in leaves.apply(i).toString() for i in range(leaves.size())) <= scans

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import draw_index, draw_key, log2_fold_change, pearson, r6
+from tesserae.functions.scalars import draw_key, log2_fold_change, pearson, r6
 from tesserae.operators import aggregate as A
 from tesserae.operators import calibration as B
 from tesserae.operators import resample as R
+from tesserae.operators.lineage import cut
 from tesserae.plans.base_sql import CELLS, OBS, RESP
 from tesserae.plans.decomposition import HALVES, half_responses
 from tesserae.plans.scoring import sql_pearson
@@ -40,8 +41,9 @@ s2 AS (SELECT sum((y - yk) * (a - ak)) / sum((a - ak) * (a - ak)) AS s2 FROM e1
 est AS (SELECT perturbation, gene, a AS e0, e0s, e0s + off AS e1, yk - s2 * atk + s2 * (a - t) AS e2, a, y, k FROM e1, s2)"""
 
 
-def estimates(spark, sf_dir):
-    view = B.source_view(responses(spark, sf_dir), "ASIA")
+def estimates(spark, sf_dir, resp=None):
+    """resp: the responses where a query reads them for more than this. All steps read the grid from where it is kept, not the lines."""
+    view = B.source_view(cut(responses(spark, sf_dir)) if resp is None else resp, "ASIA")
     labels = view.select("perturbation").distinct()
     order = Window.orderBy(draw_key(53, F.col("perturbation")), "perturbation")  # the label axis, not the data
     anchors = labels.withColumn("nth", F.row_number().over(order)).filter("nth <= 6").select("perturbation")
@@ -128,10 +130,8 @@ def cluster_bootstrap_slope(spark, sf_dir):
     d = responses(spark, sf_dir).select("perturbation", (F.col("delta") - F.avg("delta").over(own)).alias("y"), (F.col("n_cells") - F.avg("n_cells").over(own)).alias("x"))
     k = d.groupBy("perturbation").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"))
     k = k.withColumn("pos", (F.row_number().over(Window.orderBy("perturbation")) - 1).cast("bigint"))  # one row a cluster
-    n = k.agg(F.count(F.lit(1)).alias("n"))
-    picks = n.crossJoin(spark.range(200).withColumnRenamed("id", "b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    drawn = picks.withColumn("pos", draw_index(draw_key(61, F.col("b").cast("string"), F.col("s").cast("string")), F.col("n"))).join(k, "pos")
-    q = drawn.groupBy("b").agg((F.sum("xy") / F.sum("xx")).alias("m")).agg(F.expr("percentile(m, array(0.025, 0.975))").alias("q"))
+    drawn = R.slots(k, 200, 61).join(k, "pos")
+    q = drawn.groupBy("draw").agg((F.sum("xy") / F.sum("xx")).alias("m")).agg(F.expr("percentile(m, array(0.025, 0.975))").alias("q"))
     one = k.agg((F.sum("xy") / F.sum("xx")).alias("slope"))
     return one.crossJoin(q).select(F.round("slope", 8).alias("slope"), F.round(F.col("q")[0], 8).alias("low"), F.round(F.col("q")[1], 8).alias("high"))
 
@@ -250,12 +250,12 @@ def basal_similarity_weights(spark, sf_dir):
 
 def source_vectors(spark, sf_dir):
     """gene, perturbation, sources ARRAY (other contexts by name), y, is_anchor, s."""
-    r = responses(spark, sf_dir)
+    r = cut(responses(spark, sf_dir))
     gene = Window.partitionBy("context", "gene")
     c = r.filter("context != 'ASIA'").withColumn("x", F.col("delta") - F.avg("delta").over(gene))
     packed = c.groupBy("perturbation", "gene").agg(F.array_sort(F.collect_list(F.struct("context", "x"))).alias("p"))
-    e = estimates(spark, sf_dir).select("perturbation", "gene", "y", "is_anchor", "s")
-    return packed.select("perturbation", "gene", F.col("p.x").alias("sources")).join(e, ["perturbation", "gene"])
+    e = estimates(spark, sf_dir, r).select("perturbation", "gene", "y", "is_anchor", "s")
+    return cut(packed.select("perturbation", "gene", F.col("p.x").alias("sources")).join(e, ["perturbation", "gene"]))
 
 
 @query()

@@ -119,20 +119,28 @@ def jackknife(cells: DataFrame, target: float = 5e4) -> DataFrame:
     """group, variance: the sum over genes of the delete-one jackknife variance over cells of the bulk profile
     log1p(target * total / depth); 0 for fewer than two cells or where one cell holds all depth.
 
-    cells: group, cell, depth, gene, value, zeros not stored. What a gene's profile is without a cell that lacks it depends on that cell's
-    depth only, so these terms are taken once for each different depth of a group and corrected at stored values.
+    cells: group, cell, depth, gene, value, zeros not stored.
     """
-    group = cells.select("group", "cell", "depth").distinct()
-    whole = group.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("s"), F.max("depth").alias("top"))
+    depths = cells.select("group", "cell", "depth").distinct().groupBy("group", "depth").agg(F.count(F.lit(1)).alias("m"))
+    return jackknife_counts(depths, cells.groupBy("group", "gene", "depth", "value").agg(F.count(F.lit(1)).alias("m")), target)
+
+
+def jackknife_counts(depths: DataFrame, entries: DataFrame, target: float = 5e4) -> DataFrame:
+    """What `jackknife` returns, from how often things are there: depths group, depth, m cells; entries group, gene, depth, value, m.
+
+    What a gene's profile is without a cell depends on that cell's depth and value only, and without one that lacks the gene on its
+    depth only, so these terms are taken once for each different depth of a group and corrected at different stored values.
+    """
+    m = F.col("m")
+    whole = depths.groupBy("group").agg(F.sum("m").alias("n"), F.sum(m * F.col("depth")).alias("s"), F.max("depth").alias("top"))
     usable = whole.filter("n > 1 and s > top")
-    depths = group.groupBy("group", "depth").agg(F.count(F.lit(1)).alias("m"))
-    totals = cells.groupBy("group", "gene").agg(F.sum("value").alias("t")).join(usable, "group")
+    totals = entries.groupBy("group", "gene").agg(F.sum(m * F.col("value")).alias("t")).join(usable, "group")
     # Distances from the whole profile, which are small, keep the digits that squares of the profiles would lose.
     away = lambda v: F.log1p(target * (F.col("t") - v) / (F.col("s") - F.col("depth"))) - F.log1p(target * F.col("t") / F.col("s"))
     lacking = totals.join(depths, "group").withColumn("x", away(F.lit(0.0)))
-    lacking = lacking.groupBy("group", "gene").agg(F.sum(F.col("m") * F.col("x")).alias("a"), F.sum(F.col("m") * F.col("x") * F.col("x")).alias("aa"))
+    lacking = lacking.groupBy("group", "gene").agg(F.sum(m * F.col("x")).alias("a"), F.sum(m * F.col("x") * F.col("x")).alias("aa"))
     x, y = away(F.col("value")), away(F.lit(0.0))
-    stored = cells.join(totals, ["group", "gene"]).groupBy("group", "gene", "n").agg(F.sum(x - y).alias("b"), F.sum(x * x - y * y).alias("bb"))
+    stored = entries.join(totals, ["group", "gene"]).groupBy("group", "gene", "n").agg(F.sum(m * (x - y)).alias("b"), F.sum(m * (x * x - y * y)).alias("bb"))
     both = stored.join(lacking, ["group", "gene"]).withColumn("total", F.col("a") + F.col("b"))
     spread = F.col("aa") + F.col("bb") - F.col("total") * F.col("total") / F.col("n")
     per = both.groupBy("group").agg(F.sum((F.col("n") - 1) / F.col("n") * spread).alias("v"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.scalars import ratio
 from tesserae.operators.aggregate import bulk_profile
 from tesserae.operators.calibration import expression_error
-from tesserae.operators.generate import jackknife
+from tesserae.operators.generate import jackknife_counts
 from tesserae.operators.lineage import cut
 from tesserae.operators.panels import discrimination
 from tesserae.operators.resample import halves
@@ -18,25 +18,26 @@ from tesserae.operators.stats import adjust, normal_tails, rank_sums
 MIN_CPM, P_ADJUSTED, PURITY, GATE, FLOOR = 5.0, 0.05, 0.9, 10, 1e-9
 
 
-def tested_genes(rows: DataFrame, control: str) -> DataFrame:
-    """half, gene: what the control cells of each half express enough of. rows: half, target, cell, depth, gene, value."""
-    own = rows.filter(F.col("target") == control)
-    n = own.select("half", "cell").distinct().groupBy("half").agg(F.count(F.lit(1)).alias("n"))
-    cpm = own.groupBy("half", "gene").agg(F.sum(1e6 * F.col("value") / F.col("depth")).alias("s"))
+def tested_genes(entries: DataFrame, control: str) -> DataFrame:
+    """half, gene: what the control cells of each half express enough of. entries: half, target, gene, depth, value, m, starts."""
+    own = entries.filter(F.col("target") == control)
+    n = own.groupBy("half").agg(F.sum("starts").alias("n"))
+    cpm = own.groupBy("half", "gene").agg(F.sum(F.col("m") * (1e6 * F.col("value") / F.col("depth"))).alias("s"))
     return cpm.join(n, "half").filter(F.col("s") / F.col("n") > MIN_CPM).select("half", "gene")
 
 
-def tested_table(rows: DataFrame, half: int, control: str, genes: DataFrame) -> DataFrame:
+def tested_table(entries: DataFrame, half: int, control: str, genes: DataFrame) -> DataFrame:
     """target, gene, p, p_adj, lfc: a half's groups against its own control by rank sums of counts per million, over the given genes."""
-    own = rows.filter(F.col("half") == half).select("target", "cell", "gene", F.round(1e6 * F.col("value") / F.col("depth"), 6).alias("value"))
+    mine = entries.filter(F.col("half") == half)
+    own = mine.select("target", "gene", F.round(1e6 * F.col("value") / F.col("depth"), 6).alias("value"), "m")
     is_control = F.col("target") == control
-    sizes = rows.filter(F.col("half") == half).select("target", "cell").distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n1"))
+    sizes = mine.groupBy("target").agg(F.sum("starts").alias("n1"))
     n0 = sizes.filter(is_control).select(F.col("n1").alias("n0"))
     targets = sizes.filter(~is_control)
     kept = own.join(F.broadcast(genes), "gene")  # an axis of genes
-    z = rank_sums(kept.filter(~is_control).select("target", "gene", "value"), kept.filter(is_control).select("gene", "value"), targets, n0, genes)
+    z = rank_sums(kept.filter(~is_control), kept.filter(is_control).drop("target"), targets, n0, genes, "m")
     p = F.when(F.col("z") > 0, normal_tails("z")).otherwise(1.0)
-    sums = kept.groupBy("target", "gene").agg(F.sum("value").alias("s"))
+    sums = kept.groupBy("target", "gene").agg(F.sum(F.col("m") * F.col("value")).alias("s"))
     base = sums.filter(is_control).crossJoin(F.broadcast(n0)).select("gene", (F.col("s") / F.col("n0")).alias("m0"))
     out = adjust(z.withColumn("p", F.coalesce(p, F.lit(1.0))), ["target"]).join(targets, "target").join(sums, ["target", "gene"], "left").join(base, "gene", "left")
     mean = F.coalesce("s", F.lit(0.0)) / F.col("n1")
@@ -71,20 +72,26 @@ def replicate_anchor(cells: DataFrame, values: DataFrame, control: str, seed: in
     plays the prediction, the second the truth, each against the control of its own half. The half is one more level of every
     grouping, so profiles, their jackknife and depths come from one pass; genes that the second half's control has tested
     are tested in both. Genes in `exclude` do not count for discrimination, a target's own gene not for its tests and error.
+    All of these need a value and its cell's depth, not the cell, so the pass leaves how often each such entry is there, and how many
+    cells have their first entry among these.
     """
-    depth = values.groupBy("cell").agg(F.sum("value").alias("depth"))
+    own = Window.partitionBy("cell").orderBy(F.desc("value"))
+    depth = F.sum("value").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    there = values.withColumns({"depth": depth, "nth": F.row_number().over(own)}).filter("value > 0")
     parts = halves(cells.select("cell", "target"), ["target"], seed, drop_odd=False)
-    rows = values.filter("value > 0").join(depth, "cell").join(parts, "cell").select("half", "target", "cell", "depth", "gene", "value")
-    rows = cut(rows)  # all that follows reads it
-    genes = tested_genes(rows, control).filter("half = 1").select("gene")
-    tests = tested_members(tested_table(rows, 0, control, genes), tested_table(rows, 1, control, genes))
+    entries = there.join(parts, "cell").groupBy("half", "target", "gene", "depth", "value")
+    entries = cut(entries.agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("nth") == 1).alias("starts")))  # all that follows reads it
+    genes = cut(tested_genes(entries, control).filter("half = 1").select("gene"))
+    tests = tested_members(*[cut(tested_table(entries, half, control, genes)) for half in (0, 1)])
 
-    totals = rows.groupBy("half", "target", "gene").agg(F.sum("value").alias("total"))
+    totals = cut(entries.groupBy("half", "target", "gene").agg(F.sum(F.col("m") * F.col("value")).alias("total")))
     grid = totals.select("half", "target").distinct().crossJoin(totals.select("gene").distinct())  # axes
     profile = bulk_profile(grid.join(totals, ["half", "target", "gene"], "left").na.fill(0.0, ["total"]), ["half", "target"])
     one = lambda half, of_control, name: profile.filter((F.col("half") == half) & ((F.col("target") == control) == F.lit(of_control))).select("target", "gene", F.col("bulk").alias(name))
     wide = cut(one(0, False, "p").join(one(1, False, "r"), ["target", "gene"]).join(one(1, True, "c").drop("target"), "gene"))
-    spread = jackknife(rows.select(F.concat_ws(":", "half", "target").alias("group"), "cell", "depth", "gene", "value"))
+    grouped = entries.withColumn("group", F.concat_ws(":", "half", "target"))
+    depths = grouped.filter("starts > 0").groupBy("group", "depth").agg(F.sum("starts").alias("m"))
+    spread = cut(jackknife_counts(depths, grouped.select("group", "gene", "depth", "value", "m")))  # a row a group
     half, target = F.substring("group", 1, 1), F.expr("substring(group, 3)")
     spread = spread.select(half.alias("half"), target.alias("target"), "variance")
     cp, cr = (spread.filter((F.col("half") == h) & (F.col("target") != control)).select("target", F.col("variance").alias(n)) for h, n in (("0", "cp"), ("1", "cr")))

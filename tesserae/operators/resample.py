@@ -22,13 +22,28 @@ def shuffled(rows: DataFrame, group: list[str], key: Column) -> DataFrame:
     ).drop("draw")
 
 
+PREFIX = 4  # digits of a key whose cells are counted together
+
+
 def halves(cells: DataFrame, group: list[str], seed: int, drop_odd: bool = True) -> DataFrame:
-    """Adds half, 0 or 1, at random within each group; an odd cell is dropped, or kept in the second half."""
-    s = shuffled(cells, group, draw_key(seed, *[F.col(c).cast("string") for c in group], F.col("cell").cast("string")))
-    half = F.floor(F.col("size") / 2)
-    code = F.when(F.col("nth") <= half, 0)
-    code = code.when(F.col("nth") <= 2 * half, 1) if drop_odd else code.otherwise(1)
-    return s.withColumn("half", code).filter("half is not null").drop("nth", "size")
+    """Adds half, 0 or 1, at random within each group; an odd cell is dropped, or kept in the second half.
+
+    A group may be most of the table, so it is not put in order as one: cells are counted by the first digits of their keys, which are as
+    good as uniform, and only those that share these digits with the last cell of a half are ordered.
+    """
+    of, key = F.struct(*group), F.struct("draw", "cell")  # as structs, nulls are equal
+    drawn = cells.withColumns({"of": of, "draw": draw_key(seed, *[F.col(c).cast("string") for c in group], F.col("cell").cast("string"))})
+    drawn = drawn.withColumn("digits", F.substring("draw", 1, PREFIX))
+    n, own = drawn.groupBy("of", "digits").agg(F.count(F.lit(1)).alias("n")), Window.partitionBy("of")
+    n = n.withColumns({"upto": F.sum("n").over(own.orderBy("digits")), "half": F.floor(F.sum("n").over(own) / 2)}).withColumn("before", F.col("upto") - F.col("n"))
+    last = lambda k: (F.col("before") < k * F.col("half")) & (F.col("upto") >= k * F.col("half"))
+    near = drawn.select("of", "digits", key.alias("key")).join(F.broadcast(n.filter(last(1) | last(2))), ["of", "digits"])  # two rows a group
+    near = near.withColumn("nth", F.col("before") + F.row_number().over(Window.partitionBy("of", "digits").orderBy("key")))
+    ends = near.groupBy("of").agg(*[F.max(F.when(F.col("nth") == k * F.col("half"), F.col("key"))).alias(f"end{k}") for k in (1, 2)])
+    code = F.when(key <= F.col("end1"), 0)
+    code = code.when(key <= F.col("end2"), 1) if drop_odd else code.otherwise(1)
+    out = drawn.join(F.broadcast(ends), "of", "left").withColumn("half", code)  # a row a group
+    return out.filter("half is not null").select(*cells.columns, "half")
 
 
 def three_parts(cells: DataFrame, group: list[str], seed: int) -> DataFrame:

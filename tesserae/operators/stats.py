@@ -23,15 +23,17 @@ def adjust(pvals: DataFrame, family: list[str], p: str = "p") -> DataFrame:
     return raw.withColumn("p_adj", F.least(F.lit(1.0), F.min("step").over(later))).drop("step")
 
 
-def rank_sums(own: DataFrame, control: DataFrame, targets: DataFrame, n_control: DataFrame, genes: DataFrame) -> DataFrame:
+def rank_sums(own: DataFrame, control: DataFrame, targets: DataFrame, n_control: DataFrame, genes: DataFrame, times: str | None = None) -> DataFrame:
     """target, gene, u, z: Mann-Whitney U and tie-corrected z of targets against one control, zeros that are not stored included.
 
     own: target, gene, value > 0; control: gene, value > 0; targets: target, n1 cells; n_control: one row n0; genes: gene.
     Control values are counted and accumulated once for each gene and meet the targets as counts of different values; no control
-    cell is repeated for a target. The zeros are one tie group below everything stored.
+    cell is repeated for a target. The zeros are one tie group below everything stored. `times` names the column of own and control
+    that says how many cells a row stands for; without it, one.
     """
-    c = control.groupBy("gene", "value").agg(F.count(F.lit(1)).alias("c")).withColumn("target", F.lit(None).cast("string"))
-    t = own.groupBy("gene", "value", "target").agg(F.count(F.lit(1)).alias("m"))
+    each = F.sum(times) if times else F.count(F.lit(1))
+    c = control.groupBy("gene", "value").agg(each.alias("c")).withColumn("target", F.lit(None).cast("string"))
+    t = own.groupBy("gene", "value", "target").agg(each.alias("m"))
     rows = c.withColumn("m", F.lit(0)).unionByName(t.withColumn("c", F.lit(0)))
     value = Window.partitionBy("gene").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy("gene", "value")

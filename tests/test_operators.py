@@ -1,4 +1,6 @@
+import hashlib
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -129,6 +131,21 @@ def test_splits_are_disjoint_and_even(spark):
     assert R.halves(cells.limit(0), ["g"], 1).count() == 0
 
 
+@pytest.mark.parametrize("drop_odd", [True, False])
+def test_halves_are_those_of_ordered_groups_without_ordering_one_whole(spark, drop_odd):
+    rows = [("a" if i % 7 else None, i) for i in range(5003)] + [("one", 6000), ("two", 6001), ("two", 6002)]
+    out = R.halves(spark.createDataFrame(rows, "g string, cell long"), ["g"], 4, drop_odd)
+    want = set()
+    for g in {g for g, _ in rows}:
+        key = lambda i, g=g: (hashlib.md5(":".join(v for v in ("4", g, str(i)) if v is not None).encode()).hexdigest(), i)
+        own = sorted((i for h, i in rows if h == g), key=key)
+        n = len(own) // 2
+        want |= {(g, i, int(k >= n)) for k, i in enumerate(own) if k < 2 * n or not drop_odd}
+    assert {(r.g, r.cell, r.half) for r in out.collect()} == want and out.count() == len(want)
+    ordered = re.findall(r"row_number\(\) windowspecdefinition\((.*?) (?:ASC|DESC)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert ordered and all("digits" in w for w in ordered)
+
+
 def dense_rank_sum(a, b):
     both = np.concatenate((a, b))
     order = np.argsort(both, kind="stable")

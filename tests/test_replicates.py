@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 
+from tesserae.operators import replicates
 from tesserae.operators.replicates import replicate_anchor
 
 
@@ -103,3 +104,23 @@ def test_anchor_equals_scoring_the_halves(spark):
     num = (((prof[0] - prof[1]) ** 2 * keep).sum(axis=1) - rho * credit - cr) / g
     den = (((prof[1] - ctl) ** 2 * keep).sum(axis=1) - cr - c0) / g
     assert np.isclose(got.expression_error, num.sum() / den.sum(), rtol=1e-6)
+
+
+def test_what_is_kept_grows_with_different_entries_and_not_with_cells(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.poisson(rng.gamma(1.0, 3, size=8), size=(12, 8)).astype(float)
+    copies = 20
+    cells = [(12 * k + i, "ctl" if i % 2 else "t") for k in range(copies) for i in range(12)]
+    one = [(i, f"g{j}", x[i, j]) for i, j in zip(*(v.tolist() for v in np.nonzero(x)), strict=True)]
+    values = [(12 * k + i, g, float(v)) for k in range(copies) for i, g, v in one]
+    kept, keep = [], replicates.cut
+
+    def noted(df):
+        kept.append(keep(df))
+        return kept[-1]
+
+    monkeypatch.setattr(replicates, "cut", noted)
+    got = replicate_anchor(spark.createDataFrame(cells, "cell long, target string"), spark.createDataFrame(values, "cell long, gene string, value double"), "ctl", 9).collect()
+    assert len(got) == 1 and max(df.count() for df in kept) <= 2 * len(one) < len(values)
+    r = kept[0].selectExpr("sum(m)", "sum(m * value)", "sum(starts)").first()
+    assert tuple(r) == (len(values), copies * x.sum(), copies * (x.sum(axis=1) > 0).sum())

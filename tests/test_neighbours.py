@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import neighbours as N
-from tesserae.operators.neighbours import exact_nearest, searched
+from tesserae.operators.neighbours import all_nearest, exact_nearest, searched
+from tesserae.plans import scoring
 
 SCHEMA = "id long, vec array<double>"
 
@@ -64,3 +65,29 @@ def test_tasks_hold_few_queries_and_hand_on_few_rows(spark, monkeypatch):
     assert asked.groupBy("cluster", "part", "turn").count().agg(F.max("count")).first()[0] < 20
     got = exact_nearest(frame(spark, q), frame(spark, r), 3, centres=4, block=20).collect()
     assert {(x.query_id, x.ref_id, x.position, round(x.cos, 6) + 0.0) for x in got} == brute(q, r, 3)
+
+
+@pytest.mark.parametrize(("kind", "held", "cells"), [("uniform", 8 * 5 * 97, 3000), ("ties", 8 * 3 * 150, 500), ("few", 2**24, 2**21)])
+def test_every_vector_asks_all_others(spark, monkeypatch, kind, held, cells):
+    monkeypatch.setattr(N, "CELLS", cells)
+    rng = np.random.default_rng(len(kind))
+    n = 4 if kind == "few" else 600
+    m = rng.integers(-1, 2, size=(n, 3)).astype(float) if kind == "ties" else rng.normal(size=(n, 5))  # copies, opposite and empty vectors
+    r = {3 * i - 50: v for i, v in enumerate(m)}
+    got = all_nearest(frame(spark, r), 5, held=held).collect()
+    assert {(x.query_id, x.ref_id, x.position, round(x.cos, 6) + 0.0) for x in got} == brute(r, r, 5)
+    names = all_nearest(frame(spark, r).withColumn("id", F.concat(F.lit("v"), F.col("id") + 50)), 5, held=held).collect()
+    assert {(x.query_id, x.ref_id) for x in names if x.position == 1 and kind == "uniform"} <= {(f"v{q + 50}", f"v{i + 50}") for q, i, p, _ in brute(r, r, 5) if p == 1}
+    assert len(names) == len(got)
+
+
+def test_without_vectors_none_is_near(spark):
+    assert all_nearest(spark.createDataFrame([], SCHEMA), 3).count() == 0
+    assert all_nearest(frame(spark, {1: np.ones(3)}), 3).count() == 0
+
+
+def test_topk_answers_for_every_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    got = scoring.Q["knn_topk_cosine"](spark, sf).groupBy("query_id").count().collect()
+    assert {(r.query_id, r["count"]) for r in got} == {(i, 5) for i in want}

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import cosine, draw_key, pearson, ratio
+from tesserae.operators.neighbours import unit_rows
 
 HELD_BYTES = 2**23  # bytes of the vectors of a block
 TOGETHER = 256  # predictions whose distances to a block are held at once
+ASKING = 2**20  # own distances that meet a block together, where vectors share predictions
 TIERS = (2, 1, 0)  # fixed values: how many sources support a target
 
 
@@ -65,6 +70,63 @@ def discrimination(predicted: DataFrame, truth: DataFrame, group: list[str], mat
     return joined.select(*group, "id", F.when(F.col("n") > 1, 1 - F.col("k") / (F.col("n") - 1)).alias("score"))
 
 
+def shared_discrimination(predicted: DataFrame, truth: DataFrame, by: str, digits: int = 9, block: int | None = None, asking: int = ASKING) -> DataFrame:
+    """id, score of every true vector: `discrimination` without groups, where all vectors of one `by` have the same prediction.
+
+    predicted: `by`, vec, one row a value, read three times; truth: id, `by`, vec. A vector meets its prediction by a join, which
+    gives its own distance. Blocks of predictions and of the truth then meet. A task sorts the distances between a prediction and its block
+    once and looks up the own distances of those that share it, about `asking` at most; the counts add up. So distances are computed
+    for each prediction and true vector, not for each two vectors.
+    """
+    kind = truth.schema["id"].dataType.simpleString()
+    known = predicted.select(F.col(by).alias("by"), "vec").filter("by is not null")
+    true = truth.select("id", F.col(by).alias("by"), "vec")
+    n, width = true.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    block = block or max(1, HELD_BYTES // (8 * max(width or 1, 1)))
+    parts, true_parts, turns = (max(1, -(-rows // most)) for rows, most in ((known.count(), block), (n, block), (n, asking)))
+    hashed = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            own = np.round(1 - np.einsum("ij,ij->i", unit_rows(t["vec"]), unit_rows(t["mean"])), digits)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("by"), pa.array(own)], ["id", "by", "own"])
+
+    means = known.withColumnRenamed("vec", "mean")
+    met = true.join(F.broadcast(means) if parts == 1 else means, "by").select("id", "by", "vec", "mean")  # one part has a block's bytes
+    own = met.mapInArrow(measure, f"id {kind}, by {true.schema['by'].dataType.simpleString()}, own double")
+    asked = own.withColumns({"pp": hashed("by", parts), "turn": hashed("id", turns)}).withColumn("tp", each(true_parts))
+    left = known.select(F.lit(None).cast(kind).alias("id"), "by", "vec", F.lit(False).alias("true"), hashed("by", parts).alias("pp")).withColumn("tp", each(true_parts))
+    right = true.select("id", F.lit(None).cast(true.schema["by"].dataType).alias("by"), "vec", F.lit(True).alias("true"), each(parts).alias("pp")).withColumn("tp", hashed("id", true_parts))
+    vectors = left.unionByName(right).withColumn("turn", each(turns))
+
+    def count(a: pa.Table, v: pa.Table) -> pa.Table:
+        a = a.sort_by("by")
+        ids, keys, own = (a[c].to_numpy() for c in ("id", "by", "own"))
+        closer, tied = np.zeros(len(ids)), np.zeros(len(ids))
+        mask = v["true"].to_numpy()
+        rows, them = v.filter(pa.array(mask)), v.filter(pa.array(~mask))
+        if len(ids) and len(rows):
+            names, y = rows["id"].to_numpy(), unit_rows(rows["vec"])
+            order = np.argsort(names, kind="stable")
+            at = order[np.minimum(np.searchsorted(names, ids, sorter=order), len(names) - 1)]
+            here = names[at] == ids  # its own vector is in the block
+            for key, u in zip(them["by"].to_numpy(), unit_rows(them["vec"]), strict=True):
+                some = slice(np.searchsorted(keys, key), np.searchsorted(keys, key, "right"))
+                if some.start < some.stop:
+                    d = np.round(1 - y @ u, digits)
+                    mine, itself, held = own[some], d[at[some]], np.sort(d)
+                    below, upto = np.searchsorted(held, mine), np.searchsorted(held, mine, "right")
+                    closer[some] = below - (here[some] & (itself < mine))
+                    tied[some] = upto - below - (here[some] & (itself == mine))
+        return pa.table({"id": a["id"], "k": closer + tied / 2})
+
+    cells = ["pp", "tp", "turn"]
+    counts = asked.groupBy(*cells).cogroup(vectors.groupBy(*cells)).applyInArrow(count, f"id {kind}, k double")
+    return counts.groupBy("id").agg(F.sum("k").alias("k")).select("id", F.when(F.lit(n) > 1, 1 - F.col("k") / F.lit(max(n - 1, 1))).alias("score"))
+
+
 def tier_rows(responses: DataFrame, weights: DataFrame) -> DataFrame:
     """target, tier, perturbation, gene, truth, predicted: each context predicted from the others in each tier of support.
 

@@ -5,7 +5,8 @@ import hashlib
 import numpy as np
 import pytest
 
-from tesserae.operators.panels import discrimination, mixed_panel
+from tesserae.operators.panels import discrimination, mixed_panel, shared_discrimination
+from tesserae.plans import scoring
 
 SCHEMA = "g string, id string, own string, vec array<double>"
 
@@ -70,3 +71,33 @@ def test_few_predictions_do_not_copy_the_truth(spark):
     before = written()
     assert {r.score for r in discrimination(few, true, ["g"], "own", block=100).collect()} == {1.0}
     assert written() - before < 5 * 2000 * 32 * 8
+
+
+@pytest.mark.parametrize(("block", "asking"), [(3, 11), (1024, 2**20)])
+def test_shared_predictions_score_every_vector(spark, block, asking):
+    rng = np.random.default_rng(block)
+    true, label = rng.normal(size=(60, 3)), rng.integers(0, 7, 60)
+    true[30:] = np.round(true[30:])  # ties and a vector without length
+    true[-1] = 0
+    means = np.array([true[label == i].mean(axis=0) if i else np.zeros(3) for i in range(7)])
+    want = dense(means[label], true)
+    for name in (lambda i: int(i) - 3, lambda i: f"l{i}"):
+        kind = "int" if name(0) == -3 else "string"
+        predicted = spark.createDataFrame([(name(i), v.tolist()) for i, v in enumerate(means)], f"label {kind}, vec array<double>")
+        rows = [(7 * i, name(label[i]), v.tolist()) for i, v in enumerate(true)]
+        truth = spark.createDataFrame(rows, f"id long, label {kind}, vec array<double>")
+        got = {r.id: r.score for r in shared_discrimination(predicted, truth, "label", block=block, asking=asking).collect()}
+        assert got.keys() == {7 * i for i in range(60)} and all(np.isclose(got[7 * i], v) for i, v in enumerate(want))
+    more = truth.union(spark.createDataFrame([(-1, None, [1.0, 0.0, 0.0])], truth.schema))  # a candidate without a prediction
+    got = {r.id: r.score for r in shared_discrimination(predicted, more, "label", block=block, asking=asking).collect()}
+    own = dense(np.vstack([means[label], [[0, 0, 0]]]), np.vstack([true, [[1, 0, 0]]]))
+    assert got.keys() == {7 * i for i in range(60)} and all(np.isclose(got[7 * i], own[i]) for i in range(60))
+    one = truth.limit(1)
+    assert shared_discrimination(predicted, one, "label").first().score is None
+    assert shared_discrimination(predicted.limit(0), truth, "label").count() == shared_discrimination(predicted, truth.limit(0), "label").count() == 0
+
+
+def test_pds_scores_every_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.query_id for r in scoring.Q["pds_cosine"](spark, sf).collect()} == want

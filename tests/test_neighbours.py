@@ -91,3 +91,18 @@ def test_topk_answers_for_every_vector(spark):
     want = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
     got = scoring.Q["knn_topk_cosine"](spark, sf).groupBy("query_id").count().collect()
     assert {(r.query_id, r["count"]) for r in got} == {(i, 5) for i in want}
+
+
+def test_cosines_closer_than_single_precision_are_told_apart(monkeypatch):
+    """Vectors around one direction: single precision can not order them, and the candidates come in pieces."""
+    monkeypatch.setattr(N, "EXACT", 7)
+    rng = np.random.default_rng(6)
+    n = 200
+    y, ids = N._scaled(np.ones((n, 64)) + rng.normal(size=(n, 64)) * 3e-5), np.arange(n)
+    pairs = np.einsum("ij,ij->i", np.repeat(y, n, axis=0), np.tile(y, (n, 1))).reshape(n, n)
+    np.fill_diagonal(pairs, -2)
+    for digits in (6, 12):
+        name, ref, cos = N._closest(y, ids, y, ids, 4, digits)
+        want = np.lexsort((np.tile(ids, (n, 1)), -np.round(pairs, digits)), axis=1)[:, :4]
+        assert (name.reshape(n, 4) == ids[:, None]).all() and (ref.reshape(n, 4) == want).all()
+        assert (cos.reshape(n, 4) == np.take_along_axis(pairs, want, axis=1)).all()
